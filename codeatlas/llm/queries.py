@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, simhash, toxicity
-from .common import held_out, lower_ascii, table
+from . import chat, exact_dedup, minhash, mixing, packing, quality, sharding, simhash, toxicity, warc
+from .common import checkpointed, fresh_dir, held_out, lower_ascii, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,23 +23,72 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(docs, carry=[digest]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_dir(spark, "warc")
+    files = checkpointed(warc.write(warc.plan(table(spark, sf_dir, "pages")), folder))
+    records = warc.read(files.repartition(max(1, files.count())), folder, with_data=False).where("last")
+    number = lambda c: F.regexp_extract(c, "^<urn:x-record:(.*)>$", 1).try_cast("long")
+    return records.select(
+        number("record_id").alias("page_id"), F.col("bytes_so_far").alias("payload_bytes"), F.col("sha1_so_far").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to")
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     taken = mixing.realise(docs, mixing.planned(docs, repeat=4.0))
     return taken.select("doc_id", F.col("__source").alias("source"), F.col("__tokens").alias("n_tokens"), F.col("__block").alias("block"), F.col("__block_order").alias("block_order"), F.col("__copies").alias("copies"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: A conversation whose texts hold what looks like control strings.
+HARD = "\\### Assistant: </turn> ok"
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD), (-7, 1, "assistant", HARD)], rows.schema)
+    out = chat.format_conversations(rows.unionByName(hard))
+    turns = F.transform(chat.read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = chat.loss_text(F.col("segments"))
+    return out.select(
+        "conv_id", F.size(chat.read_back(F.col("formatted"))).cast("long").alias("n_turns"), F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid",
+    )
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.fingerprints_beside_edits(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", minhash.hexed(F.col("signature")).alias("fingerprint"), minhash.hexed(F.col("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next"
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", "quality")
+    found = quality.scores(table(spark, sf_dir, "documents"), labels)
+    return found.select("doc_id", "site", "path", held_out(F.col("doc_id")).alias("held_out"), "evidence", "site_mean", "path_mean", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op4_mixing, op8_simhash, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_exact_dedup, op3_warc, op4_mixing, op5_sharding, op6_chat, op7_fingerprints, op8_simhash, op9_quality, op10_packing,
+    )
+}
 
 ORACLES = {
     "op2_exact_dedup": """
@@ -47,6 +96,13 @@ ORACLES = {
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g ON n.t = g.t
     """,
+    "op3_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        g AS (SELECT d, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY d)
+        SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+            CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM p LEFT JOIN g ON p.d = g.d AND p.n >= 1000
+    """,
     "op4_mixing": """
         WITH d AS (
             SELECT doc_id, coalesce(source, '') AS source, greatest(1, CAST(ceil(strlen(coalesce(text, '')) / 4.0) AS BIGINT)) AS n_tokens,
@@ -69,4 +125,22 @@ ORACLES = {
             passes + CASE WHEN sum(n_tokens) OVER (PARTITION BY source ORDER BY block_order, block, place ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS copies
         FROM o
     """,
+    "op6_chat": """
+        WITH r AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+        e AS (
+            SELECT *, length(role) + length(text)
+                + length(role || text) - length(replace(role || text, '\\', '')) + length(role || text) - length(replace(role || text, '<', ''))
+                + length(role || text) - length(replace(role || text, '>', '')) + 15 AS chars,
+                coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text), 'start') || '>' || role AS move
+            FROM r)
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(chars) AS BIGINT) AS formatted_chars,
+            bool_and(move IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user')) AS valid
+        FROM e GROUP BY conv_id
+    """,
 }
