@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, lookup
 
 BINS = 2048
+#: Rows of a group that one task may put in order to deal them in turn.
+RANKED = 4096
 OVERHEAD = 16
 
 
@@ -152,10 +154,17 @@ def assign(
     big = [(r["key"], r["w"], r["n"]) for r in groups.where(F.col("w") * 100 > F.lit(target)).select("key", "w", "n").collect()]
     parts, load = _deal(big, shards, target)
     room = [max(0.0, target - x) for x in load]
-    dealt = rows.sparkSession.createDataFrame(list(parts.items()), "key long, shards array<int>")
+    counts = {key: k for key, _, k in big}
+    dealt = rows.sparkSession.createDataFrame([(k, v, counts[k]) for k, v in parts.items()], "key long, shards array<int>, rows long")
     small = _tree(groups.join(F.broadcast(dealt), "key", "left_anti"), room, target)
     first = rows.join(F.broadcast(dealt), "key", "left")
-    one = F.get("shards", F.pmod(F.xxhash64("id"), F.size("shards")).cast("int"))
+    # the parts of a group: in turn if a window can hold the group, else by a hash, which is even enough for many rows
+    few = (F.size("shards") > 1) & (F.col("rows") <= RANKED)
+    in_turn = F.row_number().over(W.partitionBy("key").orderBy("order")) - 1
+    hashed = F.pmod(F.xxhash64("id"), F.size("shards")).cast("int")
+    some = first.where(few).withColumn("turn", in_turn % F.size("shards"))
+    first = first.where(~F.coalesce(few, F.lit(False))).withColumn("turn", hashed).unionByName(some)
+    one = F.get("shards", F.col("turn"))
     first = first.select("id", "order", "size", "text_crc32", F.when(F.col("shards").isNull(), F.col("key")).alias("key"), one.alias("dealt"))
     placed = lookup(first, small, "key", "n", n, F.col("id")).withColumn("shard", F.coalesce("dealt", "shard"))
     blocks = max(1, n // (shards * rows_per_slot_block))
