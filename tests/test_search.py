@@ -1,0 +1,101 @@
+import pytest
+
+from codeatlas.functions.text import is_blank, norm_query, norm_text
+from codeatlas.operators.search import entry, search
+from codeatlas.plans.schema import COLUMNS, build
+
+ROWS = [
+    ("top", "4710", "Quartz", None),
+    ("top", "471088", "Basalt", None),
+    ("top", "K1", "4710", None),
+    ("top", "K2", "4710 field manual", None),
+    ("top", "K3", "Old 4710 field manual", None),
+    ("leaf", "K4", "Misc notes", "Compare with 4710, last printed"),
+    ("top", "K5", "Unconnected", None),
+    ("top", "M", "Glass   Blowing", None),
+    ("leaf", "N", "Glass blowing and cutting", None),
+    ("mid", "02.3.4.56", "Wholesale of tea", None),
+    ("top", "K9", "Upkeep (garden tools)", None),
+    ("top", "xyz789", "Distinct", None),
+]
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    return build(
+        spark, [r[1] for r in ROWS], system="s", version="1", level=[r[0] for r in ROWS], label=[r[2] for r in ROWS], description=[r[3] for r in ROWS],
+        status="current", source="x",
+    )
+
+
+def codes(df):
+    return [r["code"] for r in df.collect()]
+
+
+ALL = [r[1] for r in ROWS]
+
+
+def test_each_tier_in_order(data):
+    found = search(data, "4710", ranked=True).orderBy("pos").collect()
+    assert [r["code"] for r in found] == ALL[:6]
+    assert [r["tier"] for r in found] == [1, 2, 3, 4, 5, 6]
+    assert [r["pos"] for r in found] == [1, 2, 3, 4, 5, 6]
+
+
+@pytest.mark.parametrize(
+    ("query", "level", "limit", "expected"),
+    [
+        ("4710", "top", 100, ALL[:5]), ("4710", None, 3, ALL[:3]), ("4710", None, 0, []), ("", None, 5, ALL[:5]), ("  \t\n", None, 5, ALL[:5]), (None, None, 5, ALL[:5]),
+        ("", "mid", 100, ["02.3.4.56"]), ("4710", "nowhere", 100, []), ("nothing like it", None, 100, []), ("last printed", None, 100, ["K4"]),
+        ("XYZ789", None, 100, ["xyz789"]), ("02.3.4.56", None, 100, ["02.3.4.56"]), ("02x3x4x56", None, 100, []), ("(garden", None, 100, ["K9"]), ("%", None, 100, []),
+        ("glass blowing", None, 100, ["M", "N"]), ("  GLASS \t blowing ", None, 100, ["M", "N"]),
+    ],
+)
+def test_search(data, query, level, limit, expected):
+    assert codes(search(data, query, level, limit)) == expected
+
+
+def test_result_has_the_ten_columns(data):
+    assert search(data, "4710").columns == COLUMNS
+    assert search(data, "").columns == COLUMNS
+
+
+def test_negative_limit_is_refused(data):
+    with pytest.raises(ValueError):
+        search(data, "4710", limit=-1)
+
+
+def test_leading_zeros_are_kept(spark):
+    df = build(spark, ["01111", "1111"], system="s", version="1", level="c", label=["a", "b"], status="current", source="x")
+    assert codes(search(df, "0111")) == ["01111"]
+
+
+def test_code_is_not_whitespace_normalised(spark):
+    df = build(spark, ["a  b", " a b"], system="s", version="1", level="c", label="x", status="current", source="x")
+    assert codes(search(df, "a  b")) == []
+
+
+def test_entry_is_exact(data):
+    assert codes(entry(data, "xyz789")) == ["xyz789"]
+    assert codes(entry(data, "XYZ789")) == codes(entry(data, " 4710")) == []
+
+
+def test_empty_list(data):
+    assert codes(search(data.limit(0), "4710")) == []
+
+
+@pytest.mark.parametrize("text", ["a b", " a", "a\x0bb", "  A\t\nb ", "ÀÉ x", "", "a   b", "x　　y"])
+def test_query_is_normalised_like_columns(spark, text):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(text,)], "t string").select(norm_text(F.col("t")).alias("n"))
+    assert df.first()["n"] == norm_query(text)
+
+
+def test_blank():
+    assert is_blank(None) and is_blank(" \r\n\t") and not is_blank(" ")
+
+
+def test_plan_is_a_top_k_without_python(data):
+    plan = search(data, "4710")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Python" not in plan

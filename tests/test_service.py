@@ -1,0 +1,106 @@
+import datetime
+
+import pytest
+
+from codeatlas.operators import catalog, present
+from codeatlas.plans.schema import COLUMNS, build
+from codeatlas.plans.service import CodeLists, StoredSource, Unsupported
+from codeatlas.sources import artifact
+from codeatlas.sources.adapters import LevelSource, ReleaseSource
+
+
+@pytest.fixture(scope="module")
+def service(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("lists") / "store")
+
+    def pull(version, level):
+        rows = {"tops": [("A", "Alpha", 1), ("B", None, 2)], "sub": [("A1", "One", 1), ("A2" if version == "2" else "A3", "Two", 2)]}[level]
+        df = spark.createDataFrame(rows, "value string, label string, ord long")
+        return df if level == "tops" else df.withColumn("description", df.label)
+
+    ind = LevelSource("ind", ("1", "2"), ("top", "sub"), pull, lambda v: "current" if v == "2" else "archived", "office", "http://x", {"top": "tops"})
+    geo = ReleaseSource("geo", ("Q4_2025", "Q1_2026"), lambda v: spark.createDataFrame([("10", "ten", "Reg", 1), ("11", "eleven", "", 2), ("12", "twelve", "Bgy", 3)], "code string, label string, level string, ord long"), "Q1_2026", "office")
+    stored = StoredSource(spark, "ind", "3", path, ("top", "sub"), path + "-meta")
+    return CodeLists(spark, {"ind": [ind, stored], "geo": [geo]}, datetime.date(2020, 1, 2)), stored, path
+
+
+def test_missing_artifact_degrades_then_serves(spark, service):
+    lists, stored, path = service
+    assert lists.versions("ind") == ["1", "2"] and lists.current("ind") == "2"
+    with pytest.raises(artifact.ArtifactMissing, match="not found"):
+        stored.get()
+    with pytest.raises(artifact.ArtifactMissing):
+        artifact.read_metadata(spark, path + "-none")
+    one = build(spark, ["Z", "Z1"], system="ind", version="3", level=["top", "sub"], label=["Zed", "Zed one"], status="current", source="o")
+    other = build(spark, ["Q"], system="ind", version="4", level="top", label="Q", status="current", source="o")
+    artifact.write_editions(one.unionByName(other), path)
+    artifact.write_editions(one, path)  # replaces its own edition only
+    artifact.write_metadata(spark, path + "-meta", {"display_version": "Third", "parsed_counts": {"top": 1}})
+    assert lists.versions("ind") == ["1", "2", "3"]
+    assert {r["code"] for r in lists.get("ind", "3").collect()} == {"Z", "Z1"}
+    assert artifact.read_editions(spark, path).count() == 3
+    assert lists.metadata("ind", "3")["display_version"] == "Third" and lists.metadata("ind", "3")["parsed_counts"] == {"top": 1}
+    assert [r["code"] for r in lists.search("ind", "3", "zed").collect()] == ["Z", "Z1"]
+    with pytest.raises(Unsupported, match="Unsupported IND level 'x'. Available levels: top, sub"):
+        stored.get("x")
+
+
+def test_editions_do_not_mix(service):
+    lists, *_ = service
+    one = {r["code"]: r for r in lists.get("ind", "1").collect()}
+    assert set(one) == {"A", "B", "A1", "A3"} and one["A3"]["parent_code"] == "A" and one["B"]["label"] == "B"
+    assert one["A"]["description"] is None and one["A1"]["description"] == "One" and one["A"]["status"] == "archived"
+    assert lists.entry("ind", 2, "A3").count() == 0 and lists.entry("ind", 2, "A2").columns == COLUMNS
+
+
+def test_blank_levels_are_listed_nowhere_but_present(service):
+    lists, *_ = service
+    assert lists.levels("geo", "Q1_2026") == ["Bgy", "Reg"]
+    assert lists.get("geo", "Q1_2026").count() == 3 and lists.get("geo", "Q1_2026", "Reg").count() == 1
+    assert lists.current("geo") == "Q1_2026"
+
+
+def test_errors_list_what_there_is(service):
+    lists, *_ = service
+    with pytest.raises(Unsupported, match="Unsupported classification system 'x'. Available systems: ind, geo"):
+        lists.versions("x")
+    with pytest.raises(Unsupported, match="Unsupported version '9' for system 'geo'. Available versions: Q4_2025, Q1_2026"):
+        lists.get("geo", "9")
+    with pytest.raises(Unsupported, match="Unsupported level 'x' for system 'ind' version '1'. Available levels: top, sub"):
+        lists.search("ind", "1", "a", level="x")
+
+
+def test_metadata_and_cascade(service):
+    lists, *_ = service
+    m = lists.metadata("geo", "Q4_2025")
+    assert m["retrieved_at"] == "2020-01-02" and m["status"] == "archived" and len(m) == 8
+    assert lists.cascade("geo") == {"versions": ["Q4_2025", "Q1_2026"], "version": "Q1_2026", "levels": ["Bgy", "Reg"], "level": None}
+
+
+def test_registry_invariants(spark):
+    rows = catalog.registry(spark).collect()
+    assert len(rows) == 7 and len(rows[0]) == 11
+    assert all(r["current_version"] in r["available_versions"] for r in rows)
+    assert {r["id"]: r["current_version"] for r in rows}["pcoicop"] == "2020"
+
+
+def test_presentation(spark):
+    df = build(spark, [f"{i:02}" for i in range(40)], system="s", version="1", level="l", label=[f"x{i % 7}" for i in range(40)], status=["current", "archived"] * 20, source="o")
+    assert [r["Code"] for r in present.display_page(df, 2).collect()] == [f"{i:02}" for i in range(30, 40)]
+    assert present.display_page(df, sort="Label", descending=True).first()["Label"] == "x6"
+    with pytest.raises(ValueError):
+        present.display_page(df, sort="nope")
+    assert present.select_by_position(df, 3).first()["code"] == "02"
+    assert present.select_by_position(df, None).count() == present.select_by_position(df, 41).count() == 0
+    card = {r["field"]: r["value"] for r in present.entry_detail(df.where("code = '01'")).collect()}
+    assert card["System"] == "S" and card["Description"] == "Not available" and card["Status"] == "Archived reference" and "Link" not in card
+    assert {tuple(r)[1:] for r in present.status_badge(df).collect()} == {("current", "Current", "success"), ("archived", "Archived reference", "secondary")}
+
+
+def test_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "s.csv").write_text("a,b\n01,x\n")
+    assert artifact.read_sheet(spark, str(tmp_path / "s.csv"), ["a", "b"]).first()["a"] == "01"
+    assert artifact.file_digests(spark, str(tmp_path / "s.csv")).first()["sha256"] == hashlib.sha256(b"a,b\n01,x\n").hexdigest()
+    assert artifact.read_text(spark, str(tmp_path / "s.csv")) == "a,b\n01,x\n" and artifact.read_text(spark, str(tmp_path / "none")) == "Not available."
