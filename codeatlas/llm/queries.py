@@ -12,7 +12,7 @@ from .common import checkpointed, fresh_dir, held_out, lower_ascii, table
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    model = toxicity.learn(docs.join(labels, "doc_id"))
+    model = toxicity.learn(docs, labels)
     scored = toxicity.scores(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "weight", "hits")
 

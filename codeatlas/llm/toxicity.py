@@ -141,20 +141,22 @@ def _counts(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.Reco
 
 
 def learn(
-    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     max_labelled: int = 4000, max_terms: int = 5000, longest: int = 10, evidence: float = 16.0,
 ) -> Model:
-    """A model from labelled documents.
+    """A model from the documents that ``labels`` labels.
 
-    At most ``max_labelled`` documents of each class are used, and at most ``max_terms`` terms come to
-    the driver; both bounds are fixed.  A term needs a log-likelihood ratio of ``evidence``.  A longer
+    At most ``max_labelled`` ids of each class are used, so they may be broadcast and no text is shuffled to find
+    theirs; at most ``max_terms`` terms come to the driver.  A term needs a log-likelihood ratio of ``evidence``.  A longer
     beginning is dropped if a shorter one is kept.
     """
     seeds = {f" {fold(w).strip()}": 3.0 for w in SEED}
     exceptions = tuple(f" {' '.join(fold(p).split())} " for p in EXCEPTIONS)
-    usable = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.xxhash64(id_col, text_col).alias("h"))
-    part = [usable.where(F.col("label") == v).orderBy("h").limit(max_labelled) for v in (0, 1)]
-    sample = part[0].unionByName(part[1]).select("text", "label")
+    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("label")).join(docs.select(id_col).distinct(), id_col, "left_semi")
+    order = [F.xxhash64(id_col), F.col(id_col)]
+    part = [known.where(F.col("label") == v).orderBy(*order).limit(max_labelled) for v in (0, 1)]
+    chosen = checkpointed(part[0].unionByName(part[1]))
+    sample = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "label")
     sample = checkpointed(sample)
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_no, n_yes = sizes.get(0, 0), sizes.get(1, 0)

@@ -102,8 +102,8 @@ def toxic_rows(n=400):
 
 def test_toxicity_learns_stems_and_generalises(spark):
     rows = toxic_rows()
-    labelled = docs(spark, [(i, t, "en", "s") for i, t, _ in rows]).join(spark.createDataFrame([(i, y) for i, _, y in rows if i % 4], "doc_id long, toxic int"), "doc_id")
-    model = toxicity.learn(labelled)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 4] + [(-5, 1), (None, 1), (0, None)], "doc_id long, toxic int")
+    model = toxicity.learn(docs(spark, [(i, t, "en", "s") for i, t, _ in rows]), labels)
     more = [(1000, None, None, None), (1001, "", "", ""), (1002, "loweinew " + "belan " * 40, "xx", "q"), (None, "m0rοn", "en", "s"), (1003, "clean " * 100_000, "en", "s")]
     out = {r["doc_id"]: r for r in toxicity.scores(docs(spark, [(i, t, "en", "s") for i, t, _ in rows] + more), model).collect()}
     held = [(i, y) for i, _, y in rows if i % 4 == 0]
@@ -116,8 +116,8 @@ def test_toxicity_learns_stems_and_generalises(spark):
 
 
 def test_toxicity_without_labels(spark):
-    empty = docs(spark, [(1, "x", "en", "s")]).withColumn("toxic", F.lit(None).cast("int"))
-    model = toxicity.learn(empty)
+    empty = spark.createDataFrame([(1, None)], "doc_id long, toxic int")
+    model = toxicity.learn(docs(spark, [(1, "x", "en", "s")]), empty)
     assert toxicity.scores(docs(spark, [(1, "you idiot moron", "en", "s")]), model).first()["score"] > 0.5
     assert toxicity.scores(docs(spark, [(1, "x", "en", "s")]).limit(0), model).count() == 0
 
