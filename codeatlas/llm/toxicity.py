@@ -114,41 +114,52 @@ def probability(x: tuple[float, float], curve: tuple[float, float, float]) -> fl
     return 1 / (1 + math.exp(-min(30.0, max(-30.0, curve[0] + curve[1] * x[0] + curve[2] * x[1]))))
 
 
-def _terms(text: str | None, longest: int) -> set[str]:
-    """Patterns of a text: each distinct word's beginnings of four letters and more, and the whole word."""
-    out: set[str] = set()
-    for w in set(fold(text).split()):
-        out.add(f" {w} ")
-        out.update(f" {w[:k]}" for k in range(4, min(len(w), longest) + 1))
+#: Occurrences of a term that count within one document, so that a repeated line doesn't make a term.
+PER_DOCUMENT = 4
+
+
+def _terms(text: str | None, longest: int) -> Counter:
+    """Patterns of a text and how often they occur: each word's beginnings of four letters and more, and the whole word."""
+    out: Counter = Counter()
+    for w, n in Counter(fold(text).split()).items():
+        out[f" {w} "] += n
+        for k in range(4, min(len(w), longest) + 1):
+            out[f" {w[:k]}"] += n
     return out
 
 
 def _counts(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
-    yes, no = Counter(), Counter()
+    """By term, for documents with label 1 and 0: how many have it, and its occurrences up to the limit."""
+    tables = [Counter(), Counter(), Counter(), Counter()]
 
     def flush():
-        terms = list(yes.keys() | no.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([yes[t] for t in terms], pa.int64()), pa.array([no[t] for t in terms], pa.int64())], ["term", "yes", "no"])
-        yes.clear()
-        no.clear()
+        terms = list(tables[0].keys() | tables[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in tables)], ["term", "yes", "no", "yes_n", "no_n"])
+        for c in tables:
+            c.clear()
 
     for b in batches:
         for text, label in zip(b.column(0), b.column(1), strict=True):
-            (yes if label.as_py() else no).update(_terms(text.as_py(), longest))
-            if len(yes) + len(no) > 400_000:
+            found = _terms(text.as_py(), longest)
+            at = 0 if label.as_py() else 1
+            tables[at].update(found.keys())
+            tables[at + 2].update({t: min(n, PER_DOCUMENT) for t, n in found.items()})
+            if len(tables[0]) + len(tables[1]) > 300_000:
                 yield from flush()
     yield from flush()
 
 
 def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_labelled: int = 4000, max_terms: int = 5000, longest: int = 10, evidence: float = 16.0,
+    max_labelled: int = 4000, max_terms: int = 5000, longest: int = 10, evidence: float = 20.0, ratio: float = 4.0,
 ) -> Model:
     """A model from the documents that ``labels`` labels.
 
     At most ``max_labelled`` ids of each class are used, so they may be broadcast and no text is shuffled to find
-    theirs; at most ``max_terms`` terms come to the driver.  A term needs a log-likelihood ratio of ``evidence``.  A longer
-    beginning is dropped if a shorter one is kept.
+    theirs; at most ``max_terms`` terms come to the driver.  Of equal texts one is used.  A term needs a
+    log-likelihood ratio of ``evidence`` over documents that have it, and ``ratio`` times as many occurrences
+    per toxic document as per other document.  Of a word's beginnings that qualify the one with most evidence
+    is kept.
     """
     seeds = {f" {fold(w).strip()}": 3.0 for w in SEED}
     exceptions = tuple(f" {' '.join(fold(p).split())} " for p in EXCEPTIONS)
@@ -156,26 +167,26 @@ def learn(
     order = [F.xxhash64(id_col), F.col(id_col)]
     part = [known.where(F.col("label") == v).orderBy(*order).limit(max_labelled) for v in (0, 1)]
     chosen = checkpointed(part[0].unionByName(part[1]))
-    sample = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "label")
+    sample = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "label").dropDuplicates()
     sample = checkpointed(sample)
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_no, n_yes = sizes.get(0, 0), sizes.get(1, 0)
     if not n_no or not n_yes:
         return Model(seeds, exceptions)
-    counts = map_arrow(sample.repartition(24), lambda it: _counts(it, longest), "term string, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    share = n_yes / (n_yes + n_no)
-    total = F.col("yes") + F.col("no")
-    xlogy = lambda k, p: F.when(k > 0, k * F.log(k / (total * p))).otherwise(0.0)
-    ratio = 2 * (xlogy(F.col("yes"), share) + xlogy(F.col("no"), 1 - share))
-    weight = F.log((F.col("yes") + 0.5) / (n_yes + 1.0)) - F.log((F.col("no") + 0.5) / (n_no + 1.0))
-    best = (
-        counts.where((F.col("yes") >= 3) & (F.col("no") * n_yes * 20 < F.col("yes") * n_no)).select("term", "no", ratio.alias("g"), weight.alias("w"))
-        .where(F.col("g") >= evidence).orderBy(F.desc("g"), "term").limit(max_terms).collect()
-    )
+    counts = map_arrow(sample.repartition(24), lambda it: _counts(it, longest), "term string, yes long, no long, yes_n long, no_n long")
+    counts = counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("yes", "no", "yes_n", "no_n")])
+    share, total = n_yes / (n_yes + n_no), F.col("yes") + F.col("no")
+
+    def part_of(k, p):
+        return F.when(k > 0, k * F.log(k / (total * p))).otherwise(0.0)
+
+    g = 2 * (part_of(F.col("yes"), share) + part_of(F.col("no"), 1 - share))
+    weight = F.log((F.col("yes_n") + 0.5) / (n_yes + 1.0)) - F.log((F.col("no_n") + 0.5) / (n_no + 1.0))
+    best = counts.where("yes >= 3").select("term", g.alias("g"), weight.alias("w")).where((F.col("g") >= evidence) & (F.col("w") >= math.log(ratio)))
     terms: dict[str, float] = {}
-    for r in sorted(best, key=lambda r: (len(r["term"]), r["term"])):
+    for r in best.orderBy(F.desc("g"), F.col("term").endswith(" "), F.desc(F.length("term")), "term").limit(max_terms).collect():
         t = r["term"]
-        if not any(t[:k] in terms for k in range(2, len(t))):
+        if not any(t.startswith(k) or k.startswith(t) for k in terms):
             terms[t] = float(r["w"])
     terms = seeds | terms
     model = Model(terms, exceptions)
