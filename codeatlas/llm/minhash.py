@@ -156,30 +156,70 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_arrow(rows, run, f"id {docs.schema[id_col].dataType.simpleString()}, row long, signature binary, text_key long, bands array<long>")
 
 
-def candidates(classes: DataFrame, most: int = 64) -> DataFrame:
-    """``a, b``: pairs of classes that share a band.
-
-    ``classes`` has ``text_key`` and ``bands``.  In a band bucket of up to ``most`` classes every pair is a
-    candidate.  A larger bucket is cut again by the next bands, two at a time and so on, so a very common
-    band doesn't emit the square of its size; what no longer splits is chained in order of signature, so
-    that every class meets its neighbours.
+FORESTS = 3
+
+
+def _forests(keys: np.ndarray, sigs: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Edge-disjoint maximum spanning forests over the pairs of ``left`` and ``right`` rows with likeness of at least ``least``."""
+    like = (sigs[left][:, None, :] == sigs[right][None, :, :]).mean(2)
+    i, j = np.nonzero(like >= least)
+    x, y, v = left[i], right[j], like[i, j]
+    order = np.argsort(-v[x < y], kind="stable") if left is right else np.argsort(-v, kind="stable")
+    pairs = list(zip(*((x[x < y], y[x < y]) if left is right else (x, y)), strict=True))
+    pairs, out = [pairs[k] for k in order], []
+    for _ in range(FORESTS):
+        root = list(range(len(keys)))
+
+        def find(n, root=root):
+            while root[n] != n:
+                root[n] = root[root[n]]
+                n = root[n]
+            return n
+
+        rest = []
+        for p, q in pairs:
+            a, b = find(p), find(q)
+            if a != b:
+                root[a] = b
+                out.append((int(keys[p]), int(keys[q])))
+            else:
+                rest.append((p, q))
+        pairs = rest
+    return out
+
+
+def candidates(classes: DataFrame, most: int = 64, least: float = 0.6) -> DataFrame:
+    """``a, b``: pairs of classes (``text_key, signature, bands``) that share a band, to be verified.
+
+    In a bucket of up to ``most`` classes every pair is a candidate.  A larger bucket is cut into blocks of about
+    that many; each pair of blocks is compared in a task of its own by signature, and of its pairs with a likeness
+    of ``least`` only three maximum spanning forests are candidates.  Whatever the similarity asked for, they connect
+    what the signatures connect, without a row for each pair of a large group of near copies.
     """
-    keyed = classes.select("text_key", "signature", F.posexplode("bands").alias("i", "band"))
-    found = None
-    for depth in range(3):
-        counted = keyed.groupBy("i", "band").agg(F.count(F.lit(1)).alias("n"))
-        keyed = keyed.join(counted, ["i", "band"])
-        small = keyed.where(F.col("n").between(2, most)).select("i", "band", "text_key")
-        pairs = small.groupBy("i", "band").agg(F.sort_array(F.collect_set("text_key")).alias("k"))
-        both = pairs.select(F.explode(F.flatten(F.transform("k", lambda x: F.transform(F.filter("k", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.*")
-        found = both if found is None else found.unionByName(both)
-        rest = keyed.where(F.col("n") > most).select("text_key", "signature", "i", "band")
-        if depth < 2:
-            deeper = classes.select("text_key", F.posexplode("bands").alias("j", "more"))
-            keyed = rest.join(deeper, "text_key").where("j > i").select("text_key", "signature", F.col("j").alias("i"), F.xxhash64("band", "more").alias("band"))
-    order = W.partitionBy("i", "band", F.pmod("text_key", F.lit(16))).orderBy("signature")
-    chain = rest.withColumn("b", F.lead("text_key").over(order)).where("b is not null").select(F.least("text_key", "b").alias("a"), F.greatest("text_key", "b").alias("b"))
-    return found.unionByName(chain).where("a <> b").distinct()
+    keyed = classes.select("text_key", "signature", F.posexplode("bands").alias("i", "band")).withColumn("bucket", F.xxhash64("i", "band")).drop("i", "band")
+    sizes = checkpointed(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = lookup(keyed, sizes, "bucket", "n", total, F.col("text_key")).where("n is not null")
+    small = found.where(F.col("n") <= most).groupBy("bucket").agg(F.sort_array(F.collect_set("text_key")).alias("k"))
+    both = F.flatten(F.transform("k", lambda x: F.transform(F.filter("k", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = small.select(F.explode(both).alias("p")).select("p.*")
+    blocks = F.ceil(F.col("n") / most)
+    big = found.where(F.col("n") > most).withColumn("block", F.pmod(F.xxhash64("text_key"), blocks))
+    big = big.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    big = big.select("text_key", "signature", "bucket", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+    def compared(rows):
+        import pandas as pd
+
+        rows = rows.sort_values("text_key", ignore_index=True)
+        keys, sigs = rows["text_key"].to_numpy(), np.stack([np.frombuffer(x, ">u2") for x in rows["signature"]])
+        left = np.flatnonzero((rows["block"] == rows["lo"]).to_numpy())
+        right = left if rows["lo"][0] == rows["hi"][0] else np.flatnonzero((rows["block"] == rows["hi"]).to_numpy())
+        return pd.DataFrame(_forests(keys, sigs, left, right, least), columns=["a", "b"], dtype="int64")
+
+    crowded = big.groupBy("bucket", "lo", "hi").applyInPandas(compared, "a long, b long")
+    edges = pairs.unionByName(crowded).where("a <> b")
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def jaccard(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -184,7 +184,9 @@ def test_near_duplicates_against_brute_force(spark):
     assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_minhash_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize("most", [64, 3])
+def test_minhash_near_duplicates_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(minhash.candidates, "__defaults__", (most, 0.6))
     rnd = random.Random(6)
     words = [f"w{i}" for i in range(500)]
     base = [[rnd.choice(words) for _ in range(300)] for _ in range(6)]
