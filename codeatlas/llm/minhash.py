@@ -89,7 +89,7 @@ def in_order(docs: DataFrame, id_col: str, text_col: str, part_bytes: int = 1 <<
     own = F.struct("bucket", F.lit(False).alias("copy"))
     spread = F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to").alias("bucket"), F.lit(True).alias("copy"))))
     out = copies.select("id", "text", F.explode(spread).alias("p")).select("p.bucket", "p.copy", "id", "text")
-    return out.repartition(n, "bucket").sortWithinPartitions("bucket", "copy", "id", "text")
+    return out.repartitionById(len(splits) - 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "copy", "id", "text")
 
 
 def fingerprints_beside_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

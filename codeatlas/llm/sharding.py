@@ -79,20 +79,18 @@ def _split_points(groups: DataFrame, goals: dict[int, tuple[str, int, int, float
         params = spark.createDataFrame([(n, d, lo, hi, max(1, -(-(hi - lo + 1) // BINS))) for n, (d, lo, hi, _, _) in open_.items()], "node int, dim string, lo long, hi long, step long")
         value = F.coalesce(*[F.when(F.col("dim") == d, F.col(d)) for d in DIMENSIONS])
         inside = groups.join(F.broadcast(params), "node").withColumn("v", value).where("v between lo and hi")
-        hist = inside.groupBy("node", F.expr("(v - lo) div step").alias("bin")).agg(F.sum("w").alias("w")).collect()
+        hist = inside.groupBy("node", F.expr("(v - lo) div step").alias("bin")).agg(F.sum("w").alias("w"), F.min("v").alias("first"), F.max("v").alias("last")).collect()
         by_node: dict[int, list] = {}
         for r in hist:
-            by_node.setdefault(r["node"], []).append((r["bin"], r["w"]))
+            by_node.setdefault(r["node"], []).append((r["bin"], r["w"], r["first"], r["last"]))
         for node, (dim, lo, hi, below, goal) in list(open_.items()):
-            step = max(1, -(-(hi - lo + 1) // BINS))
             at, split = below, hi + 1
-            for b, w in sorted(by_node.get(node, [])):
+            for _, w, first, last in sorted(by_node.get(node, [])):
                 if at + w > goal:
-                    start = lo + b * step
-                    if step > 1 and w > exact:
-                        open_[node], split = (dim, start, min(hi, start + step - 1), at, goal), None
+                    if first < last and w > exact:  # go on between the values that are there
+                        open_[node], split = (dim, first, last, at, goal), None
                     else:
-                        split = start if goal - at <= at + w - goal else start + step
+                        split = first if goal - at <= at + w - goal else last + 1
                     break
                 at += w
             if split is not None:
