@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A key with at least this share of all rows counts as hot: at most 1000 keys can.
 HOT_SHARE = 1000
+#: Bytes of an Arrow batch, unless the session says otherwise: 10,000 rows of long texts take much memory, on either side and twice.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,7 +119,10 @@ def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
                 z.write(f, f.relative_to(package.parent))
         sc.addPyFile(z.filename)
         _sent["application"] = sc.applicationId
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _sent: dict[str, str] = {}
