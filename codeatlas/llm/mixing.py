@@ -80,7 +80,9 @@ def targets(by_source: DataFrame, alpha: float, budget: int | None = None) -> Da
     z, need = powered.agg(F.sum("__p"), F.max(F.col("tokens") / F.col("__p"))).first()
     all_tokens = float(budget) if budget is not None else (z or 0.0) * (need or 0.0)
     weight = F.col("__p") / F.lit(z or 1.0)
-    return powered.select("source", "tokens", "documents", weight.alias("weight"), F.floor(weight * F.lit(all_tokens) + 1e-6).cast("long").alias("budget"))
+    share = F.floor(weight * F.lit(all_tokens) + 1e-6).cast("long")
+    # rounding grows with the tokens and must not take the last document of the source that sets the budget
+    return powered.select("source", "tokens", "documents", weight.alias("weight"), (share if budget is not None else F.greatest("tokens", share)).alias("budget"))
 
 
 def _order(seed: int, *what: Column) -> Column:

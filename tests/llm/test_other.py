@@ -294,3 +294,10 @@ def test_sparse_sites_are_shrunk_more(spark):
     lab = spark.createDataFrame([(i, int(i < 200)) for i in range(0, 250, 2)], "doc_id long, quality int")
     out = {r["doc_id"]: r for r in quality.scores(docs(spark, rows), lab).collect()}
     assert out[201]["site_mean"] < out[300]["site_mean"] < out[1]["site_mean"]
+
+
+def test_the_default_budget_holds_every_token_of_large_sources(spark):
+    rnd = __import__("random").Random(3)
+    rows = [(f"s{i}", rnd.randrange(10**11, 10**12), 10) for i in range(200)]
+    plan = mixing.targets(spark.createDataFrame(rows, "source string, tokens long, documents long"), 1.0).collect()
+    assert all(r["budget"] >= r["tokens"] for r in plan)
