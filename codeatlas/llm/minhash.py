@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lookup, map_arrow
+from .common import bitset, checkpointed, flag, lookup, map_arrow, without
 from .components import components
 
 PERMUTATIONS, SHINGLE, SIMILAR = 128, 5, 0.8
@@ -138,100 +138,92 @@ def fingerprints_beside_edits(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
-    """``id, row, signature, text_key, bands`` per row; ``bands`` holds a hash of each band of the signature."""
+    """``id, row, shingles, text_key, bands`` per row: the number of distinct shingles, a hash of their set, a hash of each band of the signature."""
 
     def run(batches):
         width = PERMUTATIONS // bands
         for b in batches:
-            sigs, keys, cut = [], [], []
+            sizes, keys, cut = [], [], []
             for t in b.column(2):
-                h = shingles(t.as_py())
+                h = np.unique(shingles(t.as_py()))
                 s = signature(h)
-                sigs.append(s.astype(">u2").tobytes())
-                keys.append(xxhash.xxh64_intdigest(np.unique(h).tobytes()) - (1 << 63))
+                sizes.append(len(h))
+                keys.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
                 cut.append([xxhash.xxh64_intdigest(s[i * width : (i + 1) * width].tobytes(), i) - (1 << 63) for i in range(bands)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sigs, pa.binary()), pa.array(keys, pa.int64()), pa.array(cut, pa.list_(pa.int64()))], ["id", "row", "signature", "text_key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(cut, pa.list_(pa.int64()))], ["id", "row", "shingles", "text_key", "bands"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    return map_arrow(rows, run, f"id {docs.schema[id_col].dataType.simpleString()}, row long, signature binary, text_key long, bands array<long>")
-
-
-FORESTS = 3
-
-
-def _forests(keys: np.ndarray, sigs: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Edge-disjoint maximum spanning forests over the pairs of ``left`` and ``right`` rows with likeness of at least ``least``."""
-    like = (sigs[left][:, None, :] == sigs[right][None, :, :]).mean(2)
-    i, j = np.nonzero(like >= least)
-    x, y, v = left[i], right[j], like[i, j]
-    order = np.argsort(-v[x < y], kind="stable") if left is right else np.argsort(-v, kind="stable")
-    pairs = list(zip(*((x[x < y], y[x < y]) if left is right else (x, y)), strict=True))
-    pairs, out = [pairs[k] for k in order], []
-    for _ in range(FORESTS):
-        root = list(range(len(keys)))
-
-        def find(n, root=root):
-            while root[n] != n:
-                root[n] = root[root[n]]
-                n = root[n]
-            return n
-
-        rest = []
-        for p, q in pairs:
-            a, b = find(p), find(q)
-            if a != b:
-                root[a] = b
-                out.append((int(keys[p]), int(keys[q])))
-            else:
-                rest.append((p, q))
-        pairs = rest
-    return out
-
-
-def candidates(classes: DataFrame, most: int = 64, least: float = 0.6) -> DataFrame:
-    """``a, b``: pairs of classes (``text_key, signature, bands``) that share a band, to be verified.
-
-    In a bucket of up to ``most`` classes every pair is a candidate.  A larger bucket is cut into blocks of about
-    that many; each pair of blocks is compared in a task of its own by signature, and of its pairs with a likeness
-    of ``least`` only three maximum spanning forests are candidates.  Whatever the similarity asked for, they connect
-    what the signatures connect, without a row for each pair of a large group of near copies.
-    """
-    keyed = classes.select("text_key", "signature", F.posexplode("bands").alias("i", "band")).withColumn("bucket", F.xxhash64("i", "band")).drop("i", "band")
+    return map_arrow(rows, run, f"id {docs.schema[id_col].dataType.simpleString()}, row long, shingles long, text_key long, bands array<long>")
+
+
+#: Star turns over crowded buckets before all remaining pairs are taken; they only save work.
+TURNS, CROWDED = 3, 64
+#: Bytes of shingle sets that a task keeps while it compares pairs.
+KEPT_BYTES = 32 << 20
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """``text_key, shingles, bucket, n, root, main`` per class and band that another class has too; each its own root."""
+    keyed = classes.select("text_key", "shingles", F.posexplode("bands").alias("i", "band")).withColumn("bucket", F.xxhash64("i", "band")).drop("i", "band")
     sizes = checkpointed(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = lookup(keyed, sizes, "bucket", "n", total, F.col("text_key")).where("n is not null")
-    small = found.where(F.col("n") <= most).groupBy("bucket").agg(F.sort_array(F.collect_set("text_key")).alias("k"))
-    both = F.flatten(F.transform("k", lambda x: F.transform(F.filter("k", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = small.select(F.explode(both).alias("p")).select("p.*")
-    blocks = F.ceil(F.col("n") / most)
-    big = found.where(F.col("n") > most).withColumn("block", F.pmod(F.xxhash64("text_key"), blocks))
-    big = big.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    big = big.select("text_key", "signature", "bucket", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    return checkpointed(found.withColumn("root", F.col("text_key")).withColumn("main", F.col("text_key")))
 
-    def compared(rows):
-        import pandas as pd
 
-        rows = rows.sort_values("text_key", ignore_index=True)
-        keys, sigs = rows["text_key"].to_numpy(), np.stack([np.frombuffer(x, ">u2") for x in rows["signature"]])
-        left = np.flatnonzero((rows["block"] == rows["lo"]).to_numpy())
-        right = left if rows["lo"][0] == rows["hi"][0] else np.flatnonzero((rows["block"] == rows["hi"]).to_numpy())
-        return pd.DataFrame(_forests(keys, sigs, left, right, least), columns=["a", "b"], dtype="int64")
+def _still_open(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """``members`` with their new roots, without buckets of one component or of two classes, which are compared; ``main`` is the bucket's most frequent root."""
+    now = members.select("text_key", "shingles", "bucket").join(joined, F.col("text_key") == F.col("node"), "left").select("text_key", "shingles", "bucket", F.coalesce("root", "text_key").alias("root"))
+    now = checkpointed(now)
+    parts = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    groups = checkpointed(parts.groupBy("bucket").agg(F.sum("c").alias("n"), F.max_by("root", "c").alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1 and n > 2").drop("roots"))
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return checkpointed(lookup(now, groups, "bucket", "n", total, F.col("text_key")).where("n is not null"))
 
-    crowded = big.groupBy("bucket", "lo", "hi").applyInPandas(compared, "a long, b long")
-    edges = pairs.unionByName(crowded).where("a <> b")
-    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+def candidates(members: DataFrame, turn: int | None = None, most: int = 64, similar: float = SIMILAR) -> DataFrame:
+    """``a, b``: pairs of classes with different roots that share a bucket, to be verified.
+
+    With a ``turn``, the pairs of one class of each bucket with the others, another class each turn.  Without, all pairs:
+    classes outside the bucket's main component meet every class of another root, a large bucket dealt by ``most`` classes.
+    Left out are pairs whose numbers of shingles alone keep them below ``similar``.
+    """
+    alike = F.least("sa", "sb") >= F.lit(similar) * F.greatest("sa", "sb") - 1e-9
+    if turn is not None:
+        pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "text_key").alias("h"), "text_key", "root", "shingles"))
+        pivots = checkpointed(members.groupBy("bucket").agg(pivot.alias("p"), F.count(F.lit(1)).alias("n")))
+        found = lookup(members.drop("n"), pivots, "bucket", "n", members.count(), F.col("text_key")).where("root <> p.root")
+        pairs = found.select(F.col("p.text_key").alias("a"), F.col("text_key").alias("b"), F.col("p.shingles").alias("sa"), F.col("shingles").alias("sb"))
+    else:
+        deals = F.ceil(F.col("n") / most).cast("long")
+        apart = members.where("root <> main").select("bucket", F.col("text_key").alias("a"), F.col("root").alias("ra"), F.col("shingles").alias("sa"), F.explode(F.sequence(F.lit(0).cast("long"), deals - 1)).alias("deal"))
+        all_of = members.select("bucket", F.col("text_key").alias("b"), F.col("root").alias("rb"), F.col("shingles").alias("sb"), "main", F.pmod(F.xxhash64("text_key"), deals).alias("deal"))
+        pairs = apart.join(all_of, ["bucket", "deal"]).where("ra <> rb and (rb = main or a < b)")
+    return pairs.where(alike).select("a", "b").distinct()
 
 
 def jaccard(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``pairs`` with the exact Jaccard similarity of their shingle sets; ``texts`` has ``text_key, text``."""
-    left = pairs.join(texts.select(F.col("text_key").alias("a"), F.col("text").alias("__x")), "a")
+    sides = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(texts.select(F.col("text_key").alias("a"), F.col("text").alias("__x")), "a")
+    left = lookup(pairs, sides, "a", "n", pairs.count(), F.col("b")).drop("n")
     both = left.join(texts.select(F.col("text_key").alias("b"), F.col("text").alias("__y")), "b").select("a", "b", "__x", "__y")
 
     def run(batches):
+        kept, held = {}, 0  # shingle sets by class; a class has many pairs
+
+        def whole(key, text):
+            nonlocal kept, held
+            if key not in kept:
+                if held > KEPT_BYTES:
+                    kept, held = {}, 0
+                kept[key] = np.unique(shingles(text.as_py()))
+                held += kept[key].nbytes
+            return kept[key]
+
         for b in batches:
             out = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.unique(shingles(x.as_py())), np.unique(shingles(y.as_py()))
+            for i, j, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                p, q = whole(i, x), whole(j, y)
                 shared = len(np.intersect1d(p, q, assume_unique=True))
                 out.append(shared / max(1, len(p) + len(q) - shared) if len(p) or len(q) else 1.0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["a", "b", "jaccard"])
@@ -239,22 +231,63 @@ def jaccard(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(both, run, "a long, b long, jaccard double")
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """``text_key, text`` of the classes in ``wanted`` (``row, text_key``); only rows that a bounded filter flags are shuffled."""
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    flagged = flag(rows, checkpointed(bitset(wanted, "row", 22)), F.col("row"), 22, "__maybe").where("__maybe")
+    return checkpointed(flagged.join(wanted, "row").dropDuplicates(["row"]).select("text_key", "text"))
+
+
+def joined_classes(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similar: float) -> DataFrame:
+    """``node, root`` over the classes: components of all pairs that share a band and have a Jaccard similarity of at least ``similar``.
+
+    Pairs inside a component need no comparison, so stars come first; what they leave apart is compared
+    pair by pair.  Every link is verified exactly before it joins anything.
+    """
+    members = _buckets(classes)
+    wanted = checkpointed(classes.select("row", "text_key").join(members.select("text_key").distinct(), "text_key").select("row", "text_key"))
+    texts = _texts(docs, id_col, text_col, wanted)
+    links = tried = None
+    turn = 0
+    while True:
+        pairs = candidates(members, turn, similar=similar)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if turn is None else pairs
+        pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        good = checkpointed(jaccard(pairs, texts).where(F.col("jaccard") >= similar).select("a", "b"))
+        links = good if links is None else links.unionByName(good)
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tried = both if tried is None else tried.unionByName(both)
+        joined = components(links)
+        if turn is None:
+            return joined
+        members = _still_open(members, joined)
+        largest = members.agg(F.max("n")).first()[0]
+        if largest is None:
+            return joined
+        turn = turn + 1 if turn + 1 < TURNS and largest > CROWDED else None
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """``id, row, component_id`` per row: the smallest id reachable over verified pairs.
+    """``id, row, component_id, keep_row`` per row: the smallest id reachable over verified pairs, and the ``row`` of one document with it.
 
     Texts with equal shingle sets are one class long before pairs are made.
     """
     marked = checkpointed(signatures(docs, id_col, text_col))
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id")).alias("first")
-    classes = checkpointed(marked.groupBy("text_key").agg(first, F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands")))
-    texts = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text")).join(classes.select("row", "text_key"), "row").dropDuplicates(["text_key"])
-    pairs = jaccard(candidates(classes), texts).where(F.col("jaccard") >= similar)
-    joined = components(checkpointed(pairs))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
+    classes = checkpointed(marked.groupBy("text_key").agg(first, F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.any_value("shingles").alias("shingles"), F.any_value("bands").alias("bands")))
+    joined = joined_classes(classes, docs, id_col, text_col, similar)
     rooted = checkpointed(classes.join(joined, classes.text_key == joined.node, "left").select("text_key", "n", "first", F.coalesce("root", "text_key").alias("root")))
     best = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("members")))
     total = rooted.count()
-    by_key = checkpointed(lookup(rooted.select("text_key", "n", "root"), best, "root", "members", total, F.col("text_key")).select("text_key", "n", F.col("best.id").alias("component_id")))
-    return lookup(marked.select("id", "row", "text_key"), by_key, "text_key", "n", marked.count(), F.col("row")).select("id", "row", "component_id")
+    by_key = checkpointed(lookup(rooted.select("text_key", "n", "root"), best, "root", "members", total, F.col("text_key")).select("text_key", "n", F.col("best.id").alias("component_id"), F.col("best.row").alias("keep_row")))
+    return lookup(marked.select("id", "row", "text_key"), by_key, "text_key", "n", marked.count(), F.col("row")).select("id", "row", "component_id", "keep_row")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each component: the one with the smallest id."""
+    losers = near_duplicates(docs, id_col, text_col, similar).where("row != keep_row").select(F.col("row").alias("__row"))
+    rows = docs.withColumn("__row", F.xxhash64(id_col, text_col))
+    return without(rows, checkpointed(losers), "__row").select(*docs.columns)
 
 
 def hexed(signature_col: Column) -> Column:

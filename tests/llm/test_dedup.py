@@ -220,6 +220,20 @@ def test_minhash_near_duplicates_against_brute_force(spark, monkeypatch, most):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_crowded_buckets_lose_no_verified_link(spark):
+    rnd = random.Random(9)
+    fresh = lambda n: [f"{rnd.getrandbits(20):x}" for _ in range(n)]
+    template, rows = fresh(190), []
+    for _ in range(80):
+        shared = fresh(2)
+        rows += [(len(rows) + i, " ".join(template + shared + fresh(22))) for i in range(2)]
+    sets = [set(minhash.shingles(t).tolist()) for _, t in rows]
+    like = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert all((like(i, j) >= 0.8) == (i // 2 == j // 2) for i in range(160) for j in range(i))
+    got = {r["id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(160)}
+
+
 def test_signatures_estimate_jaccard():
     a = " ".join(f"a{i}" for i in range(1000))
     b = " ".join(f"a{i}" for i in range(500, 1500))
