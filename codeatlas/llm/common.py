@@ -9,12 +9,19 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A key with at least this share of all rows counts as hot: at most 1000 keys can.
 HOT_SHARE = 1000
 #: Bytes of an Arrow batch, unless the session says otherwise: 10,000 rows of long texts take much memory, on either side and twice.
 BATCH_BYTES = 4 << 20
+#: Bits of a membership filter: about 16 a key up to the most, which is 8 MB of bits and at most 2**20 rows to broadcast.
+LEAST_BITS, MOST_BITS = 12, 26
+#: What lower case may change beside A-Z: capitals, title case, and the number forms and symbols that have cases.
+OTHER_CAPITALS = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^A-Z]]"
+#: Rows that a hot key adds to a lookup are broadcast only up to this many bytes each.
+HOT_BYTES = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; a local one only where the session names none."""
+    """The folder every executor sees.  Only where all tasks run on this machine may it be a local one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+    return f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -41,9 +53,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def lower_ascii(text: Column) -> Column:
-    """A-Z to a-z and nothing else; null counts as empty."""
+    """A-Z to a-z and nothing else; null counts as empty.
+
+    Without any other capital in the text that is what ``lower`` does, several times as fast as ``translate``.
+    """
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())
+    t = F.coalesce(text, F.lit(""))
+    ascii_only = F.length(t) == F.octet_length(t)
+    return F.when(ascii_only | ~t.rlike(OTHER_CAPITALS), F.lower(t)).otherwise(F.translate(t, upper, upper.lower()))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -77,22 +94,27 @@ def flag(rows: DataFrame, words: DataFrame, key: Column, bits: int, name: str) -
     )
 
 
-def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: Column) -> DataFrame:
+def filter_bits(keys: int) -> int:
+    """The size of a filter for so many keys; beyond the limit it lets more through, never less."""
+    return min(MOST_BITS, max(LEAST_BITS, (16 * keys).bit_length()))
+
+
+def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: Column, small: Column | None = None) -> DataFrame:
     """``rows`` left-joined to ``groups`` (one row per key) without a hot key meeting in one task.
 
     ``groups[size]`` is the number of rows of the key and ``total`` the sum over all keys; a
-    key with a thousandth of them is hot, so at most 1000 keys are broadcast.  All other
-    rows go through a shuffle on the key; hot rows are dealt by ``spread`` instead.  Null keys
-    find nothing.  Columns of ``groups`` other than the key are added.
+    key with a thousandth of them is hot, so at most 1000 keys are broadcast, and of these only such as
+    are ``small``.  All other rows go through a shuffle on the key; hot rows are dealt by ``spread`` instead.
+    Null keys find nothing.  Columns of ``groups`` other than the key are added.
     """
     added = [c for c in groups.columns if c != key]
-    hot = groups.where(F.col(size) * HOT_SHARE >= F.lit(total)).select(
-        F.col(key).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in added]
-    )
-    cold = groups.select(F.col(key).cast("string").alias("__cold"), *[F.col(c).alias(f"__cold_{c}") for c in added])
+    hot = F.col(size) * HOT_SHARE >= F.lit(total)
+    hot = groups.where(hot if small is None else hot & small).select(F.col(key).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in added])
+    named = lambda c: F.concat(F.lit("\x01"), F.col(c).cast("string"))
+    cold = groups.select(named(key).alias("__cold"), *[F.col(c).alias(f"__cold_{c}") for c in added])
     aside = F.concat(F.lit("\x00"), F.xxhash64(spread).cast("string"))
     dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn(
-        "__deal", F.when(F.col("__hot").isNotNull() | F.col(key).isNull(), aside).otherwise(F.col(key).cast("string"))
+        "__deal", F.when(F.col("__hot").isNotNull() | F.col(key).isNull(), aside).otherwise(named(key))
     )
     found = dealt.join(cold, F.col("__deal") == F.col("__cold"), "left")
     return found.select(
@@ -101,12 +123,72 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     )
 
 
-def without(rows: DataFrame, losers: DataFrame, key: str, bits: int = 22) -> DataFrame:
-    """``rows`` whose ``key`` is not in ``losers``; only rows the bounded filter flags are shuffled."""
-    words = checkpointed(bitset(losers, key, bits))
-    flagged = flag(rows, words, F.col(key), bits, "__maybe")
-    rest = flagged.where("__maybe").join(losers.select(key).distinct(), key, "left_anti")
-    return flagged.where("not __maybe").unionByName(rest.select(*flagged.columns)).drop("__maybe")
+def identity(id_col: str, digest: Column) -> Column:
+    """A string that tells rows with different ids or different digests apart; a null digest gives null."""
+    return F.concat(F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("-")), F.lit("/"), digest)
+
+
+def sha_of(text: Column) -> Column:
+    return F.sha1(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def _flagged(rows: DataFrame, keys: DataFrame, key: str, n: int, name: str) -> DataFrame:
+    bits = filter_bits(n)
+    words = checkpointed(bitset(keys.select(F.xxhash64(key).alias("h")), "h", bits))
+    return flag(rows, words, F.when(F.col(key).isNotNull(), F.xxhash64(key)), bits, name)
+
+
+def without(rows: DataFrame, losers: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` (a string, or null) is not in ``losers``.
+
+    ``keys`` has the column ``key`` of all of ``rows``, kept from before.  A filter over the losers passes most rows on
+    where they are; a second one over the keys that the first takes for losers by mistake drops most losers.
+    Only rows that both flag are shuffled, to be compared exactly.
+    """
+    losers = checkpointed(losers.select(key).distinct())
+    n = losers.count()
+    if not n:
+        return rows
+    maybe = _flagged(keys.select(key), losers, key, n, "__maybe").where("__maybe").select(key).distinct()
+    mistaken = checkpointed(maybe.join(losers, key, "left_anti"))
+    both = _flagged(_flagged(rows, losers, key, n, "__maybe"), mistaken, key, mistaken.count(), "__again")
+    rest = both.where("__maybe and __again").join(losers, key, "left_anti")
+    return both.where("not __maybe").unionByName(rest.select(*both.columns)).drop("__maybe", "__again")
+
+
+def single(rows: DataFrame, repeated: DataFrame, key: str) -> DataFrame:
+    """``rows``, one of each ``key`` that is in ``repeated``; the others stay where they are."""
+    repeated = checkpointed(repeated.select(key).distinct())
+    n = repeated.count()
+    if not n:
+        return rows
+    both = _flagged(rows, repeated, key, n, "__maybe")
+    # what is flagged by mistake occurs once, and stays as it is
+    once = both.where("__maybe").dropDuplicates([key])
+    return both.where("not __maybe").unionByName(once.select(*both.columns)).drop("__maybe")
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that are ``keep_row`` in ``found``, one of those that repeat it."""
+    found = checkpointed(found.select(F.col("row").alias("__row"), F.col("keep_row")))
+    rows = docs.withColumn("__row", identity(id_col, sha_of(F.col(text_col))))
+    again = found.where("__row = keep_row").groupBy("__row").count().where("count > 1")
+    return single(without(rows, found.where("__row <> keep_row"), "__row", found), again, "__row").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def numbered(rows: DataFrame, by: str, order: list[str], blocks: int, name: str) -> DataFrame:
+    """``rows`` with ``name``: their number within ``by``, gapless from 0, whatever the size of a group.
+
+    Rows are dealt to ``blocks`` blocks by a hash of ``order`` and numbered within; a block's numbers start after those of the
+    blocks before it.  ``rows`` must be stored (it is read twice).
+    """
+    dealt = rows.withColumn("__block", F.pmod(F.xxhash64(*order), F.lit(max(1, blocks))))
+    counts = dealt.groupBy(by, "__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(by).orderBy("__block").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")
+    counts = counts.select(by, "__block", before.alias("__before"))
+    inner = F.row_number().over(W.partitionBy(by, "__block").orderBy(*order)) - 1
+    found = dealt.withColumn("__inner", inner).join(counts, [by, "__block"])
+    return found.select(*rows.columns, (F.col("__before") + F.col("__inner")).cast("long").alias(name))
 
 
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:

@@ -19,19 +19,16 @@ def _stars(edges: DataFrame, total: int) -> DataFrame:
     return lookup(edges, least, "u", "n", total, F.col("v"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root`` for every node with an edge: ``root`` is the smallest node it can reach.
 
-    Self-loops, repeated edges and nulls are ignored.  Every round is checkpointed; nodes with a
-    thousandth of all edges are looked up by broadcast, so a star of any size stays spread out.
+    Self-loops, repeated edges and nulls are ignored.  Every round is checkpointed, until one changes nothing; nodes
+    with a thousandth of all edges are looked up by broadcast, so a star of any size stays spread out.
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e = checkpointed(e)
     before = _state(e)
-    for _ in range(rounds):
-        n = before[0]
-        if not n:
-            break
+    while n := before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _stars(both, 2 * n).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _stars(large, n)
@@ -41,6 +38,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
