@@ -5,25 +5,33 @@ smallest value over a text's shingles.  The share of equal places estimates the
 ``near_duplicates`` joins bands of signatures in Spark and verifies every candidate pair by the exact
 Jaccard similarity of the shingle sets.
 
+Classes that share a band are candidates.  Within a band's bucket three star turns come first: pairs inside a
+component need no comparison.  What they leave apart is compared pair by pair in buckets of up to ``CROWDED``
+classes.  Classes of more crowded buckets meet by a prefix filter instead: two sets as similar as asked must
+share one of their rarest shingles, early enough in the order of rarity that the rest can still make up for it.  That
+loses no pair and spares the classes that share a common passage only.
+
 Defined cases: a null text is empty; texts of fewer words than a shingle are one shingle, texts without
 words have the signature of the empty set, which equals only itself.  Words are lower-cased and split at
-white space.  Null ids come first.  Rows that repeat an id are taken each.  Extra columns are ignored.
+white space; letters of scripts written without spaces are words of their own.  Long texts are taken whole.  Ids may be
+of any type that orders; null ids come first.  Rows that repeat an id are taken each, those that repeat id and text are one
+document in ``deduplicate``.  Equal ids are ordered by a hash of the text.  An empty table gives an empty result.  Extra columns
+are ignored, or pass through ``deduplicate``, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bitset, checkpointed, flag, lookup, map_arrow, without
+from .common import HOT_BYTES, bitset, checkpointed, filter_bits, flag, identity, keep_one, lookup, map_arrow, sha_of
 from .components import components
 
 PERMUTATIONS, SHINGLE, SIMILAR = 128, 5, 0.8
@@ -33,11 +41,20 @@ _A = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 _MIX = (_rng.integers(1, 1 << 63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 ROWS_AT_ONCE = 1024
+#: Scripts without spaces between words: Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_WORD = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    t = (text or "").lower()
+    return _WORD.findall(t) if _HAS_UNSPACED.search(t) else t.split()
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Hashes of the word shingles of a whole text, repeats included."""
-    words = (text or "").lower().split()
+    words = words_of(text)
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
@@ -67,29 +84,36 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
+#: Ranges of ids at most, so that their bounds stay a small list at any size.
+MOST_RANGES = 20_000
+
+
 def in_order(docs: DataFrame, id_col: str, text_col: str, part_bytes: int = 1 << 23) -> DataFrame:
     """``bucket, copy, id, text``, sorted within partitions: each bucket's rows by id, then the next bucket's first row.
 
-    Buckets are ranges of ids of about equal numbers of rows; the last is followed by the very first
-    row.  The text is shuffled once.  Ids must be numbers.
+    Buckets are ranges of ids, of about ``part_bytes`` each until there are ``MOST_RANGES``; the last is followed by the very first
+    row.  The ranges are found on ids alone; the text is shuffled once.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("double"), F.lit(float("-inf"))).alias("at"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-size // part_bytes))
-    inner = rows.where("id is not null").approxQuantile("at", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    splits = [float("-inf"), *sorted(set(inner)), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="at", outputCol="bucket") if len(splits) > 2 else None
-    placed = cut.transform(rows) if cut else rows.withColumn("bucket", F.lit(0.0))
-    firsts = placed.groupBy("bucket").agg(F.min("at").alias("first"))
-    # as many rows as there are buckets; the bucket before each, the last before the first
-    ring = W.partitionBy().orderBy("bucket")
-    before = F.coalesce(F.lag("bucket").over(ring), F.max("bucket").over(ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    firsts = checkpointed(firsts.select(F.col("first").alias("at"), before.alias("to")))
-    copies = placed.join(F.broadcast(firsts) if len(splits) < 20_000 else firsts, "at", "left")
+    at = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    n = int(min(MOST_RANGES, max(1, -(-size // part_bytes))))
+    narrow = docs.select(at.alias("at"))
+    spread = narrow.repartitionByRange(n, "at") if n > 1 else narrow.coalesce(1)
+    firsts = spread.groupBy(F.spark_partition_id().alias("p")).agg(F.min("at").alias("at"))
+    listed = firsts.agg(F.sort_array(F.collect_list("at")).alias("a"))
+    bounds, many = listed.select(F.to_json("a"), F.size("a")).first()
+    kind = listed.schema["a"].dataType
+    known = F.from_json(F.lit(bounds or "[]"), kind)
+    # by halves, the number of bounds that are not above the row
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, many.bit_length())))])
+    below = F.aggregate(steps, F.lit(0), lambda acc, k: F.when((acc + k <= many) & (F.get(known, acc + k - 1) <= at), acc + k).otherwise(acc))
+    placed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), at.alias("at"), (below - 1).alias("bucket"))
     own = F.struct("bucket", F.lit(False).alias("copy"))
-    spread = F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to").alias("bucket"), F.lit(True).alias("copy"))))
-    out = copies.select("id", "text", F.explode(spread).alias("p")).select("p.bucket", "p.copy", "id", "text")
-    return out.repartitionById(len(splits) - 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "copy", "id", "text")
+    before = F.struct(F.pmod(F.col("bucket") - 1, F.lit(max(1, many))).alias("bucket"), F.lit(True).alias("copy"))
+    first = F.get(known, F.col("bucket")) == F.col("at")
+    out = placed.select("id", "text", "at", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))).alias("p"))
+    out = out.select("p.bucket", "p.copy", "id", "text", F.col("at.h").alias("h"))
+    return out.repartitionById(max(1, many), F.col("bucket")).sortWithinPartitions("bucket", "copy", "id", "h", "text").drop("h")
 
 
 def fingerprints_beside_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,7 +162,7 @@ def fingerprints_beside_edits(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
-    """``id, row, shingles, text_key, bands`` per row: the number of distinct shingles, a hash of their set, a hash of each band of the signature."""
+    """``id, row, shingles, text_key, bands`` per row: the number of distinct shingles, a 128-bit hash of their set, a hash of each band of the signature."""
 
     def run(batches):
         width = PERMUTATIONS // bands
@@ -148,64 +172,122 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 h = np.unique(shingles(t.as_py()))
                 s = signature(h)
                 sizes.append(len(h))
-                keys.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
+                keys.append(xxhash.xxh3_128_digest(h.tobytes()))
                 cut.append([xxhash.xxh64_intdigest(s[i * width : (i + 1) * width].tobytes(), i) - (1 << 63) for i in range(bands)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(cut, pa.list_(pa.int64()))], ["id", "row", "shingles", "text_key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(cut, pa.list_(pa.int64()))], ["id", "row", "shingles", "text_key", "bands"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    return map_arrow(rows, run, f"id {docs.schema[id_col].dataType.simpleString()}, row long, shingles long, text_key long, bands array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), identity(id_col, sha_of(F.col(text_col))).alias("row"), F.col(text_col).alias("text"))
+    return map_arrow(rows, run, f"id {docs.schema[id_col].dataType.simpleString()}, row string, shingles long, text_key binary, bands array<long>")
 
 
-#: Star turns over crowded buckets before all remaining pairs are taken; they only save work.
+#: Star turns; classes in a bucket beyond which pairs are no longer compared one by one.
 TURNS, CROWDED = 3, 64
 #: Bytes of shingle sets that a task keeps while it compares pairs.
 KEPT_BYTES = 32 << 20
+#: Slots by which the frequency of shingles is counted: a fixed number, and only the order of a prefix depends on it.
+SLOTS = 1 << 16
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """``text_key, shingles, bucket, n, root, main`` per class and band that another class has too; each its own root."""
-    keyed = classes.select("text_key", "shingles", F.posexplode("bands").alias("i", "band")).withColumn("bucket", F.xxhash64("i", "band")).drop("i", "band")
+def _grouped(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with ``n``, the rows of its ``bucket``, where there are several."""
     sizes = checkpointed(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = lookup(keyed, sizes, "bucket", "n", total, F.col("text_key")).where("n is not null")
-    return checkpointed(found.withColumn("root", F.col("text_key")).withColumn("main", F.col("text_key")))
+    k, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bits = filter_bits(k)
+    some = flag(keyed, checkpointed(bitset(sizes, "bucket", bits)), F.col("bucket"), bits, "__some").where("__some").drop("__some")
+    return checkpointed(lookup(some, sizes, "bucket", "n", total, F.col("text_key")).where("n is not null"))
+
+
+def _banded(classes: DataFrame) -> DataFrame:
+    """``text_key, shingles, bucket, n`` per class and band that another class has too."""
+    keyed = classes.select("text_key", "shingles", F.posexplode("bands").alias("i", "band"))
+    return _grouped(keyed.select("text_key", "shingles", F.xxhash64("i", "band").alias("bucket")))
+
+
+def _alike(a: str, b: str, similar: float) -> Column:
+    """Whether the numbers of shingles allow the similarity."""
+    return F.least(a, b) >= F.lit(similar) * F.greatest(a, b) - 1e-9
+
+
+def stars(members: DataFrame, similar: float, turns: int = TURNS) -> DataFrame:
+    """``a, b``: in every bucket, up to ``turns`` of its classes with each of the others."""
+    pivot = lambda turn: F.min(F.struct(F.xxhash64(F.lit(turn), "text_key").alias("h"), "text_key", "shingles"))
+    pivots = checkpointed(members.groupBy("bucket").agg(*[pivot(i).alias(f"p{i}") for i in range(turns)], F.count(F.lit(1)).alias("n")))
+    total = pivots.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = lookup(members.select("bucket", "text_key", "shingles"), pivots, "bucket", "n", total, F.col("text_key"))
+    each = found.select("text_key", "shingles", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(turns)]))).alias("p"))
+    pairs = each.where("p.text_key <> text_key").select(F.col("p.text_key").alias("a"), F.col("text_key").alias("b"), F.col("p.shingles").alias("sa"), F.col("shingles").alias("sb"))
+    return pairs.where(_alike("sa", "sb", similar)).select("a", "b").distinct()
 
 
-def _still_open(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """``members`` with their new roots, without buckets of one component or of two classes, which are compared; ``main`` is the bucket's most frequent root."""
-    now = members.select("text_key", "shingles", "bucket").join(joined, F.col("text_key") == F.col("node"), "left").select("text_key", "shingles", "bucket", F.coalesce("root", "text_key").alias("root"))
+def all_pairs(members: DataFrame, similar: float) -> DataFrame:
+    """``a, b``: the pairs of classes with different roots that share a bucket.
+
+    ``members`` may have ``most``, the number of shingles of a class's partner there at most.  For every class the join makes
+    as many rows as its bucket has classes: it is for buckets of up to ``CROWDED``, and for what all else has left.
+    """
+    extra = ["most"] if "most" in members.columns else []
+    side = lambda x: members.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("text_key", "shingles", "root", *extra)])
+    fits = _alike("shingles_a", "shingles_b", similar)
+    if extra:
+        fits = fits & F.expr("most_a >= shingles_b and most_b >= shingles_a")
+    pairs = side("a").join(side("b"), "bucket").where(fits & F.expr("root_a <> root_b and text_key_a < text_key_b"))
+    return pairs.select(F.col("text_key_a").alias("a"), F.col("text_key_b").alias("b")).distinct()
+
+
+def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """``members`` with the ``root`` of each class, without buckets of a single component."""
+    now = members.join(joined, F.col("text_key") == F.col("node"), "left").select(*members.columns, F.coalesce("root", "text_key").alias("root"))
     now = checkpointed(now)
-    parts = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    groups = checkpointed(parts.groupBy("bucket").agg(F.sum("c").alias("n"), F.max_by("root", "c").alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1 and n > 2").drop("roots"))
-    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return checkpointed(lookup(now, groups, "bucket", "n", total, F.col("text_key")).where("n is not null"))
+    h = F.xxhash64("root")
+    apart = checkpointed(now.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n"), F.min(h).alias("x"), F.max(h).alias("y")).where("x <> y").select("bucket", "__n"))
+    total = apart.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    return checkpointed(lookup(now, apart, "bucket", "__n", total, F.col("text_key")).where("__n is not null").drop("__n"))
 
 
-def candidates(members: DataFrame, turn: int | None = None, most: int = 64, similar: float = SIMILAR) -> DataFrame:
-    """``a, b``: pairs of classes with different roots that share a bucket, to be verified.
+def rare_shingles(classes: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """``bucket, text_key, shingles, most, n``: classes by the shingles of their prefixes, where a pair as similar as asked is possible.
 
-    With a ``turn``, the pairs of one class of each bucket with the others, another class each turn.  Without, all pairs:
-    classes outside the bucket's main component meet every class of another root, a large bucket dealt by ``most`` classes.
-    Left out are pairs whose numbers of shingles alone keep them below ``similar``.
+    ``classes`` has ``text_key`` only.  Shingles are ordered by an estimate of their frequency, the rarest first.  Two sets of sizes x
+    and y share at least ``similar / (1 + similar) * (x + y)`` shingles; if the first that they share has u and v shingles from it
+    on, no more than the smaller of u and v.  So u allows a partner of ``most`` shingles.  Of a pair the smaller set allows one of its
+    own size at least: a shingle that no class has early enough for that makes no pair, however many classes have it.
     """
-    alike = F.least("sa", "sb") >= F.lit(similar) * F.greatest("sa", "sb") - 1e-9
-    if turn is not None:
-        pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "text_key").alias("h"), "text_key", "root", "shingles"))
-        pivots = checkpointed(members.groupBy("bucket").agg(pivot.alias("p"), F.count(F.lit(1)).alias("n")))
-        found = lookup(members.drop("n"), pivots, "bucket", "n", members.count(), F.col("text_key")).where("root <> p.root")
-        pairs = found.select(F.col("p.text_key").alias("a"), F.col("text_key").alias("b"), F.col("p.shingles").alias("sa"), F.col("shingles").alias("sb"))
-    else:
-        deals = F.ceil(F.col("n") / most).cast("long")
-        apart = members.where("root <> main").select("bucket", F.col("text_key").alias("a"), F.col("root").alias("ra"), F.col("shingles").alias("sa"), F.explode(F.sequence(F.lit(0).cast("long"), deals - 1)).alias("deal"))
-        all_of = members.select("bucket", F.col("text_key").alias("b"), F.col("root").alias("rb"), F.col("shingles").alias("sb"), "main", F.pmod(F.xxhash64("text_key"), deals).alias("deal"))
-        pairs = apart.join(all_of, ["bucket", "deal"]).where("ra <> rb and (rb = main or a < b)")
-    return pairs.where(alike).select("a", "b").distinct()
+    own = texts.join(classes, "text_key")
+
+    def count(batches):
+        seen = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                seen += np.bincount((np.unique(shingles(t.as_py())) % SLOTS).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["slot", "c"])
+
+    counts = map_arrow(own.select("text"), count, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    often = np.zeros(SLOTS, np.int64)
+    often[counts["slot"].to_numpy()] = counts["c"].to_numpy()
+
+    def prefixes(batches):
+        for b in batches:
+            for key, t in zip(b.column(0), b.column(1), strict=True):
+                h = np.unique(shingles(t.as_py()))
+                n = len(h)
+                h = h[np.lexsort((h, often[(h % SLOTS).astype(np.int64)]))][: n - int(np.ceil(similar * n - 1e-9)) + 1]
+                most = np.floor((n - np.arange(len(h))) * (1 + similar) / similar - n + 1e-9).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([key.as_py()] * len(h), pa.binary()), pa.array(np.full(len(h), n)), pa.array(most)], ["bucket", "text_key", "shingles", "most"])
+
+    rows = checkpointed(map_arrow(own.select("text_key", "text"), prefixes, "bucket long, text_key binary, shingles long, most long"))
+    able = F.min(F.when(F.col("most") >= F.col("shingles"), F.col("shingles"))).alias("least")
+    heads = checkpointed(rows.groupBy("bucket").agg(able, F.count(F.lit(1)).alias("__n")).where("least is not null and __n > 1"))
+    total = heads.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    some = lookup(rows, heads, "bucket", "__n", total, F.col("text_key")).where("most >= least")
+    return _grouped(some.select("text_key", "shingles", "bucket", "most"))
 
 
 def jaccard(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``pairs`` with the exact Jaccard similarity of their shingle sets; ``texts`` has ``text_key, text``."""
-    sides = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(texts.select(F.col("text_key").alias("a"), F.col("text").alias("__x")), "a")
-    left = lookup(pairs, sides, "a", "n", pairs.count(), F.col("b")).drop("n")
+    sides = checkpointed(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    sides = sides.join(texts.select(F.col("text_key").alias("a"), F.col("text").alias("__x")), "a")
+    left = lookup(pairs, sides, "a", "n", pairs.count(), F.col("b"), F.octet_length("__x") <= HOT_BYTES).drop("n")
     both = left.join(texts.select(F.col("text_key").alias("b"), F.col("text").alias("__y")), "b").select("a", "b", "__x", "__y")
 
     def run(batches):
@@ -228,43 +310,49 @@ def jaccard(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 out.append(shared / max(1, len(p) + len(q) - shared) if len(p) or len(q) else 1.0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["a", "b", "jaccard"])
 
-    return map_arrow(both, run, "a long, b long, jaccard double")
+    return map_arrow(both, run, "a binary, b binary, jaccard double")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """``text_key, text`` of the classes in ``wanted`` (``row, text_key``); only rows that a bounded filter flags are shuffled."""
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    flagged = flag(rows, checkpointed(bitset(wanted, "row", 22)), F.col("row"), 22, "__maybe").where("__maybe")
+    """``text_key, text`` of the classes in ``wanted`` (``row, text_key``); only rows that a filter flags are shuffled."""
+    rows = docs.select(identity(id_col, sha_of(F.col(text_col))).alias("row"), F.col(text_col).alias("text"))
+    bits = filter_bits(wanted.count())
+    words = checkpointed(bitset(wanted.select(F.xxhash64("row").alias("h")), "h", bits))
+    flagged = flag(rows, words, F.xxhash64("row"), bits, "__maybe").where("__maybe")
     return checkpointed(flagged.join(wanted, "row").dropDuplicates(["row"]).select("text_key", "text"))
 
 
 def joined_classes(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similar: float) -> DataFrame:
     """``node, root`` over the classes: components of all pairs that share a band and have a Jaccard similarity of at least ``similar``.
 
-    Pairs inside a component need no comparison, so stars come first; what they leave apart is compared
-    pair by pair.  Every link is verified exactly before it joins anything.
+    Every link is verified exactly before it joins anything.
     """
-    members = _buckets(classes)
-    wanted = checkpointed(classes.select("row", "text_key").join(members.select("text_key").distinct(), "text_key").select("row", "text_key"))
+    members = _banded(classes)
+    wanted = checkpointed(classes.join(members.select("text_key").distinct(), "text_key").select("row", "text_key"))
     texts = _texts(docs, id_col, text_col, wanted)
-    links = tried = None
-    turn = 0
-    while True:
-        pairs = candidates(members, turn, similar=similar)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if turn is None else pairs
-        pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        good = checkpointed(jaccard(pairs, texts).where(F.col("jaccard") >= similar).select("a", "b"))
-        links = good if links is None else links.unionByName(good)
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tried = both if tried is None else tried.unionByName(both)
-        joined = components(links)
-        if turn is None:
-            return joined
-        members = _still_open(members, joined)
-        largest = members.agg(F.max("n")).first()[0]
-        if largest is None:
-            return joined
-        turn = turn + 1 if turn + 1 < TURNS and largest > CROWDED else None
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return checkpointed(jaccard(checkpointed(pairs), texts).where(F.col("jaccard") >= similar).select("a", "b"))
+
+    links = verified(stars(members, similar))
+    joined = components(links)
+    left = _open(members.where("n > 2"), joined)
+    if left.isEmpty():
+        return joined
+    pairs = all_pairs(left.where(F.col("n") <= CROWDED), similar)
+    crowd = checkpointed(left.where(F.col("n") > CROWDED).select("text_key", "root").distinct())
+    crowded = not crowd.isEmpty()
+    if crowded:
+        rare = rare_shingles(crowd.select("text_key"), texts, similar)
+        few = rare.where(F.col("n") <= CROWDED).join(crowd, "text_key")
+        pairs = pairs.unionByName(all_pairs(few, similar)).unionByName(stars(rare.where(F.col("n") > CROWDED), similar)).distinct()
+    links = links.unionByName(verified(pairs))
+    joined = components(links)
+    if crowded:
+        left = _open(rare.where(F.col("n") > CROWDED), joined)
+        if not left.isEmpty():
+            joined = components(links.unionByName(verified(all_pairs(left, similar))))
+    return joined
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -285,9 +373,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each component: the one with the smallest id."""
-    losers = near_duplicates(docs, id_col, text_col, similar).where("row != keep_row").select(F.col("row").alias("__row"))
-    rows = docs.withColumn("__row", F.xxhash64(id_col, text_col))
-    return without(rows, checkpointed(losers), "__row").select(*docs.columns)
+    return keep_one(docs, near_duplicates(docs, id_col, text_col, similar), id_col, text_col)
 
 
 def hexed(signature_col: Column) -> Column:
