@@ -1,24 +1,27 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Anchors are the words of a covering code of the 64 fingerprint bits: the product of two perfect
-binary Golay codes on bits 0-22 and 23-45 (covering radius 3 each) and the one-word code on the
-other 18 bits.  A fingerprint's home is the anchor it decodes to.  It is replicated to every anchor
-within the covering radius plus the threshold, block by block: if two fingerprints differ in
-``threshold`` bits at most, one of them is at home at an anchor that the other visits.  Fingerprints
-are compared at their anchors only; equal fingerprints are one class long before.
+Anchors are the words of a covering code of the 64 fingerprint bits: a product of perfect binary codes on blocks
+of bits.  Two Golay codes (bits 0-22 and 23-45, covering radius 3 each) make 2**24 anchors; where these would be
+crowded a Hamming code (bits 46-60, radius 1) makes 2**35 of them.  All other bits have the one-word code.  A
+fingerprint's home is the anchor it decodes to.  It is replicated to every anchor within the covering radius plus the
+threshold, block by block: if two fingerprints differ in ``threshold`` bits at most, one of them is at home at an
+anchor that the other visits.  Fingerprints are compared at their anchors only; equal fingerprints are one class
+long before.  Which code is used changes the work, never the links.
 
 An anchor with more than ``cap`` fingerprints is not compared in one task.  Its fingerprints take the
 exact linear way: two of them differ in at most ``threshold`` (even) bits if they share a point
 within half of it, and such a point has a bounded number of neighbours.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero and is linked like any
-other.  Null ids come after all others.  Rows that repeat an id keep their own fingerprints.  An empty
-table gives an empty result; extra columns are ignored.
+other.  Long texts are taken whole, in blocks of words.  Null ids come after all others.  Rows that repeat an id keep their
+own fingerprints; of those that repeat id and text ``deduplicate`` returns one.  An empty table gives an empty result; extra
+columns are ignored, or pass through ``deduplicate``, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 
@@ -28,16 +31,35 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lookup, map_arrow, without
+from .common import checkpointed, identity, keep_one, lookup, map_arrow, sha_of
 from .components import components
 
-#: Generator polynomial of the binary Golay code of length 23, a fixed value.
-GOLAY = 0b101011100011
-BLOCK, RADIUS = 23, 3
-MASK = (1 << BLOCK) - 1
 WORDS_AT_ONCE = 1 << 16
 
 
+@dataclass(frozen=True)
+class Code:
+    """A perfect cyclic code on ``length`` bits from ``shift``: every word is within ``radius`` of one code word."""
+
+    shift: int
+    length: int
+    generator: int
+    radius: int
+
+    @property
+    def degree(self) -> int:
+        return self.generator.bit_length() - 1
+
+    def word(self, fps: np.ndarray) -> np.ndarray:
+        return (fps >> self.shift) & ((1 << self.length) - 1)
+
+
+#: Generator polynomials of the binary Golay code of length 23 and the Hamming code of length 15.
+GOLAY, HAMMING = 0b101011100011, 0b10011
+FEW = (Code(0, 23, GOLAY, 3), Code(23, 23, GOLAY, 3))
+MANY = (*FEW, Code(46, 15, HAMMING, 1))
+
+
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     """Of one whole text in UTF-8; long texts are taken in blocks of words, so memory stays bounded."""
     words = (text or b"").lower().split()
@@ -65,84 +87,99 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``id, row, fp`` per row: ``fp`` the 64 bits as a long, ``row`` a hash of id and text that tells rows apart."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    return map_arrow(rows, lambda it: _fingerprints(it, shingle), f"id {docs.schema[id_col].dataType.simpleString()}, row long, fp long")
+    """``id, row, fp`` per row: ``fp`` the 64 bits as a long, ``row`` a string of id and digest that tells rows apart."""
+    rows = docs.select(F.col(id_col).alias("id"), identity(id_col, sha_of(F.col(text_col))).alias("row"), F.col(text_col).alias("text"))
+    return map_arrow(rows, lambda it: _fingerprints(it, shingle), f"id {docs.schema[id_col].dataType.simpleString()}, row string, fp long")
 
 
 @lru_cache
-def _syndromes() -> tuple[np.ndarray, ...]:
-    """By byte of a 23-bit word, its part of the remainder modulo the generator."""
+def _syndromes(code: Code) -> tuple[np.ndarray, ...]:
+    """By byte of a word, its part of the remainder modulo the generator."""
     unit = []
-    for i in range(BLOCK):
+    for i in range(code.length):
         r = 1 << i
-        for k in range(BLOCK - 1, 10, -1):
+        for k in range(code.length - 1, code.degree - 1, -1):
             if r >> k & 1:
-                r ^= GOLAY << (k - 11)
+                r ^= code.generator << (k - code.degree)
         unit.append(r)
     tables = []
     for low in (0, 8, 16):
         t = np.zeros(256, np.int64)
-        for i in range(min(8, BLOCK - low)):
+        for i in range(max(0, min(8, code.length - low))):
             t[np.arange(256) >> i & 1 == 1] ^= unit[low + i]
         tables.append(t)
     return tuple(tables)
 
 
-def syndrome(words: np.ndarray) -> np.ndarray:
-    a, b, c = _syndromes()
+def syndrome(code: Code, words: np.ndarray) -> np.ndarray:
+    a, b, c = _syndromes(code)
     return a[words & 255] ^ b[words >> 8 & 255] ^ c[words >> 16]
 
 
 @lru_cache
-def _patterns(extra: int) -> tuple[np.ndarray, np.ndarray]:
-    """By syndrome, where the error patterns of weight 3 + ``extra`` (0: up to 3) start; the patterns."""
-    weights = range(RADIUS + 1) if extra == 0 else [RADIUS + extra]
-    errors = np.array([sum(1 << i for i in c) for w in weights for c in combinations(range(BLOCK), w)], np.int64)
-    s = syndrome(errors)
+def _patterns(code: Code, extra: int) -> tuple[np.ndarray, np.ndarray]:
+    """By syndrome, where the error patterns of weight radius + ``extra`` (0: up to the radius) start; the patterns."""
+    weights = range(code.radius + 1) if extra == 0 else [code.radius + extra]
+    errors = np.array([sum(1 << i for i in c) for w in weights for c in combinations(range(code.length), w)], np.int64)
+    s = syndrome(code, errors)
     order = np.argsort(s, kind="stable")
-    return np.searchsorted(s[order], np.arange(2049)), errors[order]
+    return np.searchsorted(s[order], np.arange((1 << code.degree) + 1)), errors[order]
 
 
-def anchors(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(fps: np.ndarray, threshold: int, codes: tuple[Code, ...] = FEW) -> tuple[np.ndarray, np.ndarray]:
     """For each fingerprint, by position, every anchor within the covering radius plus the threshold."""
-    lo, hi = (fps & MASK).astype(np.int64), (fps >> BLOCK & MASK).astype(np.int64)
-    s_lo, s_hi = syndrome(lo), syndrome(hi)
-    at, out = [], []
-    for i in range(threshold + 1):
-        first, errors = _patterns(i)
-        n = first[s_lo + 1] - first[s_lo]
-        row = np.repeat(np.arange(len(fps)), n)
-        left = lo[row] ^ errors[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[s_lo][row]]
-        for j in range(threshold + 1 - i):
-            first2, errors2 = _patterns(j)
-            s2 = s_hi[row]
-            m = first2[s2 + 1] - first2[s2]
-            pick = np.repeat(np.arange(len(row)), m)
-            right = hi[row[pick]] ^ errors2[np.arange(len(pick)) - np.repeat(np.cumsum(m) - m, m) + first2[s2][pick]]
-            at.append(row[pick])
-            out.append(left[pick] | right << BLOCK)
-    return np.concatenate(at), np.concatenate(out)
-
-
-def _replicas(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    at, left, out = np.arange(len(fps)), np.full(len(fps), threshold), np.zeros(len(fps), np.int64)
+    for code in codes:
+        words = code.word(fps)
+        s, parts = syndrome(code, words), []
+        for extra in range(threshold + 1):
+            ok = np.flatnonzero(left >= extra)
+            first, errors = _patterns(code, extra)
+            begin = first[s[at[ok]]]
+            n = first[s[at[ok]] + 1] - begin
+            pick = np.repeat(ok, n)
+            error = errors[np.arange(len(pick)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)]
+            parts.append((at[pick], left[pick] - extra, out[pick] | (words[at[pick]] ^ error) << code.shift))
+        at, left, out = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return at, out
+
+
+def visits(threshold: int, codes: tuple[Code, ...]) -> float:
+    """How many anchors a fingerprint visits on average."""
+    by_left = {threshold: 1.0}
+    for code in codes:
+        new: dict[int, float] = {}
+        for left, n in by_left.items():
+            for extra in range(left + 1):
+                patterns = len(_patterns(code, extra)[1]) / (1 << code.degree)
+                new[left - extra] = new.get(left - extra, 0.0) + n * patterns
+        by_left = new
+    return sum(by_left.values())
+
+
+def load(n: int, threshold: int, codes: tuple[Code, ...]) -> float:
+    """Fingerprints at an anchor on average, if ``n`` were spread evenly."""
+    return n * visits(threshold, codes) / 2.0 ** sum(c.length - c.degree for c in codes)
+
+
+def _replicas(batches: Iterator[pa.RecordBatch], threshold: int, codes: tuple[Code, ...]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         for i in range(0, len(fps), 2048):
             part = fps[i : i + 2048]
-            row, anchor = anchors(part.view(np.int64), threshold)
+            row, anchor = anchors(part.view(np.int64), threshold, codes)
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[row].view(np.int64))], ["anchor", "fp"])
 
 
-def home(fps: np.ndarray) -> np.ndarray:
-    return anchors(fps, 0)[1]
+def home(fps: np.ndarray, codes: tuple[Code, ...] = FEW) -> np.ndarray:
+    return anchors(fps, 0, codes)[1]
 
 
-def _same_anchor(anchor: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def _same_anchor(anchor: np.ndarray, fp: np.ndarray, threshold: int, codes: tuple[Code, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs among rows sorted by anchor; a group's links come as they are if few, else as a star."""
     starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     sizes = np.diff(np.r_[starts, len(anchor)])
-    at_home = home(fp) == anchor
+    at_home = home(fp, codes) == anchor
     left, right = [], []
     big = sizes > 16
     idx = np.flatnonzero(np.repeat(~big & (sizes > 1), sizes))
@@ -155,8 +192,8 @@ def _same_anchor(anchor: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np
         right.append(fp[idx[near] + k])
         k += 1
     for s, n in zip(starts[big], sizes[big], strict=True):
-        f, h = np.sort(fp[s : s + n]), None
-        h = home(f) == anchor[s]
+        f = np.sort(fp[s : s + n])
+        h = home(f, codes) == anchor[s]
         label = np.arange(n)
         close = [(np.bitwise_count(f[i].view(np.uint64) ^ f.view(np.uint64)) <= threshold) & (h[i] | h) for i in range(n)]
         near = np.array(close)
@@ -173,7 +210,7 @@ def _same_anchor(anchor: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np
     return (np.concatenate(left), np.concatenate(right)) if left else (fp[:0], fp[:0])
 
 
-def _links(batches: Iterator[pa.RecordBatch], threshold: int, cap: int) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], threshold: int, cap: int, codes: tuple[Code, ...]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by anchor: links as ``a, b``; of an overfull anchor each row as ``a`` with null ``b``."""
 
     def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
@@ -194,16 +231,16 @@ def _links(batches: Iterator[pa.RecordBatch], threshold: int, cap: int) -> Itera
         if not len(anchor):
             continue
         cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on in the next batch
-        yield from _whole(anchor[:cut], fp[:cut], threshold, cap, out)
+        yield from _whole(anchor[:cut], fp[:cut], threshold, cap, codes, out)
         anchor, fp = anchor[cut:], fp[cut:]
         if len(anchor) > cap:
             over = anchor[0]
             yield out(fp, None)
             anchor, fp = anchor[:0], fp[:0]
-    yield from _whole(anchor, fp, threshold, cap, out)
+    yield from _whole(anchor, fp, threshold, cap, codes, out)
 
 
-def _whole(anchor: np.ndarray, fp: np.ndarray, threshold: int, cap: int, out) -> Iterator[pa.RecordBatch]:
+def _whole(anchor: np.ndarray, fp: np.ndarray, threshold: int, cap: int, codes: tuple[Code, ...], out) -> Iterator[pa.RecordBatch]:
     if len(anchor) < 2:
         return
     _, inverse, n = np.unique(anchor, return_inverse=True, return_counts=True)
@@ -211,7 +248,7 @@ def _whole(anchor: np.ndarray, fp: np.ndarray, threshold: int, cap: int, out) ->
     if full.any():
         yield out(fp[full], None)
     if not full.all():
-        a, b = _same_anchor(anchor[~full], fp[~full], threshold)
+        a, b = _same_anchor(anchor[~full], fp[~full], threshold, codes)
         if len(a):
             yield out(a, b)
 
@@ -226,15 +263,29 @@ def _crowded(fps: DataFrame, threshold: int) -> DataFrame:
     return shared.select(F.explode("fps").alias("a"), F.col("fps")[0].alias("b")).where("a != b").distinct()
 
 
-def links(fps: DataFrame, threshold: int = 2, cap: int = 1024) -> DataFrame:
+def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(home(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))], ["anchor"])
+
+
+def code_for(fps: DataFrame, threshold: int, cap: int) -> tuple[Code, ...]:
+    """The code of few anchors, unless their load would be over ``cap`` / 64 on average, or a third of ``cap`` have their home at one of them."""
+    if load(fps.count(), threshold, FEW) > cap / 64:
+        return MANY
+    most = map_arrow(fps, _homes, "anchor long").groupBy("anchor").count().agg(F.max("count")).first()[0]
+    return MANY if (most or 0) > cap / 3 else FEW
+
+
+def links(fps: DataFrame, threshold: int = 2, cap: int = 1024, codes: tuple[Code, ...] | None = None) -> DataFrame:
     """``a, b``: links between distinct fingerprints (column ``fp``) that lose no component.
 
-    All differing fingerprints within ``threshold`` bits are connected through these links.
+    All differing fingerprints within ``threshold`` bits are connected through these links, whichever ``codes`` are given.
     """
     if threshold % 2:
         raise ValueError("the threshold must be even")
-    visits = map_arrow(fps, lambda it: _replicas(it, threshold), "anchor long, fp long")
-    found = map_arrow(visits.repartition("anchor").sortWithinPartitions("anchor"), lambda it: _links(it, threshold, cap), "a long, b long")
+    codes = codes or code_for(fps, threshold, cap)
+    visiting = map_arrow(fps, lambda it: _replicas(it, threshold, codes), "anchor long, fp long")
+    found = map_arrow(visiting.repartition("anchor").sortWithinPartitions("anchor"), lambda it: _links(it, threshold, cap, codes), "a long, b long")
     found = checkpointed(found)
     crowded = found.where("b is null").select(F.col("a").alias("fp")).distinct()
     edges = found.where("b is not null")
@@ -265,6 +316,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each component: the one with the smallest id."""
-    losers = near_duplicates(docs, id_col, text_col, **how).where("row != keep_row").select(F.col("row").alias("__row"))
-    rows = docs.withColumn("__row", F.xxhash64(id_col, text_col))
-    return without(rows, checkpointed(losers), "__row").select(*docs.columns)
+    return keep_one(docs, near_duplicates(docs, id_col, text_col, **how), id_col, text_col)
