@@ -10,9 +10,14 @@ far more frequent in documents labelled toxic than in others.  Learning takes at
 ``max_labelled`` labelled documents of each class, chosen by a hash of the id; scoring covers every
 whole text.
 
-Defined cases: a null or empty text has no match and scores below 0.5.  Ids only choose the learning
-sample and tell rows apart.  Without labels of both classes the fixed lexicon and curve are used.
-Rows that repeat an id are scored each; empty tables give empty results.
+Stems are beginnings of ``SHORTEST`` to ``LONGEST`` letters; whole words count at any length.  Both limits are part of
+what a term is: they bound a word's terms, so that a text's are in proportion to its length.
+
+Defined cases: a null or empty text has no match and scores below 0.5.  Long texts are scored whole, in time in proportion
+to their length.  Ids only choose the learning sample and tell rows apart.  Terms of equal evidence go by stems
+first, then by length and alphabet; of matches at one word the longest counts.  Without labels of both classes the fixed
+lexicon and curve are used.  Rows that repeat an id are scored each; empty tables give empty results; extra columns are
+ignored, or pass through ``keep_clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -51,16 +57,21 @@ _ASCII = str.maketrans(_KEEP)
 _DROPPED = str.maketrans({"@": " ", "$": " "})
 
 
+@lru_cache(maxsize=1 << 16)
+def _folded(ch: str) -> str:
+    """What one character above ASCII stands for."""
+    base = LOOKALIKES.get(ch) or "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c)).lower()
+    base = "".join(LOOKALIKES.get(c, c) for c in base)
+    return base if base.isalnum() or not base else " "
+
+
 def fold(text: str | None) -> str:
     """Folded words between single or more spaces, one at either end."""
     t = _NUMBER.sub(" ", (text or "").lower())
     if "@" in t or "$" in t:
         t = _SIGN.sub(lambda m: DIGITS[m[0]], t).translate(_DROPPED)
     if not t.isascii():
-        for ch in {c for c in set(t) if c > "\x7f"}:
-            base = LOOKALIKES.get(ch) or "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c)).lower()
-            base = "".join(LOOKALIKES.get(c, c) for c in base)
-            t = t.replace(ch, base if base.isalnum() or not base else " ")
+        t = t.translate({ord(c): _folded(c) for c in set(t) if c > "\x7f"})
     return f" {t.translate(_ASCII)} "
 
 
@@ -96,7 +107,16 @@ def matched(folded: str, automaton: ahocorasick.Automaton) -> tuple[float, int]:
         elif start not in hits or hits[start][0] < n:
             hits[start] = (n, weight)
     if covered:
-        hits = {s: h for s, h in hits.items() if not any(a <= s and s + h[0] - 1 <= b for a, b in covered)}
+        # one sweep: of the spans that start no later, the one that reaches furthest
+        covered.sort()
+        at, furthest, free = 0, -1, {}
+        for start in sorted(hits):
+            while at < len(covered) and covered[at][0] <= start:
+                furthest = max(furthest, covered[at][1])
+                at += 1
+            if furthest < start + hits[start][0] - 1:
+                free[start] = hits[start]
+        hits = free
     return sum(w for _, w in hits.values()), len(hits)
 
 
@@ -114,36 +134,40 @@ def probability(x: tuple[float, float], curve: tuple[float, float, float]) -> fl
     return 1 / (1 + math.exp(-min(30.0, max(-30.0, curve[0] + curve[1] * x[0] + curve[2] * x[1]))))
 
 
-#: Occurrences of a term that count within one document, so that a repeated line doesn't make a term.
-PER_DOCUMENT = 4
+#: Letters of a stem.
+SHORTEST, LONGEST = 4, 10
 
 
-def _terms(text: str | None, longest: int) -> Counter:
-    """Patterns of a text and how often they occur: each word's beginnings of four letters and more, and the whole word."""
+def _terms(text: str | None) -> Counter:
+    """Patterns of a text and how often they occur: each word's beginnings, and the whole word."""
     out: Counter = Counter()
     for w, n in Counter(fold(text).split()).items():
         out[f" {w} "] += n
-        for k in range(4, min(len(w), longest) + 1):
+        for k in range(SHORTEST, min(len(w), LONGEST) + 1):
             out[f" {w[:k]}"] += n
     return out
 
 
-def _counts(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
-    """By term, for documents with label 1 and 0: how many have it, and its occurrences up to the limit."""
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By term, for documents with label 1 and 0: how many have it, and its occurrences.
+
+    Occurrences within a document are damped by a logarithm, so that a repeated line doesn't make a term.
+    """
     tables = [Counter(), Counter(), Counter(), Counter()]
 
     def flush():
         terms = list(tables[0].keys() | tables[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in tables)], ["term", "yes", "no", "yes_n", "no_n"])
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], kind) for c, kind in zip(tables, kinds, strict=True))], ["term", "yes", "no", "yes_n", "no_n"])
         for c in tables:
             c.clear()
 
     for b in batches:
         for text, label in zip(b.column(0), b.column(1), strict=True):
-            found = _terms(text.as_py(), longest)
+            found = _terms(text.as_py())
             at = 0 if label.as_py() else 1
             tables[at].update(found.keys())
-            tables[at + 2].update({t: min(n, PER_DOCUMENT) for t, n in found.items()})
+            tables[at + 2].update({t: 1 + math.log2(n) for t, n in found.items()})
             if len(tables[0]) + len(tables[1]) > 300_000:
                 yield from flush()
     yield from flush()
@@ -151,12 +175,12 @@ def _counts(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.Reco
 
 def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_labelled: int = 4000, max_terms: int = 5000, longest: int = 10, evidence: float = 20.0, ratio: float = 4.0,
+    max_labelled: int = 4000, evidence: float = 20.0, ratio: float = 4.0,
 ) -> Model:
     """A model from the documents that ``labels`` labels.
 
     At most ``max_labelled`` ids of each class are used, so they may be broadcast and no text is shuffled to find
-    theirs; at most ``max_terms`` terms come to the driver.  Of equal texts one is used.  A term needs a
+    theirs, and the terms that come to the driver are some of those of so many documents.  Of equal texts one is used.  A term needs a
     log-likelihood ratio of ``evidence`` over documents that have it, and ``ratio`` times as many occurrences
     per toxic document as per other document.  Of a word's beginnings that qualify the one with most evidence
     is kept.
@@ -173,7 +197,7 @@ def learn(
     n_no, n_yes = sizes.get(0, 0), sizes.get(1, 0)
     if not n_no or not n_yes:
         return Model(seeds, exceptions)
-    counts = map_arrow(sample.repartition(24), lambda it: _counts(it, longest), "term string, yes long, no long, yes_n long, no_n long")
+    counts = map_arrow(sample.repartition(24), _counts, "term string, yes long, no long, yes_n double, no_n double")
     counts = counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("yes", "no", "yes_n", "no_n")])
     share, total = n_yes / (n_yes + n_no), F.col("yes") + F.col("no")
 
@@ -184,10 +208,13 @@ def learn(
     weight = F.log((F.col("yes_n") + 0.5) / (n_yes + 1.0)) - F.log((F.col("no_n") + 0.5) / (n_no + 1.0))
     best = counts.where("yes >= 3").select("term", g.alias("g"), weight.alias("w")).where((F.col("g") >= evidence) & (F.col("w") >= math.log(ratio)))
     terms: dict[str, float] = {}
-    for r in best.orderBy(F.desc("g"), F.col("term").endswith(" "), F.desc(F.length("term")), "term").limit(max_terms).collect():
+    begun: set[str] = set()  # every beginning of a term taken
+    for r in best.orderBy(F.desc("g"), F.col("term").endswith(" "), F.desc(F.length("term")), "term").collect():
         t = r["term"]
-        if not any(t.startswith(k) or k.startswith(t) for k in terms):
+        heads = [t[:k] for k in range(1, len(t) + 1)]
+        if t not in begun and not any(h in terms for h in heads):
             terms[t] = float(r["w"])
+            begun.update(heads)
     terms = seeds | terms
     model = Model(terms, exceptions)
     automaton = model.built
