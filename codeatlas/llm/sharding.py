@@ -1,30 +1,32 @@
 """Sharding by a k-d tree over document metadata, split at distributed weighted medians.
 
 A node with several shards is split along its widest dimension (source, language, size, id) so that the
-bytes on either side are in proportion to the shards there; leaves are shards.  The weighted median is
-found exactly on a total order by histograms of at most ``BINS`` bins a node, narrowed until a bin is
-a small part of a shard.  Only histograms come to the driver.
+bytes on either side are in proportion to the shards there, until a leaf is one shard: a number of shards, or as many as
+the target bytes need.  The weighted median is found on a total order by histograms of at most ``BINS`` bins a node,
+narrowed until a bin is a small part of a shard.  Only histograms come to the driver.
 
-Equal texts are one group and go to one shard.  Groups of over a hundredth of a shard (at most 100 a
-shard) are dealt first, the largest to the emptiest shard; one heavier than half a shard is dealt in
-parts by a hash of the id, since it could not be balanced otherwise.  The tree then fills what is left.
+Equal texts are one group and go to one shard.  Groups of over a hundredth of a shard (and a millionth of all bytes) are
+dealt first, the largest to the emptiest shard; the tree then fills what is left.  A group heavier than ``split_over`` shards
+(1: a whole shard) can't stay whole without making its shard heavier than the others: it is dealt in parts, its rows in turn.
 
-Defined cases: a null text has size 16 (a row's overhead), null metadata counts as empty or zero.  Rows
-that repeat an id are placed each.  Empty tables give empty results; extra columns are ignored.
+Defined cases: a null text has size 16 (a row's overhead), null metadata counts as empty or zero.  Groups with equal
+coordinates are ordered by a hash of the text.  Long texts are weighed whole.  Rows that repeat an id are placed each.  Empty
+tables give empty results; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lookup
+from .common import checkpointed, lookup, numbered
 
 BINS = 2048
-#: Rows of a group that one task may put in order to deal them in turn.
-RANKED = 4096
 OVERHEAD = 16
+#: Groups dealt before the tree have at least this share of all bytes, so there are at most so many.
+DEALT = 1_000_000
 
 
 def row_size(text: Column) -> Column:
@@ -50,19 +52,25 @@ def _groups(rows: DataFrame) -> DataFrame:
 DIMENSIONS = ("d_source", "d_lang", "d_size", "d_id")
 
 
-def _deal(big: list[tuple[int, int, int]], shards: int, target: float) -> tuple[dict[int, list[int]], list[float]]:
+def _deal(big: list[tuple[int, int, int]], shards: int, target: float, split_over: float) -> tuple[dict[int, list[int]], list[float]]:
     """For each big group the shards of its parts, and every shard's load: largest part to the emptiest shard."""
     load, out = [0.0] * shards, {}
+    emptiest = [(0.0, i) for i in range(shards)]
     for key, w, n in sorted(big, key=lambda x: (-x[1], x[0])):
-        parts = 1 if w <= target / 2 else min(n, 64 * shards, int(-(-w // (target / 16))))
+        parts = 1 if w <= target * split_over else min(n, 64 * shards, int(-(-w // (target / 16))))
         out[key] = []
         for _ in range(parts):
-            s = min(range(shards), key=lambda i: (load[i], i))
+            _, s = emptiest[0]
             load[s] += w / parts
+            heapq.heapreplace(emptiest, (load[s], s))
             out[key].append(s)
     return out, load
 
 
+def _along(dim: Column) -> Column:
+    return F.coalesce(*[F.when(dim == d, F.col(d)) for d in DIMENSIONS])
+
+
 def _bounds(groups: DataFrame) -> dict:
     ends = [f(d).alias(f"{f.__name__}_{d}") for d in DIMENSIONS for f in (F.min, F.max)]
     return {r["node"]: r.asDict() for r in groups.groupBy("node").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("k"), *ends).collect()}
@@ -76,9 +84,8 @@ def _split_points(groups: DataFrame, goals: dict[int, tuple[str, int, int, float
     spark, done = groups.sparkSession, {}
     open_ = {node: (dim, lo, hi, 0.0, goal) for node, (dim, lo, hi, goal) in goals.items()}
     while open_:
-        params = spark.createDataFrame([(n, d, lo, hi, max(1, -(-(hi - lo + 1) // BINS))) for n, (d, lo, hi, _, _) in open_.items()], "node int, dim string, lo long, hi long, step long")
-        value = F.coalesce(*[F.when(F.col("dim") == d, F.col(d)) for d in DIMENSIONS])
-        inside = groups.join(F.broadcast(params), "node").withColumn("v", value).where("v between lo and hi")
+        params = spark.createDataFrame([(n, d, lo, hi, max(1, -(-(hi - lo + 1) // BINS))) for n, (d, lo, hi, _, _) in open_.items()], "node long, dim string, lo long, hi long, step long")
+        inside = groups.join(F.broadcast(params), "node").withColumn("v", _along(F.col("dim"))).where("v between lo and hi")
         hist = inside.groupBy("node", F.expr("(v - lo) div step").alias("bin")).agg(F.sum("w").alias("w"), F.min("v").alias("first"), F.max("v").alias("last")).collect()
         by_node: dict[int, list] = {}
         for r in hist:
@@ -99,10 +106,14 @@ def _split_points(groups: DataFrame, goals: dict[int, tuple[str, int, int, float
     return done
 
 
-def _tree(groups: DataFrame, room: list[float], target: float) -> DataFrame:
-    """``groups`` with ``shard``: the leaf of the tree whose leaves have ``room`` in proportion."""
+def tree(groups: DataFrame, room: list[float], exact: float) -> DataFrame:
+    """``key, n, shard`` of ``groups``: the leaf of the tree whose leaves have ``room`` in proportion.
+
+    A split is looked for until the bin it falls into weighs no more than ``exact``.
+    """
+    spark = groups.sparkSession
     ranges = {0: (0, len(room))}
-    groups = checkpointed(groups.withColumn("node", F.lit(0)))
+    groups = checkpointed(groups.withColumn("node", F.lit(0).cast("long")))
     root = None
     while any(b - a > 1 for a, b in ranges.values()):
         seen = _bounds(groups)
@@ -116,28 +127,35 @@ def _tree(groups: DataFrame, room: list[float], target: float) -> DataFrame:
                 mid, whole = (a + b) // 2, sum(room[a:b])
                 share = sum(room[a:mid]) / whole if whole > 0 else (mid - a) / (b - a)
                 goals[node] = (dim, x[f"min_{dim}"], x[f"max_{dim}"], x["w"] * share)
-        splits = _split_points(groups, goals, target / 2000)
-        to, children = F.col("node"), {}
-        step = F.lit(None).cast("int")
+        splits = _split_points(groups, goals, exact)
+        children = {}
         for node, (a, b) in ranges.items():
             if b - a == 1:
                 children[node] = (a, b)
-                continue
-            left, right = 2 * node + 1, 2 * node + 2
-            children |= {left: (a, (a + b) // 2), right: ((a + b) // 2, b)}
-            if node in splits:
-                dim, v = splits[node]
-                step = F.when(F.col("node") == node, F.when(F.col(dim) < v, left).otherwise(right)).otherwise(step)
-        groups = checkpointed(groups.withColumn("node", F.coalesce(step, to)))
+            else:
+                children |= {2 * node + 1: (a, (a + b) // 2), 2 * node + 2: ((a + b) // 2, b)}
+        # a row for each node that is split, at most one a shard
+        cuts = spark.createDataFrame([(node, dim, v) for node, (dim, v) in splits.items()], "node long, dim string, cut long")
+        right = (_along(F.col("dim")) >= F.col("cut")).cast("long")
+        stepped = groups.join(F.broadcast(cuts), "node", "left").withColumn("node", F.when(F.col("cut").isNull(), F.col("node")).otherwise(2 * F.col("node") + 1 + right))
+        groups = checkpointed(stepped.select(groups.columns))
         ranges = children
-    shard = F.create_map(*[F.lit(x) for node, (a, _) in ranges.items() for x in (node, a)])
-    return groups.select("key", "n", shard[F.col("node")].alias("shard"))
+    leaves = spark.createDataFrame([(node, a) for node, (a, _) in ranges.items()], "node long, shard int")
+    return groups.join(F.broadcast(leaves), "node").select("key", "n", "shard")
 
 
 def assign(
-    docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rows_per_slot_block: int = 20_000
+    docs: DataFrame, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+    target_bytes: int | None = None, split_over: float | None = 1.0, block_rows: int = 20_000,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, ``size, text_crc32, shard, slot``; slots of a shard have no gap from 0."""
+    """One row per row of ``docs``: id, ``size, text_crc32, shard, slot``; slots of a shard have no gap from 0.
+
+    Give the number of ``shards``, or ``target_bytes`` for as many as keep to these.  Groups of equal texts heavier than ``split_over``
+    shards are split; None keeps every group whole, and one shard heavier than the others where a group is.  Rows are
+    numbered in blocks of about ``block_rows``.
+    """
+    if (shards is None) == (target_bytes is None):
+        raise ValueError("give a number of shards or target bytes")
     text = F.coalesce(text_col, F.lit(""))
     number = F.col(id_col) if dict(docs.dtypes)[id_col] in ("bigint", "int") else F.xxhash64(id_col)
     rows = docs.select(
@@ -147,30 +165,23 @@ def assign(
     rows = checkpointed(rows)
     groups = checkpointed(_groups(rows.withColumn("id", F.coalesce("order", F.lit(0)))))
     total, n = groups.agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shards = shards or max(1, -(-total // target_bytes))
     target = max(1.0, total / shards)
-    # groups of over a hundredth of a shard: at most 100 a shard
-    big = [(r["key"], r["w"], r["n"]) for r in groups.where(F.col("w") * 100 > F.lit(target)).select("key", "w", "n").collect()]
-    parts, load = _deal(big, shards, target)
+    big = groups.where((F.col("w") * 100 > F.lit(target)) & (F.col("w") * DEALT > F.lit(total))).select("key", "w", "n")
+    big = [tuple(r) for r in big.collect()]
+    parts, load = _deal(big, shards, target, float("inf") if split_over is None else split_over)
     room = [max(0.0, target - x) for x in load]
-    counts = {key: k for key, _, k in big}
-    dealt = rows.sparkSession.createDataFrame([(k, v, counts[k]) for k, v in parts.items()], "key long, shards array<int>, rows long")
-    small = _tree(groups.join(F.broadcast(dealt), "key", "left_anti"), room, target)
-    first = rows.join(F.broadcast(dealt), "key", "left")
-    # the parts of a group: in turn if a window can hold the group, else by a hash, which is even enough for many rows
-    few = (F.size("shards") > 1) & (F.col("rows") <= RANKED)
-    in_turn = F.row_number().over(W.partitionBy("key").orderBy("order")) - 1
-    hashed = F.pmod(F.xxhash64("id"), F.size("shards")).cast("int")
-    some = first.where(few).withColumn("turn", in_turn % F.size("shards"))
-    first = first.where(~F.coalesce(few, F.lit(False))).withColumn("turn", hashed).unionByName(some)
-    one = F.get("shards", F.col("turn"))
-    first = first.select("id", "order", "size", "text_crc32", F.when(F.col("shards").isNull(), F.col("key")).alias("key"), one.alias("dealt"))
+    dealt = rows.sparkSession.createDataFrame([(k, v) for k, v in parts.items()], "key long, shards array<int>")
+    small = tree(groups.join(F.broadcast(dealt), "key", "left_anti"), room, target / 2000)
+    first = rows.join(F.broadcast(dealt), "key", "left").select("id", "order", "size", "text_crc32", "key", "shards")
+    # the parts of a group: in turn
+    several = F.size("shards") > 1
+    split = checkpointed(first.where(several))
+    turn = F.pmod(F.col("turn"), F.size("shards")).cast("int")
+    split = numbered(split, "key", ["order", "text_crc32"], n // block_rows, "turn").withColumn("dealt", F.get("shards", turn)).drop("turn")
+    first = first.where(~F.coalesce(several, F.lit(False))).withColumn("dealt", F.get("shards", F.lit(0))).unionByName(split)
+    first = first.withColumn("key", F.when(F.col("shards").isNull(), F.col("key"))).drop("shards")
     placed = lookup(first, small, "key", "n", n, F.col("id")).withColumn("shard", F.coalesce("dealt", "shard"))
-    blocks = max(1, n // (shards * rows_per_slot_block))
-    placed = checkpointed(placed.select("id", "order", "size", "text_crc32", "shard", F.pmod(F.xxhash64("order", "size"), F.lit(blocks)).alias("block")))
-    counts = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
-    counts = counts.select("shard", "block", before.alias("before"))
-    inner = F.row_number().over(W.partitionBy("shard", "block").orderBy("order", "text_crc32")) - 1
-    return placed.withColumn("inner", inner).join(counts, ["shard", "block"]).select(
-        F.col("id").alias(id_col), "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("before") + F.col("inner")).cast("long").alias("slot")
-    )
+    placed = checkpointed(placed.select("id", "order", "size", "text_crc32", "shard"))
+    slots = numbered(placed, "shard", ["order", "size", "text_crc32"], n // (shards * block_rows), "slot")
+    return slots.select(F.col("id").alias(id_col), "size", "text_crc32", F.col("shard").cast("int").alias("shard"), "slot")
