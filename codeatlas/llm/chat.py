@@ -4,9 +4,12 @@ A conversation's turns are put in order, checked against the transitions, and la
 text, each with a flag that says whether it counts for the loss.  The text of a turn is escaped, so that
 no control string of the template can stand inside it, and can be read back without loss.
 
+A conversation is one row of the result, so all its turns meet in one task: it must fit that task's memory, and its text 2 GB.
+
 Defined cases: a null text or role is empty; turns with equal numbers are ordered by role and text, a
 null turn comes first.  An unknown role is formatted, and makes the conversation invalid.  Repeated rows
-are turns of their own.  A null conversation id is one conversation.  Extra columns are ignored.
+are turns of their own.  A row without a conversation id belongs to no other: it is a conversation of one turn.  An empty
+table gives an empty result.  A long text is escaped whole.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,7 +68,8 @@ def format_conversations(rows: DataFrame, template: Template | None = None, conv
     """
     t = template or Template()
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = rows.groupBy(conv_col).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    known = rows.where(F.col(conv_col).isNotNull()).groupBy(conv_col).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    turns = known.unionByName(rows.where(F.col(conv_col).isNull()).select(conv_col, F.array(turn).alias("turns")))
 
     def segment(text: Column, loss: Column) -> Column:
         return F.struct(text.alias("text"), loss.alias("loss"))

@@ -5,13 +5,18 @@ bisected on a fixed grid: the largest whose entropy reaches a target, or the sma
 source more than a limit allows.  A smaller exponent flattens the mixture.
 
 The weights are realised as block permutations under a budget of tokens: every source is cut into
-blocks of documents by a hash, each full pass over a source takes all its blocks in a permuted order,
-and the last pass takes blocks in order until the source's budget is used up; only inside the block
-where that happens documents are counted one by one.
-
-Defined cases: null and empty texts have no tokens but count one, so that every document has a place;
-a null source is a source of its own, the empty string.  Rows that repeat an id are realised each.
-An empty table gives an empty result; extra columns pass through ``mix``.
+blocks of documents by a hash, each pass over a source takes its blocks in a permutation of its own,
+and the last pass takes blocks in its order until the source's budget is used up; only inside the block
+where that happens documents are counted one by one.  Rows come out with their pass and their place in it;
+``in_order`` lays them out so.
+
+Tokens are estimated from bytes: an exact count is the tokenizer's, which is no SQL.  Only shares of tokens matter
+here, so a factor that sources have in common changes nothing.
+
+Defined cases: null and empty texts have no tokens but count one, so that every document has a place; long texts count
+whole.  A null source is a source of its own, the empty string.  Rows that repeat an id are realised each.  Blocks with
+equal hashes go by number, documents with equal hashes by a hash of id and text.  An empty table gives an empty
+result; extra columns pass through ``mix``, and columns added are named with two underscores before.
 """
 
 from __future__ import annotations
@@ -90,6 +95,11 @@ def _order(seed: int, *what: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[w.cast("string") for w in what]).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def _block_order(number: Column) -> Column:
+    """The place of ``block`` in the permutation of a pass."""
+    return _order(1, number, F.col("source"), F.col("block"))
+
+
 def _cuts(rows: DataFrame, plan: DataFrame, most: int) -> DataFrame:
     """``plan`` with ``passes`` and where each source's last pass ends: ``cut_order, cut_block, cut_place, cut_row``.
 
@@ -127,7 +137,7 @@ def _with_plan(rows: DataFrame, plan: DataFrame, most: int) -> DataFrame:
     else:
         found = lookup(rows, plan, "source", "documents", total, F.col("place"))
     found = found.withColumn("block", F.pmod("place", F.col("blocks")))
-    found = found.withColumn("block_order", _order(1, F.col("source"), F.col("block")))
+    found = found.withColumn("block_order", _block_order(F.col("passes") + 1))
     return found.withColumn("range", F.shiftright("block_order", 50))
 
 
@@ -135,11 +145,11 @@ def realise(
     docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7,
     block_docs: int = 256, most_sources: int = 10_000,
 ) -> DataFrame:
-    """``docs`` with ``__source, __tokens, __block, __block_order, __copies``: how often the mixture takes each row.
+    """A row for each time the mixture takes a row of ``docs``, with ``__source, __tokens, __pass, __block, __block_order, __place``.
 
-    A source of n documents has about n / ``block_docs`` blocks.  The last pass over a source ends
-    before the document that would exceed its budget.  With up to ``most_sources`` sources the text is
-    not shuffled; with more, the rows of sources that are not hot are.
+    ``__pass`` counts from 1; in a pass over a source, rows come in the order of ``__block_order``, ``__block``, ``__place``.  A source of
+    n documents has about n / ``block_docs`` blocks.  The last pass over a source ends before the document that would exceed
+    its budget.  With up to ``most_sources`` sources the text is not shuffled; with more, the rows of sources that are not hot are.
     """
     blocks = plan.withColumn("blocks", F.greatest(F.lit(1), F.floor(F.col("documents") / block_docs)).cast("long"))
     place = _order(seed, F.coalesce(F.col(id_col).cast("string"), F.lit("")))
@@ -151,12 +161,21 @@ def realise(
     before = F.struct("block_order", "block") < F.struct(F.col("cut_order"), F.col("cut_block"))
     inside = (F.col("block") == F.col("cut_block")) & (F.struct("place", "row") <= F.struct(F.col("cut_place"), F.col("cut_row"))) & F.col("cut_place").isNotNull()
     more = F.when(F.col("cut_block").isNotNull() & (before | inside), 1).otherwise(0)
-    return found.select(
-        *[F.col(f"doc.`{c}`") for c in docs.columns], F.col("source").alias("__source"), F.col("n_tokens").alias("__tokens"),
-        F.col("block").alias("__block"), F.col("block_order").alias("__block_order"), (F.col("passes") + more).cast("long").alias("__copies"),
+    copies = F.col("passes") + more
+    passes = F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>"))
+    taken = found.withColumn("__pass", F.explode(passes))
+    return taken.select(
+        *[F.col(f"doc.`{c}`") for c in docs.columns], F.col("source").alias("__source"), F.col("n_tokens").alias("__tokens"), "__pass",
+        F.col("block").alias("__block"), _block_order(F.col("__pass")).alias("__block_order"), F.col("place").alias("__place"),
     )
 
 
+def in_order(taken: DataFrame, parts: int) -> DataFrame:
+    """What ``realise`` took in ``parts`` ordered partitions, pass by pass; within a pass the blocks of all sources are mixed."""
+    by = ["__pass", "__block_order", "__source", "__block", "__place"]
+    return taken.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+
+
 def planned(docs: DataFrame, entropy: float | None = None, repeat: float | None = None, budget: int | None = None, source_col: str = "source", text_col: str = "text") -> DataFrame:
     """``source, tokens, documents, weight, budget`` of the mixture of ``docs``."""
     stats = checkpointed(shares(docs, source_col, text_col))
@@ -168,6 +187,5 @@ def mix(
     text_col: str = "text", source_col: str = "source", seed: int = 7,
 ) -> DataFrame:
     """The rows of ``docs``, each as often as the mixture takes it, all columns."""
-    taken = realise(docs, planned(docs, entropy, repeat, budget, source_col, text_col), id_col, text_col, source_col, seed)
-    passes = F.explode(F.when(F.col("__copies") > 0, F.sequence(F.lit(1), F.col("__copies"))).otherwise(F.array().cast("array<bigint>")))
-    return taken.withColumn("__pass", passes).select(*docs.columns)
+    plan = planned(docs, entropy, repeat, budget, source_col, text_col)
+    return realise(docs, plan, id_col, text_col, source_col, seed).select(*[F.col(f"`{c}`") for c in docs.columns])

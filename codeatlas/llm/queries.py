@@ -25,9 +25,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_dir(spark, "warc")
-    files = checkpointed(warc.write(warc.plan(table(spark, sf_dir, "pages")), folder))
-    records = warc.read(files.repartition(max(1, files.count())), folder, with_data=False).where("last")
-    number = lambda c: F.regexp_extract(c, "^<urn:x-record:(.*)>$", 1).try_cast("long")
+    pages = table(spark, sf_dir, "pages")
+    files = checkpointed(warc.write(warc.plan(pages), folder))
+    records = warc.read(files.repartition(max(1, files.count())), folder).where("last")
+    name = lambda c: F.nullif(F.regexp_extract(c, "^<urn:x-record:(.*)>$", 1), F.lit(""))
+    number = lambda c: name(c).cast(pages.schema["page_id"].dataType)
     return records.select(
         number("record_id").alias("page_id"), F.col("bytes_so_far").alias("payload_bytes"), F.col("sha1_so_far").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to")
     )
@@ -36,7 +38,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     taken = mixing.realise(docs, mixing.planned(docs, repeat=4.0))
-    return taken.select("doc_id", F.col("__source").alias("source"), F.col("__tokens").alias("n_tokens"), F.col("__block").alias("block"), F.col("__block_order").alias("block_order"), F.col("__copies").alias("copies"))
+    named = {"__source": "source", "__tokens": "n_tokens", "__pass": "pass", "__block": "block", "__block_order": "block_order", "__place": "place"}
+    return taken.select("doc_id", *[F.col(c).alias(name) for c, name in named.items()])
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +77,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", "quality")
-    found = quality.scores(table(spark, sf_dir, "documents"), labels)
+    docs = table(spark, sf_dir, "documents")
+    found = quality.scores(docs, quality.learn(docs, labels))
     return found.select("doc_id", "site", "path", held_out(F.col("doc_id")).alias("held_out"), "evidence", "site_mean", "path_mean", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -120,27 +124,30 @@ ORACLES = {
         r AS (
             SELECT d.doc_id, d.source, d.n_tokens, d.place, d.place % blocks AS block, budget // tokens AS passes, budget % tokens AS rest
             FROM d JOIN b USING (source)),
-        o AS (SELECT *, CAST('0x' || substr(md5('1:' || source || ':' || block), 1, 15) AS BIGINT) AS block_order FROM r)
-        SELECT doc_id, source, n_tokens, block, block_order,
-            passes + CASE WHEN sum(n_tokens) OVER (PARTITION BY source ORDER BY block_order, block, place ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS copies
-        FROM o
+        o AS (SELECT *, CAST('0x' || substr(md5('1:' || (passes + 1) || ':' || source || ':' || block), 1, 15) AS BIGINT) AS last_order FROM r),
+        c AS (
+            SELECT *, passes + CASE WHEN sum(n_tokens) OVER (PARTITION BY source ORDER BY last_order, block, place ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS copies
+            FROM o)
+        SELECT doc_id, source, n_tokens, pass, block, CAST('0x' || substr(md5('1:' || pass || ':' || source || ':' || block), 1, 15) AS BIGINT) AS block_order, place
+        FROM (SELECT *, unnest(range(1, CAST(copies AS BIGINT) + 1)) AS pass FROM c)
     """,
     "op6_chat": """
         WITH r AS (
-            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-            UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+            SELECT *, CASE WHEN conv_id IS NULL THEN 'n' || row_number() OVER () ELSE 'c' || conv_id END AS conv FROM (
+                SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')),
         e AS (
             SELECT *, length(role) + length(text)
                 + length(role || text) - length(replace(role || text, '\\', '')) + length(role || text) - length(replace(role || text, '<', ''))
                 + length(role || text) - length(replace(role || text, '>', '')) + 15 AS chars,
-                coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text), 'start') || '>' || role AS move
+                coalesce(lag(role) OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text), 'start') || '>' || role AS move
             FROM r)
-        SELECT conv_id, count(*) AS n_turns,
+        SELECT any_value(conv_id) AS conv_id, count(*) AS n_turns,
             sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
             CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(chars) AS BIGINT) AS formatted_chars,
             bool_and(move IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user')) AS valid
-        FROM e GROUP BY conv_id
+        FROM e GROUP BY conv
     """,
 }

@@ -9,8 +9,9 @@ Of equal payloads of at least ``least`` bytes the record with the largest id is
 are revisits that refer to it; smaller payloads are all responses.
 
 Defined cases: a null payload is empty; a null URL is left out; a null id is smaller than any other and
-its record says so by an empty name.  Repeated rows with equal ids are all responses if they have
-the largest id.  An empty table gives an empty table; extra columns are ignored.
+its record says so by an empty name.  Ids may be of any type that orders.  Repeated rows with equal ids are all
+responses if they have the largest id.  A long payload is written and read in chunks.  An empty table gives an
+empty table; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitset, checkpointed, flag, lookup, map_arrow
+from .common import checkpointed, identity, lookup, map_arrow, without
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -39,21 +40,26 @@ CHUNKS = (
 )
 
 
-def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, bits: int = 22) -> DataFrame:
-    """``id, url, payload, sha1, record_type, refers_to`` per row; only rows that may have an equal are shuffled."""
+def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000) -> DataFrame:
+    """``id, url, payload, size, sha1, record_type, refers_to`` per row.
+
+    The verdicts are reached on ids and digests.  A revisit needs no payload, so its row comes from that narrow table; a response
+    stays where it is read, and no payload is shuffled but for the few rows that two filters mistake for revisits.
+    """
     payload = F.coalesce(payload_col, F.lit(""))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("sha1"))
-    key = F.when(F.octet_length("payload") >= least, F.col("sha1"))
-    groups = rows.groupBy(key.alias("key")).agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("key is not null and n > 1")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("size"), F.sha1(payload.cast("binary")).alias("sha1"))
+    rows = rows.withColumn("key", F.when(F.col("size") >= least, identity("id", F.col("sha1"))))
+    narrow = checkpointed(rows.drop("payload"))
+    groups = narrow.where("key is not null").groupBy("sha1").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = checkpointed(groups)
-    words = checkpointed(bitset(groups.select(F.xxhash64("key").alias("h")), "h", bits))
-    flagged = flag(rows.withColumn("key", key), words, F.when(key.isNotNull(), F.xxhash64(key)), bits, "__maybe")
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = lookup(flagged.where("__maybe").drop("__maybe"), groups, "key", "n", total, F.col("id"))
-    alone = flagged.where("not __maybe").drop("__maybe").withColumn("first", F.col("id")).withColumn("n", F.lit(1).cast("long"))
-    both = alone.unionByName(found)
-    again = F.col("n").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    return both.select("id", "url", "payload", "sha1", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
+    found = lookup(narrow.where("key is not null"), groups, "sha1", "n", total, F.col("id")).where("n is not null")
+    revisits = checkpointed(found.where(~F.col("id").eqNullSafe(F.col("first"))))
+    responses = without(rows, revisits, "key", narrow)
+    nothing = F.lit(None)
+    return responses.select("id", "url", "payload", "size", "sha1", F.lit("response").alias("record_type"), nothing.cast(pages.schema[id_col].dataType).alias("refers_to")).unionByName(
+        revisits.select("id", "url", nothing.cast("string").alias("payload"), "size", "sha1", F.lit("revisit").alias("record_type"), F.col("first").alias("refers_to"))
+    )
 
 
 def _name(value) -> str:
@@ -106,11 +112,10 @@ def write(records: DataFrame, folder: str, chunk: int = 1 << 18, roll: int = 1 <
         fs.create_dir(root, recursive=True)
         done, out = [], None
         for b in batches:
-            for row in zip(*(b.column(i) for i in range(6)), strict=True):
-                number, url, payload, sha1, kind, refers = (x.as_buffer() if i == 2 else x.as_py() for i, x in enumerate(row))
+            for row in zip(*b.columns, strict=True):
+                number, url, payload, n, sha1, kind, refers = (x.as_buffer() if i == 2 else x.as_py() for i, x in enumerate(row))
                 if out is None:
                     out = _Out(fs, f"{root}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc{'.gz' * compress}", compress)
-                n = payload.size if payload else 0
                 again = kind == "revisit"
                 head = _header(kind, _name(number), len(HTTP) + (0 if again else n), n, sha1, url, _name(refers) if again else None, date)
 
@@ -129,7 +134,7 @@ def write(records: DataFrame, folder: str, chunk: int = 1 << 18, roll: int = 1 <
             done.append(out.close())
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"])
 
-    return map_arrow(records.select("id", "url", "payload", "sha1", "record_type", "refers_to"), run, "path string, records long, bytes long")
+    return map_arrow(records.select("id", "url", "payload", "size", "sha1", "record_type", "refers_to"), run, "path string, records long, bytes long")
 
 
 def _records(stream: io.BufferedIOBase, chunk: int) -> Iterator[tuple]:
