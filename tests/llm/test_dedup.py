@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeatlas.llm import exact_dedup, minhash, simhash
-from codeatlas.llm.common import bitset, checkpointed, flag, lookup, without
+from codeatlas.llm import common, exact_dedup, minhash, simhash
+from codeatlas.llm.common import bitset, checkpointed, flag, lookup, numbered, single, without
 from codeatlas.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, count int"
@@ -52,11 +52,32 @@ def test_exact_empty_table(spark):
     assert exact_dedup.verdicts(empty).count() == exact_dedup.deduplicate(empty).count() == 0
 
 
-def test_small_filters_only_cost_work(spark):
+def test_small_filters_only_cost_work(spark, monkeypatch):
     rows = mixed_rows()
-    a = exact_dedup.verdicts(frame(spark, rows), bits=7, prefix=1).collect()
-    b = exact_dedup.verdicts(frame(spark, rows)).collect()
-    assert sorted(map(repr, a)) == sorted(map(repr, b))
+    want, kept = exact_dedup.verdicts(frame(spark, rows)).collect(), exact_dedup.deduplicate(frame(spark, rows)).collect()
+    monkeypatch.setattr(common, "MOST_BITS", 7)
+    monkeypatch.setattr(common, "LEAST_BITS", 7)
+    assert sorted(map(repr, exact_dedup.verdicts(frame(spark, rows), prefix=1).collect())) == sorted(map(repr, want))
+    got = exact_dedup.deduplicate(frame(spark, rows), prefix=1).collect()
+    assert sorted((low(r["text"]), repr(r["doc_id"])) for r in got) == sorted((low(r["text"]), repr(r["doc_id"])) for r in kept)
+
+
+def test_repeated_rows_leave_one(spark):
+    rows = [(1, "a"), (1, "A"), (1, "a"), (2, "b"), (None, "c"), (None, "C"), (3, None), (3, "")] + [(4, "d")] * 9
+    assert sorted((r["doc_id"] or -1, low(r["text"])) for r in exact_dedup.deduplicate(frame(spark, rows)).collect()) == [(-1, "c"), (1, "a"), (2, "b"), (3, ""), (4, "d")]
+
+
+def test_lower_ascii_changes_no_other_capital(spark):
+    texts = ["ABC xyz", "ÄÖ aB", "ä aB", "\u212a K", "Ⅷ A", "ⓐⒶ A", "ǅ D", "İ I", "ΣΑΣ S", "日本 Q", ""]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", common.lower_ascii(F.col("t")).alias("x")).collect()
+    assert all(r["x"] == low(r["t"]) for r in got)
+
+
+def test_long_texts_differ_by_their_last_character(spark):
+    rows = [(1, "long " * 300_000 + "x"), (2, "long " * 300_000 + "y"), (3, "LONG " * 300_000 + "x")]
+    assert {r["doc_id"]: r["keep_id"] for r in exact_dedup.verdicts(frame(spark, rows)).collect()} == {1: 3, 2: 2, 3: 3}
+    assert len({r["fp"] for r in simhash.near_duplicates(frame(spark, rows)).collect()}) == 1
+    assert {r["component_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()} == {1, 2}  # four shingles: six in all
 
 
 def test_bitset_never_misses(spark):
@@ -75,10 +96,25 @@ def test_lookup_hot_cold_and_null_keys(spark):
     assert got.where("k = 'hot' and n = 900 and first = 0").count() == 900 and got.where("k like 'k%' and n = 1 and first = i").count() == 2050
 
 
-def test_without(spark):
-    rows = spark.createDataFrame([(i, i % 50) for i in range(500)], "i long, key long")
-    out = without(rows, spark.createDataFrame([(3,), (7,), (7,)], "key long"), "key", bits=6)
-    assert out.count() == 480 and out.where("key in (3, 7)").count() == 0
+@pytest.mark.parametrize("bits", [6, 20])
+def test_without_and_single(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "LEAST_BITS", bits)
+    monkeypatch.setattr(common, "MOST_BITS", bits)
+    rows = spark.createDataFrame([(i, str(i % 50) if i % 100 else None) for i in range(500)], "i long, key string")
+    out = without(rows, spark.createDataFrame([("3",), ("7",), ("7",), ("none",)], "key string"), "key", rows)
+    assert out.count() == 480 and out.where("key in ('3', '7')").count() == 0 and out.where("key is null").count() == 5
+    once = single(rows, rows.where("key = '5'"), "key")
+    assert once.count() == 491 and once.where("key = '5'").count() == 1
+    assert without(rows, rows.limit(0), "key", rows).count() == single(rows, rows.limit(0), "key").count() == 500
+
+
+def test_numbers_have_no_gap_whatever_the_blocks(spark):
+    rows = checkpointed(spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 7}") for i in range(300)], "i long, k string"))
+    for blocks in (1, 9):
+        got = {}
+        for r in numbered(rows, "k", ["i"], blocks, "at").collect():
+            got.setdefault(r["k"], []).append(r["at"])
+        assert all(sorted(v) == list(range(len(v))) for v in got.values()) and sum(map(len, got.values())) == 300
 
 
 @pytest.mark.parametrize("shape", ["random", "path", "star"])
@@ -138,25 +174,37 @@ def test_long_texts_are_taken_in_blocks(monkeypatch):
     assert simhash.fingerprint(text) == whole
 
 
-def test_anchors_meet_whenever_within_the_threshold():
+@pytest.mark.parametrize("codes", [simhash.FEW, simhash.MANY])
+def test_anchors_meet_whenever_within_the_threshold(codes):
     rng = np.random.default_rng(0)
     x = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
     y = x.copy()
     for _ in range(2):
         y ^= np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64)
-    at, where = simhash.anchors(y.view(np.int64), 2)
+    at, where = simhash.anchors(y.view(np.int64), 2, codes)
     visits = set(zip(at.tolist(), where.tolist(), strict=True))
     assert len(visits) == len(at)
-    assert all((i, h) in visits for i, h in enumerate(simhash.home(x.view(np.int64)).tolist()))
+    assert all((i, h) in visits for i, h in enumerate(simhash.home(x.view(np.int64), codes).tolist()))
+    assert abs(len(at) / 400 - simhash.visits(2, codes)) < 0.1 * simhash.visits(2, codes)
+
 
+def test_anchors_grow_with_the_fingerprints():
+    assert simhash.load(10**6, 2, simhash.FEW) < 16 and simhash.load(10**11, 2, simhash.MANY) < 1024
 
+
+def test_crowded_homes_take_the_code_of_more_anchors(spark):
+    near = spark.createDataFrame([((1 << a | 1 << b) << 46,) for a in range(15) for b in range(a)], "fp long")
+    assert simhash.code_for(near, 2, 1024) == simhash.FEW and simhash.code_for(near, 2, 100) == simhash.MANY
+
+
+@pytest.mark.parametrize("codes", [simhash.FEW, simhash.MANY])
 @pytest.mark.parametrize("cap", [1, 8, 1024])
-def test_links_lose_no_component(spark, cap):
+def test_links_lose_no_component(spark, cap, codes):
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
     fps = np.unique(np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for c in centre]))
     df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
-    got = {r["node"]: r["root"] for r in components(simhash.links(df, 2, cap)).collect()}
+    got = {r["node"]: r["root"] for r in components(simhash.links(df, 2, cap, codes)).collect()}
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
     label = np.arange(len(fps))
     while True:
@@ -181,12 +229,14 @@ def test_near_duplicates_against_brute_force(spark):
     assert seen == sorted((-1 if i is None else i, f, c) for (i, _), f, c in zip(rows, fps, component, strict=True))
     kept = simhash.deduplicate(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns and kept.count() == n
+    assert simhash.deduplicate(frame(spark, rows + rows[:5] + [(62, "one")] * 3)).count() == n
     assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("most", [64, 3])
-def test_minhash_near_duplicates_against_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(minhash.candidates, "__defaults__", (most, 0.6))
+@pytest.mark.parametrize("crowded", [64, 1])
+def test_minhash_near_duplicates_against_brute_force(spark, monkeypatch, crowded):
+    monkeypatch.setattr(minhash, "CROWDED", crowded)
+    monkeypatch.setattr(minhash, "TURNS", 1)
     rnd = random.Random(6)
     words = [f"w{i}" for i in range(500)]
     base = [[rnd.choice(words) for _ in range(300)] for _ in range(6)]
@@ -218,6 +268,9 @@ def test_minhash_near_duplicates_against_brute_force(spark, monkeypatch, most):
     for r in minhash.near_duplicates(frame(spark, rows)).collect():
         got.setdefault(r["component_id"], set()).add(-1 if r["id"] is None else r["id"])
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    kept = minhash.deduplicate(frame(spark, rows + rows[:4]))
+    assert kept.columns == frame(spark, rows).columns and kept.count() == len(want)
+    assert minhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
 def test_crowded_buckets_lose_no_verified_link(spark):
@@ -232,6 +285,31 @@ def test_crowded_buckets_lose_no_verified_link(spark):
     assert all((like(i, j) >= 0.8) == (i // 2 == j // 2) for i in range(160) for j in range(i))
     got = {r["id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()}
     assert got == {i: i - i % 2 for i in range(160)}
+    texts = spark.createDataFrame([(bytes([i]), t) for i, t in rows], "text_key binary, text string")
+    rare = minhash.rare_shingles(texts.select("text_key"), texts, 0.8)
+    assert rare.agg(F.max("n")).first()[0] <= 64  # all 160 share the template
+    pairs = {tuple(sorted((r["a"][0], r["b"][0]))) for r in minhash.all_pairs(rare.withColumn("root", F.col("text_key")), 0.8).collect()}
+    assert {(i, i + 1) for i in range(0, 160, 2)} <= pairs
+
+
+def test_prefixes_lose_no_pair_of_any_size(spark):
+    rnd = random.Random(10)
+    base = [f"{rnd.getrandbits(20):x}" for _ in range(60)]
+    rows = [base[: rnd.randint(8, 60)] + [f"{rnd.getrandbits(20):x}" for _ in range(rnd.randint(0, 6))] for _ in range(120)] + [base[:4], base[:5], []]
+    rows = [(bytes([i]), " ".join(w)) for i, w in enumerate(rows)]
+    sets = [set(minhash.shingles(t).tolist()) for _, t in rows]
+    texts = spark.createDataFrame(rows, "text_key binary, text string")
+    rare = minhash.rare_shingles(texts.select("text_key"), texts, 0.8).withColumn("root", F.col("text_key"))
+    got = {tuple(sorted((r["a"][0], r["b"][0]))) for r in minhash.all_pairs(rare, 0.8).collect()}
+    want = {(i, j) for j in range(len(rows)) for i in range(j) if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    assert len(want) > 100 and want <= got
+
+
+def test_scripts_without_spaces_have_shingles():
+    a, b = "今天天气很好我们一起去公园散步" * 20, "今天天气很好我们一起去公园散步" * 20 + "明天见"
+    s, t = (minhash.signature(minhash.shingles(x)) for x in (a, b))
+    assert minhash.likeness(s, t) > 0.5
+    assert minhash.words_of("Ein Wort, 日本 wort") == ["ein", "wort,", "日", "本", "wort"]
 
 
 def test_signatures_estimate_jaccard():
@@ -254,7 +332,7 @@ def test_edits_follow_the_order_of_ids(spark):
     got = {}
     for part in (1 << 23, 600):
         ordered = minhash.in_order(plain, "doc_id", "text", part)
-        assert ordered.where("not copy").count() == 120
+        assert ordered.where("not copy").count() == 120 and ordered.where("copy").count() == ordered.select("bucket").distinct().count()
     import codeatlas.llm.minhash as m
 
     small = m.in_order
@@ -275,3 +353,13 @@ def test_edits_follow_the_order_of_ids(spark):
     assert minhash.fingerprints_beside_edits(plain.limit(0)).count() == 0
     one = minhash.fingerprints_beside_edits(plain.where(F.col("doc_id") == ids[0])).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1
+    named = plain.select(F.format_string("doc-%05d", "doc_id").alias("doc_id"), "text")
+    by_name = {r["doc_id"]: r for r in minhash.fingerprints_beside_edits(named).collect()}
+    assert all(by_name[f"doc-{i:05d}"]["edited_sha256"] == got[i]["edited_sha256"] for i in ids)
+
+
+def test_edits_with_null_and_repeated_ids(spark):
+    rows = [(None, "first one two"), (None, "null two"), (4, "four"), (4, "four"), (9, None), (7, "x " * 200_000)]
+    got = minhash.fingerprints_beside_edits(frame(spark, rows)).collect()
+    assert sorted(map(repr, (r["doc_id"] for r in got))) == sorted(map(repr, (i for i, _ in rows)))
+    assert {r["n_chars"] for r in got if r["doc_id"] == 7} == {400_000}

@@ -115,6 +115,26 @@ def test_toxicity_learns_stems_and_generalises(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in out.items() if r["score"] < 0.5}
 
 
+def test_matching_takes_time_in_proportion_to_the_text():
+    import time
+
+    model = toxicity.Model({" scum": 3.0}, (" pond scum ", " scum of the pond "))
+    a = model.built()
+    began = time.perf_counter()
+    assert toxicity.matched(toxicity.fold("pond scum you scum " * 50_000), a) == (150_000.0, 50_000)
+    assert time.perf_counter() - began < 5
+    assert toxicity.matched(toxicity.fold("scum of the pond scum"), a) == (0, 0)
+    assert toxicity.fold("".join(map(chr, range(0x100, 0x3000))) * 20)
+
+
+def test_terms_of_equal_evidence_have_a_fixed_order(spark):
+    rows = [(i, "zzaa zzab" if i % 2 else "belan toran", "en", "s") for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    rows = [(i, f"{t} u{i}", lang, s) for i, t, lang, s in rows]
+    a, b = (toxicity.learn(docs(spark, r), labels) for r in (rows, rows[::-1]))
+    assert a.terms == b.terms and " zzaa" in a.terms and " zzab" in a.terms
+
+
 def test_toxicity_without_labels(spark):
     empty = spark.createDataFrame([(1, None)], "doc_id long, toxic int")
     model = toxicity.learn(docs(spark, [(1, "x", "en", "s")]), empty)
@@ -136,12 +156,20 @@ def mixing_rows():
 def test_mixing_meets_its_plan(spark, how, most):
     df = docs(spark, mixing_rows())
     plan = mixing.planned(df, **how)
-    out = mixing.realise(df, plan, most_sources=most, block_docs=50)
-    assert out.count() == df.count() and out.columns[: len(df.columns)] == df.columns
-    got = {r[0]: r for r in out.groupBy("__source").agg(F.sum(F.col("__tokens") * F.col("__copies")).alias("t"), F.max("__tokens").alias("m"), F.min("__copies"), F.max("__copies")).collect()}
+    out = checkpointed(mixing.realise(df, plan, most_sources=most, block_docs=50))
+    assert out.columns[: len(df.columns)] == df.columns
+    by_pass = out.groupBy("__source", "__pass").agg(F.count(F.lit(1)).alias("n"), F.sum("__tokens").alias("t"), F.max("__tokens").alias("m")).collect()
     for p in plan.collect():
-        r = got[p["source"]]
-        assert p["budget"] - r["m"] * 2 <= r["t"] <= p["budget"] + r["m"] * 2 and r[4] - r[3] <= 1
+        mine = sorted((r for r in by_pass if r["__source"] == p["source"]), key=lambda r: r["__pass"])
+        last = mine[-1]["__pass"] if mine else 0
+        assert [r["__pass"] for r in mine] == list(range(1, last + 1)) and all(r["n"] == p["documents"] for r in mine[:-1])
+        spent, most_tokens = sum(r["t"] for r in mine), max((r["m"] for r in mine), default=0)
+        assert p["budget"] - most_tokens * 2 <= spent <= p["budget"] + most_tokens * 2
+    orders = out.where("__source = 'hot'").select("__pass", "__block", "__block_order").distinct().collect()
+    first = {k: [r["__block"] for r in sorted(orders, key=lambda r: r["__block_order"]) if r["__pass"] == k] for k in (1, 2)}
+    assert len(first[1]) > 5 and (not first[2] or first[1] != first[2])  # each pass has its own permutation
+    laid = mixing.in_order(out, 3).withColumn("p", F.spark_partition_id()).select("p", "__pass", "__block_order").collect()
+    assert [tuple(r) for r in laid] == sorted(tuple(r) for r in laid)
     w = [p["weight"] for p in plan.collect()]
     assert abs(sum(w) - 1) < 1e-9
     if "entropy" in how:
@@ -182,7 +210,7 @@ def test_shards_are_near_equal_and_keep_groups(spark):
     rnd = random.Random(4)
     rows = [(i, f"text {i} " + "y" * rnd.randint(0, 60), rnd.choice(["en", "de", None]), rnd.choice(["hot"] * 5 + ["a", "b"])) for i in range(3000)]
     rows += [(3000 + i, "copies " * 10, "en", "hot") for i in range(1500)] + [(9000 + i, "pair", "de", str(i)) for i in range(2)] + [(None, None, None, None), (None, None, None, None)]
-    out = sharding.assign(docs(spark, rows), 7, rows_per_slot_block=50).collect()
+    out = sharding.assign(docs(spark, rows), 7, block_rows=50).collect()
     assert len(out) == len(rows)
     by = {}
     for r in out:
@@ -205,6 +233,56 @@ def test_tree_splits_at_weighted_medians(spark):
     assert len(sizes) == 5 and max(sizes) - min(sizes) < 0.01 * sum(sizes) / 5
 
 
+def brute_tree(groups, room):
+    """By key its shard: the k-d tree in plain Python, each split at the value nearest to the goal."""
+    dims = sharding.DIMENSIONS
+    width = {d: max(1, max(g[d] for g in groups) - min(g[d] for g in groups)) for d in dims}
+    out = {}
+
+    def split(part, a, b):
+        if b - a == 1:
+            out.update({g["key"]: a for g in part})
+            return
+        if not part:
+            return
+        dim = max(dims, key=lambda d: (max(g[d] for g in part) - min(g[d] for g in part)) / width[d])
+        mid = (a + b) // 2
+        goal = sum(g["w"] for g in part) * sum(room[a:mid]) / sum(room[a:b])
+        part, below, cut = sorted(part, key=lambda g: g[dim]), 0, None
+        for g in part:
+            if below + g["w"] > goal:
+                cut = g[dim] if goal - below <= below + g["w"] - goal else g[dim] + 1
+                break
+            below += g["w"]
+        split([g for g in part if cut is not None and g[dim] < cut or cut is None], a, mid)
+        split([g for g in part if cut is not None and g[dim] >= cut], mid, b)
+
+    split(groups, 0, len(room))
+    return out
+
+
+def test_tree_against_brute_force(spark):
+    rnd = random.Random(11)
+    rows = [(i, "x" * rnd.randint(1, 300) + str(i), rnd.choice(["en", "de"]), rnd.choice("abc")) for i in range(300)]
+    df = docs(spark, rows).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), sharding.row_size(F.col("text")).alias("size"), "source", "lang")
+    groups = checkpointed(sharding._groups(df))
+    room = [3.0, 1.0, 1.0, 2.0, 1.0]
+    got = {r["key"]: r["shard"] for r in sharding.tree(groups, room, 0).collect()}
+    assert got == brute_tree([r.asDict() for r in groups.collect()], room)
+
+
+def test_groups_are_split_only_if_asked(spark):
+    rows = [(i, "hot " * 20, "en", "s") for i in range(400)] + [(1000 + i, f"text {i} " + "z" * 40, "en", "s") for i in range(600)] + [(5, "ü" * 100_000, "en", "s")]
+    whole = sharding.assign(docs(spark, rows), 4, split_over=None).where("doc_id < 400 and doc_id <> 5").select("shard").distinct()
+    assert whole.count() == 1
+    out = sharding.assign(docs(spark, rows), 4).collect()
+    turns = [sum(1 for r in out if r["doc_id"] < 400 and r["shard"] == k) for k in range(4)]
+    assert sum(turns) == 401 and {r["size"] for r in out if r["doc_id"] == 5} == {96, 200_016}
+    assert sharding.assign(docs(spark, rows[:-1]), target_bytes=20_000).agg(F.max("shard")).first()[0] == -(-sum(len(t) + 16 for _, t, *_ in rows[:-1]) // 20_000) - 1
+    with pytest.raises(ValueError):
+        sharding.assign(docs(spark, rows))
+
+
 # --- chat ------------------------------------------------------------------------------------
 
 TURNS = "conv_id long, turn long, role string, text string, formatted string"
@@ -214,7 +292,7 @@ def test_chat_round_trip_and_states(spark):
     hard = ["\\### Assistant: </turn> ok", "<turn:user>", "\\l\\b\\g<>\\", "</turn>\n", "", None, "é\n\n", "a>b<c\\<"]
     rows = [(1, i, "user" if i % 2 == 0 else "assistant", t, "clash") for i, t in enumerate(hard)]
     rows += [(2, 0, "system", "s", ""), (2, 1, "user", "u", ""), (3, 0, "assistant", "first", ""), (4, 0, "user", "a", ""), (4, 1, "user", "b", ""), (4, 2, "assistant", "c", "")]
-    rows += [(5, None, None, None, None), (None, 0, "tool<x>", "t", ""), (6, 0, "user", "tie b", ""), (6, 0, "user", "tie a", "")]
+    rows += [(5, None, None, None, None), (None, 0, "tool<x>", "t", ""), (6, 0, "user", "tie b", ""), (6, 0, "user", "tie a", ""), (7, 0, "user", "<\\" * 100_000, "")]
     df = spark.createDataFrame(rows, TURNS)
     out = chat.format_conversations(df)
     got = {r["conv_id"]: r for r in out.select("*", chat.read_back(F.col("formatted")).alias("back"), chat.loss_text(F.col("segments")).alias("loss")).collect()}
@@ -223,8 +301,10 @@ def test_chat_round_trip_and_states(spark):
         assert [(b["role"], b["text"]) for b in got[conv]["back"]] == [(r[2] or "", r[3] or "") for r in mine]
         assert got[conv]["loss"] == "".join(r[3] or "" for r in mine if r[2] == "assistant")
         assert "".join(x["text"] for x in got[conv]["segments"]) == got[conv]["formatted"]
-    assert {k: r["valid"] for k, r in got.items()} == {1: True, 2: True, 3: False, 4: False, 5: False, None: False, 6: False}
+    assert {k: r["valid"] for k, r in got.items()} == {1: True, 2: True, 3: False, 4: False, 5: False, None: False, 6: False, 7: True}
     assert got[2]["final_state"] == "user"
+    apart = chat.format_conversations(spark.createDataFrame([(None, 0, "user", "a", "")] * 3, TURNS))
+    assert [r["n_turns"] for r in apart.collect()] == [1, 1, 1]
     assert chat.format_conversations(df.limit(0)).count() == 0
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
 
@@ -279,23 +359,58 @@ def test_quality_on_held_out_rows_and_odd_ones(spark):
         labels.append((i, int(not bad)))
     rows += [(900, None, None, None), (901, "", "en", "rare"), (None, "x" * 100_000, "de", "a"), (5, "again", "en", "a")]
     lab = spark.createDataFrame([x for x in labels if x[0] % 3], "doc_id long, quality int")
-    out = quality.scores(docs(spark, rows), lab).collect()
+    out = quality.scores(docs(spark, rows), quality.learn(docs(spark, rows), lab)).collect()
     assert len(out) == len(rows)
     got = {r["doc_id"]: r for r in out}
     assert all((got[i]["score"] >= 0.5) == bool(y) for i, y in labels if i % 3 == 0)
     assert all(0 < r["score"] < 1 for r in out)
-    none = quality.scores(docs(spark, rows), lab.limit(0)).collect()
+    none = quality.scores(docs(spark, rows), quality.learn(docs(spark, rows), lab.limit(0))).collect()
     assert len(none) == len(rows) and all(r["evidence"] == 0 for r in none)
-    assert quality.scores(docs(spark, rows).limit(0), lab).count() == 0
+    assert quality.scores(docs(spark, rows).limit(0), quality.learn(docs(spark, rows).limit(0), lab)).count() == 0
 
 
 def test_sparse_sites_are_shrunk_more(spark):
     rows = [(i, "good plain words here and there", "en", "big") for i in range(200)] + [(200 + i, "BAD!! LOUD!! " * 9, "en", "mid") for i in range(50)] + [(300, "BAD!! LOUD!! " * 9, "en", "rare")]
     lab = spark.createDataFrame([(i, int(i < 200)) for i in range(0, 250, 2)], "doc_id long, quality int")
-    out = {r["doc_id"]: r for r in quality.scores(docs(spark, rows), lab).collect()}
+    out = {r["doc_id"]: r for r in quality.scores(docs(spark, rows), quality.learn(docs(spark, rows), lab)).collect()}
     assert out[201]["site_mean"] < out[300]["site_mean"] < out[1]["site_mean"]
 
 
+def test_site_and_path_of_urls(spark):
+    rows = [("http://A.example/x/y", "s", "p"), ("no url", "s", "p"), (None, None, None), ("https://b.example", "s", "p"), ("http://c.example//q?z", "s", "p")]
+    df = spark.createDataFrame(rows, "url string, s string, p string")
+    site, path = quality.site_and_path(F.col("s"), F.col("p"), F.col("url"))
+    assert [tuple(r) for r in df.select(site, path).collect()] == [("a.example", "x"), ("s", "p"), ("", ""), ("b.example", ""), ("c.example", "q")]
+
+
+def test_the_hierarchy_helps_sparse_sites(spark):
+    """Labels that depend on the site, words that say little: shrunk means beat the words alone and the sites' bare means."""
+    rnd = random.Random(12)
+    good, bad = ["tor", "bel"], ["vek", "sar"]
+    rows, labels = [], {}
+    for site in range(120):
+        rate = rnd.choice([0.1, 0.5, 0.9])
+        for _ in range(3 if site else 200):
+            i, y = len(rows), int(rnd.random() < rate)
+            words = [rnd.choice(good if (rnd.random() < 0.6) == bool(y) else bad) for _ in range(12)]
+            rows.append((i, " ".join(words), "p", f"site{site}"))
+            labels[i] = y
+    df = docs(spark, rows)
+    learned = spark.createDataFrame([(i, y) for i, y in labels.items() if i % 2], "doc_id long, quality int")
+    out = quality.scores(df, quality.learn(df, learned)).collect()
+    sparse = [r for r in out if r["doc_id"] >= 200 and r["doc_id"] % 2 == 0]
+    model_prior = sum(r["site_mean"] for r in out) / len(out)
+    sums = {}
+    for r in out:
+        p = 1 / (1 + np.exp(-(r["evidence"] + np.log(model_prior / (1 - model_prior)))))
+        sums.setdefault(r["site"], []).append((r["doc_id"], p))
+    bare = lambda r: np.clip(np.mean([p for i, p in sums[r["site"]] if i != r["doc_id"]]), 1e-6, 1 - 1e-6)
+    score = lambda e, m: 1 / (1 + np.exp(-(e + np.log(m / (1 - m)))))
+    brier = lambda f: np.mean([(f(r) - labels[r["doc_id"]]) ** 2 for r in sparse])
+    whole, alone, unshrunk = brier(lambda r: r["score"]), brier(lambda r: score(r["evidence"], model_prior)), brier(lambda r: score(r["evidence"], bare(r)))
+    assert whole < alone and whole < unshrunk
+
+
 def test_the_default_budget_holds_every_token_of_large_sources(spark):
     rows = [("a", 69_659_750_317_708, 10), ("b", 55_863_206_855_602, 10)]
     plan = mixing.targets(spark.createDataFrame(rows, "source string, tokens long, documents long"), 0.5).collect()

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from codeatlas.llm import packing, queries, simhash, toxicity
+from codeatlas.llm import minhash, packing, queries, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +51,7 @@ def test_exact_dedup_keeps_the_largest_id(staged):
 def test_near_dedup_keeps_the_smallest_id_of_each_component(staged):
     (_, _, before, after, *_), _ = staged
     rows = sorted(before, key=lambda r: r["doc_id"])
-    fps = [simhash.fingerprint(r["text"].encode()) for r in rows]
+    sets = [set(minhash.shingles(r["text"]).tolist()) for r in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -61,7 +61,8 @@ def test_near_dedup_keeps_the_smallest_id_of_each_component(staged):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 2:
+            u = len(sets[i] | sets[j])
+            if (len(sets[i] & sets[j]) / u if u else 1.0) >= 0.8:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     assert sorted(r["doc_id"] for r in after) == sorted(rows[i]["doc_id"] for i in range(len(rows)) if find(i) == i)
