@@ -1,60 +1,77 @@
-"""The catalog of systems, editions and levels."""
+"""The catalog of systems, editions and levels.
+
+Versions, their status and levels are asked of the adapters each time; nothing here holds a second copy.  An adapter whose
+data is missing or broken takes its own editions out of the catalog, and no others.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What an adapter raises when its data is missing or broken.
+BROKEN = (OSError, ValueError, PySparkException)
+
 
 @dataclass(frozen=True)
 class System:
-    """What is fixed about a system.  ``level_args`` are the source's names of levels where they differ."""
+    """What is fixed about a system."""
 
     id: str
     display_name: str
     short_name: str
     category: str
     adapter: str
-    levels: tuple[str, ...]
     supports_history: bool
-    source: str = "issuing authority"
-    source_url: str | None = None
-    level_args: tuple[tuple[str, str], ...] = ()
-
-
-#: Ids, names and levels, from the top, of seven systems a catalog may serve.
-SYSTEMS = (
-    System("psgc", "Standard Geographic Code", "PSGC", "geographic", "release", (), True),
-    System("psic", "Standard Industrial Classification", "PSIC", "economic", "levels", ("section", "division", "group", "class", "sub-class"), True),
-    System("psoc", "Standard Occupational Classification", "PSOC", "economic", "levels", ("major", "sub-major", "minor", "unit"), False),
-    System("psced", "Standard Classification of Education", "PSCED", "economic", "levels", ("levels", "broadfield", "narrowfield", "detailedfield"), False),
-    System("pcoicop", "Classification of Individual Consumption According to Purpose", "PCOICOP", "economic", "levels", ("divisions", "groups", "class", "sub-class", "item", "subitem"), True),
-    System("pcpc", "Central Product Classification", "PCPC", "economic", "levels", ("sections", "divisions", "groups", "classes", "sub-classes", "item"), False),
-    System("psccs", "Standard Commodity Classification System", "PSCCS", "economic", "levels", ("section", "divisions", "groups", "classes", "sub-classes"), False),
-)
-#: Editions of each, oldest first, and the status of each.
-EDITIONS = (
-    ("psgc", "Q1_2023", 1, "archived"), ("psgc", "Q2_2026", 2, "current"), ("psic", "2019", 1, "archived"), ("psic", "2026", 2, "current"),
-    ("psoc", "2012", 1, "current"), ("psced", "2017", 1, "current"), ("pcoicop", "2020", 1, "current"), ("pcoicop", "2009", 2, "archived"),
-    ("pcpc", "2002", 1, "current"), ("psccs", "2018", 1, "current"),
-)
-
-
-def editions(spark: SparkSession, rows: Iterable[tuple] = EDITIONS) -> DataFrame:
+    source: str
+    source_url: str
+
+
+def _tried(call: Callable, otherwise):
+    try:
+        return call()
+    except BROKEN:
+        return otherwise
+
+
+def listed_editions(adapters: Mapping[str, list]) -> list[tuple]:
+    """``system, version, ord, status`` in the order of the adapters, counted from 1 in a system."""
+    out = []
+    for system, serving in adapters.items():
+        seen: dict[str, str] = {}
+        for a in serving:
+            for v, status in _tried(lambda a=a: [(v, a.status(v)) for v in a.versions], []):
+                seen.setdefault(v, status)
+        out += [(system, v, i, status) for i, (v, status) in enumerate(seen.items(), 1)]
+    return out
+
+
+def listed_levels(adapters: Mapping[str, list]) -> list[tuple]:
+    """``system, ord, level``: the levels of all editions in the order they are first seen."""
+    out = []
+    for system, serving in adapters.items():
+        seen: dict[str, None] = {}
+        for a in serving:
+            seen |= dict.fromkeys(_tried(lambda a=a: [lv for v in a.versions for lv in a.list_levels(v)], []))
+        out += [(system, i, lv) for i, lv in enumerate(seen)]
+    return out
+
+
+def editions(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
     return spark.createDataFrame(list(rows), "system string, version string, ord int, status string")
 
 
-def levels_of(spark: SparkSession, systems: Iterable[System] = SYSTEMS) -> DataFrame:
-    rows = [(s.id, i, lv) for s in systems for i, lv in enumerate(s.levels)]
-    return spark.createDataFrame(rows, "system string, ord int, level string")
+def levels_of(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
+    return spark.createDataFrame(list(rows), "system string, ord int, level string")
 
 
-def level_args(spark: SparkSession, systems: Iterable[System]) -> DataFrame:
-    """``system, level, level_arg``: what a source calls each level."""
-    rows = [(s.id, lv, dict(s.level_args).get(lv, lv)) for s in systems for lv in s.levels]
+def level_args(spark: SparkSession, adapters: Mapping[str, list]) -> DataFrame:
+    """``system, level, level_arg``: what a source that is read by levels calls each."""
+    rows = [(system, lv, a.level_args.get(lv, lv)) for system, serving in adapters.items() for a in serving if hasattr(a, "level_args") for lv in a.levels]
     return spark.createDataFrame(rows, "system string, level string, level_arg string")
 
 
@@ -106,14 +123,13 @@ def versions_union(a: DataFrame, b: DataFrame) -> DataFrame:
     return merged.withColumn("pos", (F.col("pos") + 1).cast("long"))
 
 
-def registry(spark: SparkSession, systems: Iterable[System] = SYSTEMS, versions: DataFrame | None = None, levels: DataFrame | None = None) -> DataFrame:
+def registry(spark: SparkSession, systems: Iterable[System], adapters: Mapping[str, list]) -> DataFrame:
     """One row per system, eleven columns; a system without editions or levels still has its row."""
-    versions = editions(spark) if versions is None else versions
-    levels = levels_of(spark, systems) if levels is None else levels
+    versions, levels = editions(spark, listed_editions(adapters)), levels_of(spark, listed_levels(adapters))
     rows = [(s.id, s.display_name, s.short_name, s.category, s.adapter, s.supports_history, s.source, s.source_url) for s in systems]
     fixed = spark.createDataFrame(rows, "id string, display_name string, short_name string, category string, adapter string, supports_history boolean, source string, source_url string")
     listed = versions.groupBy("system").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "version"))), lambda x: x["version"]).alias("available_versions"))
-    leveled = levels.groupBy("system").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "level"))), lambda x: x["level"])).alias("available_levels"))
+    leveled = levels.groupBy("system").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "level"))), lambda x: x["level"]).alias("available_levels"))
     none = F.array().cast("array<string>")
     out = fixed
     for part in (listed, current_version(versions), leveled):

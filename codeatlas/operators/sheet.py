@@ -75,3 +75,12 @@ def require_counts(reconciled: DataFrame, soft: Sequence[str] = ()) -> list[str]
             raise SheetError(f"{text} and this is not a documented exception. Aborting build.")
         warnings.append(text)
     return warnings
+
+
+def require_codes(df: DataFrame, label: str, levels: Sequence[str], codes: Sequence[str]) -> None:
+    """Raises unless the entries with exactly this label in these levels have at least these codes."""
+    found = df.where((F.col("label") == F.lit(label)) & F.col("level").isin(*levels) & F.col("code").isin(*codes))
+    there = {r["code"] for r in found.select("code").distinct().collect()}
+    missing = [c for c in codes if c not in there]
+    if missing:
+        raise SheetError(f"Sanity check failed: '{label}' has no code(s) {', '.join(missing)}")

@@ -19,9 +19,12 @@ class Unsupported(ValueError):
 class StoredSource:
     """One edition served from the stored code lists; levels are in hierarchy order."""
 
-    def __init__(self, spark: SparkSession, system: str, version: str, path: str, levels: tuple[str, ...], metadata_path: str | None = None, status: str = "current"):
+    def __init__(
+        self, spark: SparkSession, system: str, version: str, path: str, levels: tuple[str, ...], metadata_path: str | None = None, status: str = "archived",
+        source: str = "stored", source_url: str | None = None,
+    ):
         self.spark, self.system, self.version, self.path, self.levels, self.metadata_path, self._status = spark, system, version, path, levels, metadata_path, status
-        self.source, self.source_url = "stored", None
+        self.source, self.source_url = source, source_url
 
     @property
     def versions(self) -> tuple[str, ...]:
@@ -33,7 +36,17 @@ class StoredSource:
         return (self.version,)
 
     def status(self, version: str) -> str:
-        return self._status
+        """As the metadata beside the artifact says of this edition; the one given where there is none."""
+        try:
+            stated = self.metadata(version)
+        except ArtifactMissing:
+            return self._status
+        return stated.get("status", self._status) if stated.get("version", version) == version else self._status
+
+    def metadata(self, version: str) -> dict:
+        if self.metadata_path is None:
+            return {}
+        return read_metadata(self.spark, self.metadata_path)
 
     def edition(self, version: str) -> DataFrame:
         df = read_editions(self.spark, self.path)
@@ -42,15 +55,19 @@ class StoredSource:
     def list_levels(self, version: str) -> list[str]:
         return list(self.levels)
 
-    def get(self, level: str | None = None) -> DataFrame:
+    def get(self, version: str, level: str | None = None) -> DataFrame:
+        """All levels, or one that it has."""
         if level is not None and level not in self.levels:
             raise Unsupported(f"Unsupported {self.system.upper()} level '{level}'. Available levels: {', '.join(self.levels)}")
-        df = self.edition(self.version)
+        df = self.edition(version)
         return df if level is None else df.where(df.level == level)
 
 
 class CodeLists:
-    """Seven calls over a set of adapters, by system; a system may have several adapters for different editions."""
+    """Seven calls over a set of adapters, by system; a system may have several adapters for different editions.
+
+    A level of None or the empty string means all levels.
+    """
 
     def __init__(self, spark: SparkSession, adapters: Mapping[str, list], today: datetime.date | None = None, license: str = "see source"):
         self.spark, self.adapters, self.license = spark, {k: list(v) for k, v in adapters.items()}, license
@@ -90,11 +107,13 @@ class CodeLists:
     def get(self, system: str, version: str, level: str | None = None) -> DataFrame:
         """The edition in canonical columns and its order key, all levels or one."""
         adapter = self._adapter(system, version)
+        level = level or None
         self._level(system, version, level)
         df = adapter.edition(str(version)).select(*COLUMNS, ORD)
         return df if level is None else df.where(df.level == level)
 
     def search(self, system: str, version: str, query: str | None, level: str | None = None, limit: int = 100) -> DataFrame:
+        level = level or None
         self._level(system, version, level)
         return _search.search(self.get(system, version), query, level, limit)
 
@@ -107,8 +126,7 @@ class CodeLists:
             "system": system, "version": version, "display_version": version, "status": a.status(version), "source": a.source, "source_url": a.source_url,
             "retrieved_at": self.today.isoformat(), "license": self.license,
         }
-        stored = getattr(a, "metadata_path", None)
-        return out | (read_metadata(self.spark, stored) if stored else {})
+        return out | a.metadata(version)
 
     def cascade(self, system: str, version: str | None = None) -> dict:
         """What dependent selectors show: versions with the current one chosen, levels with all chosen."""

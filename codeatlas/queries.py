@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from .functions.labels import fill_missing_label as label_filled
 from .operators import catalog, hierarchy, present, sheet
 from .operators import search as s
 from .plans import schema
-from .sources import adapters, fixtures
+from .plans.service import CodeLists
+from .sources import adapters, artifact, fixtures, systems
 from .streaming.debounce import debounce
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,7 +104,11 @@ def _searches() -> None:
         kind = F.regexp_extract("description", r"^(\S+)", 1)
         return plain(spark, d).withColumn("label", F.when(F.col("level") == "item", F.concat("label", F.lit(" ("), kind, F.lit(")"))).otherwise(F.col("label")))
 
+    def signed(spark, d):
+        return plain(spark, d).withColumn("label", F.when(F.col("level") == "item", F.concat("label", F.lit(" 0.5%_[x]"))).otherwise(F.col("label")))
+
     prod = f"{_PARTS}, {_P20}"
+    sig = prod + ", list AS (SELECT * REPLACE (CASE WHEN level = 'item' THEN label || ' 0.5%_[x]' ELSE label END AS label) FROM prod)"
     pad = prod + ", list AS (SELECT * REPLACE (CASE WHEN level = 'item' THEN '  ' || replace(label, ' ', ' ' || chr(9) || '  ') || chr(10) ELSE label END AS label) FROM prod)"
     typ = prod + r", list AS (SELECT * REPLACE (CASE WHEN level = 'item' THEN label || ' (' || regexp_extract(description, '^(\S+)', 1) || ')' ELSE label END AS label) FROM prod)"
     cases = [
@@ -112,8 +118,8 @@ def _searches() -> None:
         ("search_description", plain, prod, "prod", "economy", "economy", None, 500), ("search_level_filter", plain, prod, "prod", "13", "13", "item", 100),
         ("search_limit", plain, prod, "prod", "13", "13", None, 5), ("search_limit_zero", plain, prod, "prod", "13", "13", None, 0),
         ("search_no_match", plain, prod, "prod", "no such thing", "no such thing", None, 100), ("search_unknown_level", plain, prod, "prod", "13", "13", "planet", 100),
-        ("search_literal_dot", plain, prod, "prod", "13x07", "13x07", None, 100), ("search_literal_paren", typed, typ, "list", "(economy)", "(economy)", None, 500),
-        ("search_literal_percent", plain, prod, "prod", "%13_", "%13_", None, 100), ("search_case_insensitive", plain, prod, "prod", "ReD WiDgEt", "red widget", None, 100),
+        ("search_literal_dot", plain, prod, "prod", "13x07", "13x07", None, 100), ("search_literal_dot_hit", signed, sig, "list", "0.5%_", "0.5%_", None, 500), ("search_literal_paren", typed, typ, "list", "(economy)", "(economy)", None, 500),
+        ("search_literal_percent", plain, prod, "prod", "%13_", "%13_", None, 100), ("search_literal_percent_hit", signed, sig, "list", "%_[", "%_[", None, 500), ("search_case_insensitive", plain, prod, "prod", "ReD WiDgEt", "red widget", None, 100),
         ("search_whitespace", padded, pad, "list", " red \t  widget\n", "red widget", None, 500),
         ("search_documents", fixtures.docs, _DOCS, "docs", "src1", "src1", None, 1000), ("search_documents_text", fixtures.docs, _DOCS, "docs", "license", "license", None, 1000),
         ("search_documents_whitespace", fixtures.docs, _DOCS, "docs", ".\n the", ". the", None, 1000),
@@ -178,12 +184,22 @@ _PARSED = """f AS (
 _BLOCK = 10**9
 
 
+def _sheet_file(spark, d, gappy=False):
+    """Written as CSV, its columns in another order, and read, checked and typed as a sheet is."""
+    path = artifact.scratch(spark, "sheet")
+    fixtures.prod_sheet(spark, d, gappy).select("description", *reversed(LEVELS), "row_no").write.option("header", True).csv(path)
+    columns = ["row_no", *LEVELS, "description"]
+    found = artifact.read_sheet(spark, path, columns).withColumn("row_no", F.col("row_no").cast("long"))
+    sheet.check_sheet(found, columns)
+    return found
+
+
 def _parse(spark, d, gappy=False):
-    return sheet.parse_wide_sheet(fixtures.prod_sheet(spark, d, gappy), LEVELS, block=_BLOCK)
+    return sheet.parse_wide_sheet(_sheet_file(spark, d, gappy), LEVELS, block=_BLOCK)
 
 
 for _name, _gappy in (("", False), ("_gappy", True)):
-    query(f"sheet_scan{_name}", f"WITH {_PARTS}, {_sheet(_gappy)} SELECT * FROM sheet")(lambda spark, d, g=_gappy: fixtures.prod_sheet(spark, d, g))
+    query(f"sheet_scan{_name}", f"WITH {_PARTS}, {_sheet(_gappy)} SELECT * FROM sheet")(lambda spark, d, g=_gappy: _sheet_file(spark, d, g))
     query(f"parse_wide_sheet{_name}", f"WITH {_PARTS}, {_sheet(_gappy)}, {_PARSED} SELECT * FROM parsed")(lambda spark, d, g=_gappy: _parse(spark, d, g))
 
 
@@ -242,10 +258,8 @@ def src_release_scan(spark, d):
 
 @query("src_artifact_scan", f"WITH {_PARTS}, {_P09} SELECT {_COLS}, ord FROM prod09")
 def src_artifact_scan(spark, d):
-    """Written to the warehouse as the stored code lists are, and read back."""
-    from .sources import artifact
-
-    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/code_lists_{spark.sparkContext.applicationId}"
+    """Written as the stored code lists are, and read back."""
+    path = artifact.scratch(spark, "code-lists")
     artifact.write_editions(fixtures.prod_rows(spark, d, "2009"), path)
     found = artifact.read_editions(spark, path)
     return found.where((found.system == "prod") & (found.version == "2009"))
@@ -255,28 +269,41 @@ def _values(rows) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, (int, bool)) else _quoted(v) for v in r) + ")" for r in rows) + ")"
 
 
-_EDITIONS = f"SELECT * FROM {_values(catalog.EDITIONS)} t(system, version, ord, status)"
+#: What the adapters of the seven systems list, once more as a counterpart: editions in order with their status, levels from the top.
+_FIXED_EDITIONS = [
+    ("psgc", "Q1_2023", 1, "archived"), ("psgc", "Q2_2026", 2, "current"), ("psic", "2019", 1, "archived"), ("psoc", "2012", 1, "current"), ("psced", "2017", 1, "current"),
+    ("pcoicop", "2020", 1, "current"), ("pcoicop", "2009", 2, "archived"), ("pcpc", "2002", 1, "current"), ("psccs", "2018", 1, "current"),
+]
+_FIXED_LEVELS = "psic:section,division,group,class,sub-class;psoc:major,sub-major,minor,unit;psced:levels,broadfield,narrowfield,detailedfield;pcoicop:divisions,groups,class,sub-class,item,subitem;pcpc:sections,divisions,groups,classes,sub-classes,item;psccs:section,divisions,groups,classes,sub-classes"
+_EDITIONS = f"SELECT * FROM {_values(_FIXED_EDITIONS)} t(system, version, ord, status)"
 _LISTED = [("a", "2019", 1, "archived"), ("a", "2026", 2, "current"), ("b", "2009", 1, "archived"), ("b", "2012", 2, "archived"), ("c", "Q4_2025", 1, "archived"), ("c", "Q1_2026", 2, "archived")]
 _MORE = [("a", "2026", 1, "current"), ("a", "2030", 2, "current"), ("d", "1", 1, "current")]
 _LATEST = [("a", "2026"), ("b", "1999"), ("c", "Q4_2025")]
 
 
-@query("src_versions", f"SELECT DISTINCT system, version FROM ({_EDITIONS})")
+@query("src_versions", "SELECT * FROM (VALUES ('prod', '2009'), ('prod', '2020')) t(system, version)")
 def src_versions(spark, d):
-    return catalog.editions(spark).select("system", "version").distinct()
+    path = artifact.scratch(spark, "code-lists")
+    for version in ("2009", "2020"):
+        artifact.write_editions(fixtures.prod_rows(spark, d, version), path)
+    return artifact.list_editions(spark, path)
 
 
-_ARGS = (catalog.System("psic", "", "", "", "", ("section", "division", "sub-class"), True, level_args=(("section", "sections"), ("sub-class", "subclass"))), catalog.System("psoc", "", "", "", "", ("major",), False))
+def _systems(spark, d):
+    return systems.adapters(spark, lambda v: fixtures.pull_geo(spark, d), stored_path=f"{d}/no-such-list")
 
 
-@query("level_arg_map", "SELECT * FROM (VALUES ('psic', 'section', 'sections'), ('psic', 'division', 'division'), ('psic', 'sub-class', 'subclass'), ('psoc', 'major', 'major')) t(system, level, level_arg)")
+_PSIC = [("psic", "section", "sections"), ("psic", "division", "divisions"), ("psic", "group", "groups"), ("psic", "class", "classes"), ("psic", "sub-class", "sub-classes"), ("psoc", "major", "major"), ("psoc", "sub-major", "sub-major"), ("psoc", "minor", "minor"), ("psoc", "unit", "unit")]
+
+
+@query("level_arg_map", f"SELECT * FROM {_values(_PSIC)} t(system, level, level_arg)")
 def level_arg_map(spark, d):
-    return catalog.level_args(spark, _ARGS)
+    return catalog.level_args(spark, {k: v for k, v in _systems(spark, d).items() if k in ("psic", "psoc")})
 
 
 @query("version_status", f"SELECT system, version, CASE WHEN version = '2020' THEN 'current' ELSE 'archived' END AS status FROM ({_EDITIONS}) WHERE system = 'pcoicop'")
 def version_status(spark, d):
-    return catalog.version_status(catalog.editions(spark).where("system = 'pcoicop'"), "latest", "2020")
+    return catalog.version_status(catalog.editions(spark, catalog.listed_editions(_systems(spark, d))).where("system = 'pcoicop'"), "latest", "2020")
 
 
 @query(
@@ -327,39 +354,43 @@ def distinct_levels_sorted(spark, d):
     return catalog.distinct_levels_sorted(rows)
 
 
-_SYSTEM_ROWS = [(x.id, x.display_name, x.short_name, x.category, x.adapter, x.supports_history, x.source, x.source_url) for x in catalog.SYSTEMS]
-_LEVEL_ROWS = [(x.id, i, lv) for x in catalog.SYSTEMS for i, lv in enumerate(x.levels)]
-_REGISTRY = f"""WITH r AS (SELECT * FROM {_values(_SYSTEM_ROWS)} t(id, display_name, short_name, category, adapter, supports_history, source, source_url)), e AS ({_EDITIONS}),
-    l AS (SELECT * FROM {_values(_LEVEL_ROWS)} t(system, ord, level)),
+_SYSTEM_ROWS = [(x.id, x.display_name, x.short_name, x.category, x.adapter, x.supports_history, x.source, x.source_url) for x in systems.SYSTEMS]
+_LEVEL_ROWS = [(part.split(":")[0], i, lv) for part in _FIXED_LEVELS.split(";") for i, lv in enumerate(part.split(":")[1].split(","))]
+_REGISTRY = f"""WITH {_GEO}, r AS (SELECT * FROM {_values(_SYSTEM_ROWS)} t(id, display_name, short_name, category, adapter, supports_history, source, source_url)), e AS ({_EDITIONS}),
+    l AS (SELECT * FROM {_values(_LEVEL_ROWS)} t(system, ord, level) UNION ALL SELECT 'psgc', row_number() OVER (ORDER BY level), level FROM (SELECT DISTINCT level FROM geo)),
     registry AS (
         SELECT id, display_name, short_name, category, adapter, (SELECT string_agg(version, '|' ORDER BY ord) FROM e WHERE system = id) AS available_versions,
             (SELECT coalesce(arg_min(version, ord) FILTER (WHERE status = 'current'), arg_min(version, ord)) FROM e WHERE system = id) AS current_version,
-            coalesce((SELECT string_agg(level, '|' ORDER BY ord) FROM l WHERE system = id), '') AS available_levels, supports_history, source, CAST(source_url AS VARCHAR) AS source_url
+            coalesce((SELECT string_agg(level, '|' ORDER BY ord) FROM l WHERE system = id), '') AS available_levels, supports_history, source, source_url
         FROM r)"""
 
 
+def _registry(spark, d):
+    return catalog.registry(spark, systems.SYSTEMS, _systems(spark, d))
+
+
 def _joined(reg: DataFrame) -> DataFrame:
     return reg.withColumns({c: F.array_join(c, "|") for c in ("available_versions", "available_levels")})
 
 
 @query("registry", f"{_REGISTRY} SELECT * FROM registry")
 def registry(spark, d):
-    return _joined(catalog.registry(spark))
+    return _joined(_registry(spark, d))
 
 
 @query("registry_row", f"{_REGISTRY} SELECT * FROM registry WHERE id = 'pcoicop'")
 def registry_row(spark, d):
-    return _joined(catalog.registry(spark)).where("id = 'pcoicop'")
+    return _joined(_registry(spark, d)).where("id = 'pcoicop'")
 
 
 @query("registry_choices", f"{_REGISTRY} SELECT id, short_name || ' — ' || display_name AS label FROM registry")
 def registry_choices(spark, d):
-    return catalog.choices(catalog.registry(spark))
+    return catalog.choices(_registry(spark, d))
 
 
 @query("registry_sources", f"{_REGISTRY} SELECT short_name, display_name, source, source_url FROM registry")
 def registry_sources(spark, d):
-    return catalog.sources(catalog.registry(spark))
+    return catalog.sources(_registry(spark, d))
 
 
 _BROKEN = "CASE WHEN ord % 7 = 0 THEN NULL ELSE label END AS label, CASE WHEN ord % 11 = 0 THEN 'draft' WHEN ord % 13 = 0 THEN 'lost' WHEN ord % 17 = 0 THEN NULL ELSE status END AS status"
@@ -431,3 +462,57 @@ def sha256_text(spark, d):
 )
 def debounce_events(spark, d):
     return debounce(spark.read.parquet(f"{d}/events.parquet")).select("event_id", "user_id", "event_type")
+
+
+def _service(spark, d) -> CodeLists:
+    return CodeLists(spark, {"prod": [fixtures.prod_source(spark, d)], "geo": [fixtures.geo_source(spark, d)]}, datetime.date(2024, 2, 29), systems.LICENSE)
+
+
+@query("service_versions", "SELECT * FROM (VALUES ('prod', 1, '2009', false), ('prod', 2, '2020', true), ('geo', 1, 'Q2_2026', true)) t(system, pos, version, is_current)")
+def service_versions(spark, d):
+    lists = _service(spark, d)
+    rows = [(x, i, v, v == lists.current(x)) for x in lists.systems() for i, v in enumerate(lists.versions(x), 1)]
+    return spark.createDataFrame(rows, "system string, pos int, version string, is_current boolean")
+
+
+@query(
+    "service_levels",
+    f"""WITH {_GEO} SELECT 'geo' AS system, row_number() OVER (ORDER BY level) AS pos, level FROM (SELECT DISTINCT level FROM geo)
+        UNION ALL SELECT * FROM (VALUES ('prod', 1, 'brand'), ('prod', 2, 'size'), ('prod', 3, 'item')) t(system, pos, level)""",
+)
+def service_levels(spark, d):
+    lists = _service(spark, d)
+    rows = [(x, i, lv) for x, v in (("geo", "Q2_2026"), ("prod", "2020")) for i, lv in enumerate(lists.levels(x, v), 1)]
+    return spark.createDataFrame(rows, "system string, pos long, level string")
+
+
+@query("service_get", f"WITH {_BOTH}, {_GEO}, {_J1}, {_J2} SELECT {_COLS} FROM parented WHERE version = '2009' UNION ALL SELECT {_GEO_ROW} FROM zeroed WHERE level = 'Prov'")
+def service_get(spark, d):
+    lists = _service(spark, d)
+    return lists.get("prod", "2009", "").unionByName(lists.get("geo", "Q2_2026", "Prov")).select(*schema.COLUMNS)
+
+
+@query("service_search", f"WITH {_BOTH}, {_J1} SELECT {_COLS} FROM (SELECT * FROM parented WHERE version = '2020' AND level = 'size' AND starts_with(lower(code), '13') ORDER BY ord LIMIT 7)")
+def service_search(spark, d):
+    return _service(spark, d).search("prod", "2020", " 13 ", "size", 7)
+
+
+@query("service_search_all_levels", f"WITH {_BOTH}, {_J1} SELECT {_COLS} FROM (SELECT * FROM parented WHERE version = '2020' ORDER BY ord LIMIT 100)")
+def service_search_all_levels(spark, d):
+    return _service(spark, d).search("prod", "2020", None, "")
+
+
+@query("service_entry", f"WITH {_BOTH}, {_J1} SELECT {_COLS} FROM parented WHERE version = '2020' AND code = '13.07'")
+def service_entry(spark, d):
+    return _service(spark, d).entry("prod", "2020", "13.07")
+
+
+@query(
+    "service_metadata",
+    """SELECT 'prod' AS system, version, version AS display_version, status, 'test tables' AS source, CAST(NULL AS VARCHAR) AS source_url, '2024-02-29' AS retrieved_at, 'CC BY 4.0 unless otherwise stated by PSA' AS license
+        FROM (VALUES ('2009', 'archived'), ('2020', 'current')) t(version, status)""",
+)
+def service_metadata(spark, d):
+    lists = _service(spark, d)
+    rows = [tuple(lists.metadata("prod", v).values()) for v in lists.versions("prod")]
+    return spark.createDataFrame(rows, "system string, version string, display_version string, status string, source string, source_url string, retrieved_at string, license string")

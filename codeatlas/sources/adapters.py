@@ -1,16 +1,53 @@
-"""Adapters: how raw code lists become canonical editions."""
+"""Adapters: how raw code lists become canonical editions.
+
+An adapter's own ``get`` filters by level without asking whether there is such a level; the service validates.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import fill_missing_label
 from ..operators.hierarchy import parent_by_prefix, parent_by_zero_suffix
-from ..plans.schema import COLUMNS, ORD, conform
+from ..plans.schema import ORD, conform
+
+
+class Adapter(Protocol):
+    """What the service and the catalog ask of a source.  ``versions`` may be empty, any call may raise while the data is missing."""
+
+    system: str
+    source: str
+    source_url: str | None
+
+    @property
+    def versions(self) -> Sequence[str]: ...
+
+    def status(self, version: str) -> str: ...
+
+    def list_levels(self, version: str) -> list[str]: ...
+
+    def edition(self, version: str) -> DataFrame: ...
+
+    def get(self, version: str, level: str | None = None) -> DataFrame: ...
+
+    def metadata(self, version: str) -> dict: ...
+
+
+class _Reading:
+    """``get`` and ``metadata`` by means of ``edition`` and ``status``."""
+
+    def get(self, version: str, level: str | None = None) -> DataFrame:
+        """All levels, or one; a level that isn't there is an empty result."""
+        df = self.edition(version)
+        return df if level is None else df.where(df.level == level)
+
+    def metadata(self, version: str) -> dict:
+        return {"system": self.system, "version": version, "display_version": version, "status": self.status(version), "source": self.source, "source_url": self.source_url}
 
 
 def union_levels(pulls: Mapping[str, DataFrame], levels: list[str]) -> DataFrame:
@@ -32,7 +69,7 @@ def union_levels(pulls: Mapping[str, DataFrame], levels: list[str]) -> DataFrame
 
 
 @dataclass(frozen=True)
-class LevelSource:
+class LevelSource(_Reading):
     """A system that is read level by level, one edition at a time; parents are longest prefixes.
 
     ``pull(version, level_arg)`` reads one level; ``level_args`` maps level ids to the source's names.
@@ -59,7 +96,7 @@ class LevelSource:
 
 
 @dataclass(frozen=True)
-class ReleaseSource:
+class ReleaseSource(_Reading):
     """A system read as whole releases of zero-padded codes; parents have more trailing zeros.
 
     ``pull(version)`` gives ``code, label, level, ord``; levels may be empty strings, which no level listing
@@ -87,7 +124,3 @@ class ReleaseSource:
 
 def _canonical(rows: DataFrame, adapter, version: str, order: Column) -> DataFrame:
     return conform(rows, order, status=adapter.status(version), source=adapter.source, source_url=adapter.source_url)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    return df.select(*COLUMNS, ORD)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sheet import SheetError
 from ..plans.schema import COLUMNS, ORD, STORED, validate
 
 
@@ -47,12 +50,27 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def read_sheet(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A sheet saved as CSV with a header, every column as text."""
+def read_sheet(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """A sheet saved as CSV, every column as text and found by its name in the header, in whatever order."""
     try:
-        return spark.read.schema(", ".join(f"`{c}` string" for c in columns)).option("header", True).csv(path)
+        found = spark.read.option("header", True).csv(path)
     except AnalysisException as e:
         raise ArtifactMissing(f"Sheet not found at '{path}'.") from e
+    missing = [c for c in columns if c not in found.columns]
+    if missing:
+        raise SheetError(f"Sheet is missing column(s): {', '.join(missing)}")
+    return found.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def list_editions(spark: SparkSession, path: str) -> DataFrame:
+    """``system, version`` of what is stored: names of partitions, no column of the files is read."""
+    return read_editions(spark, path).select("system", "version").distinct()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path that all executors see: in the checkpoint folder where the session names one, else in the warehouse."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def read_text(spark: SparkSession, path: str, fallback: str = "Not available.") -> str:

@@ -2,10 +2,10 @@ import datetime
 
 import pytest
 
-from codeatlas.operators import catalog, present
+from codeatlas.operators import catalog, present, sheet
 from codeatlas.plans.schema import COLUMNS, build
 from codeatlas.plans.service import CodeLists, StoredSource, Unsupported
-from codeatlas.sources import artifact
+from codeatlas.sources import artifact, systems
 from codeatlas.sources.adapters import LevelSource, ReleaseSource
 
 
@@ -28,7 +28,7 @@ def test_missing_artifact_degrades_then_serves(spark, service):
     lists, stored, path = service
     assert lists.versions("ind") == ["1", "2"] and lists.current("ind") == "2"
     with pytest.raises(artifact.ArtifactMissing, match="not found"):
-        stored.get()
+        stored.get("3")
     with pytest.raises(artifact.ArtifactMissing):
         artifact.read_metadata(spark, path + "-none")
     one = build(spark, ["Z", "Z1"], system="ind", version="3", level=["top", "sub"], label=["Zed", "Zed one"], status="current", source="o")
@@ -42,7 +42,7 @@ def test_missing_artifact_degrades_then_serves(spark, service):
     assert lists.metadata("ind", "3")["display_version"] == "Third" and lists.metadata("ind", "3")["parsed_counts"] == {"top": 1}
     assert [r["code"] for r in lists.search("ind", "3", "zed").collect()] == ["Z", "Z1"]
     with pytest.raises(Unsupported, match="Unsupported IND level 'x'. Available levels: top, sub"):
-        stored.get("x")
+        stored.get("3", "x")
 
 
 def test_editions_do_not_mix(service):
@@ -77,11 +77,61 @@ def test_metadata_and_cascade(service):
     assert lists.cascade("geo") == {"versions": ["Q4_2025", "Q1_2026"], "version": "Q1_2026", "levels": ["Bgy", "Reg"], "level": None}
 
 
-def test_registry_invariants(spark):
-    rows = catalog.registry(spark).collect()
-    assert len(rows) == 7 and len(rows[0]) == 11
-    assert all(r["current_version"] in r["available_versions"] for r in rows)
-    assert {r["id"]: r["current_version"] for r in rows}["pcoicop"] == "2020"
+@pytest.fixture
+def geo_rows(spark):
+    return lambda version: spark.createDataFrame([("10", "ten", "Reg", 1), ("11", "eleven", "", 2), ("12", "twelve", "Bgy", 3)], "code string, label string, level string, ord long")
+
+
+def test_registry_asks_the_adapters(spark, geo_rows, tmp_path):
+    path, meta = str(tmp_path / "lists"), str(tmp_path / "meta")
+    rows = {r["id"]: r for r in catalog.registry(spark, systems.SYSTEMS, systems.adapters(spark, geo_rows, None, path, meta)).collect()}
+    assert len(rows) == 7 and len(rows["psgc"]) == 11
+    for r in rows.values():
+        assert r["current_version"] in r["available_versions"] and r["available_levels"] and all(r["available_levels"])
+        assert r["display_name"] and r["short_name"] and r["adapter"] and r["source"] == "Philippine Statistics Authority" and r["source_url"] == f"https://psa.gov.ph/classification/{r['id']}"
+    assert rows["psgc"]["available_levels"] == ["Bgy", "Reg"] and rows["pcoicop"]["current_version"] == "2020"
+    assert rows["psic"]["available_versions"] == ["2019"] and rows["psic"]["current_version"] == "2019"
+    one = build(spark, ["A", "01"], system="psic", version="2026", level=["section", "division"], label=["Farming", "Crops"], status="current", source="o")
+    artifact.write_editions(one, path)
+    artifact.write_metadata(spark, meta, {"version": "2026", "status": "current"})
+    psic = {r["id"]: r for r in catalog.registry(spark, systems.SYSTEMS, systems.adapters(spark, geo_rows, None, path, meta)).collect()}["psic"]
+    assert psic["available_versions"] == ["2019", "2026"] and psic["current_version"] == "2026"
+    artifact.write_metadata(spark, meta, {"version": "2026", "status": "archived"})
+    psic = systems.adapters(spark, geo_rows, None, path, meta)["psic"]
+    assert psic[1].status("2026") == "archived" and CodeLists(spark, {"psic": psic}).current("psic") == "2019"
+
+
+def test_registry_goes_on_without_a_broken_adapter(spark):
+    def broken(version):
+        raise artifact.ArtifactMissing("gone")
+
+    rows = {r["id"]: r for r in catalog.registry(spark, systems.SYSTEMS, systems.adapters(spark, broken)).collect()}
+    assert len(rows) == 7 and rows["psgc"]["available_levels"] == [] and rows["psgc"]["current_version"] == "Q2_2026" and rows["psoc"]["available_levels"]
+
+
+def test_adapters_filter_without_validation_and_know_their_metadata(spark, service, geo_rows):
+    lists, *_ = service
+    ind, stored = lists.adapters["ind"]
+    assert ind.get("1", "nope").count() == 0 and ind.get("1", "sub").count() == 2
+    assert ind.metadata("2") == {"system": "ind", "version": "2", "display_version": "2", "status": "current", "source": "office", "source_url": "http://x"}
+    with pytest.raises(Unsupported):
+        stored.get("3", "nope")
+    with pytest.raises(artifact.ArtifactMissing):
+        systems.adapters(spark, geo_rows)["psoc"][0].edition("2012")
+
+
+def test_an_empty_level_means_all(service):
+    lists, *_ = service
+    assert lists.get("ind", "1", "").count() == 4 and lists.search("ind", "1", "", level="").count() == 4
+    with pytest.raises(Unsupported):
+        lists.get("ind", "1", " ")
+
+
+def test_sanity_codes(spark):
+    df = build(spark, ["75", "750", "9"], system="s", version="1", level=["division", "group", "class"], label=["Vets", "Vets", "Vets"], status="current", source="o")
+    sheet.require_codes(df, "Vets", ["division", "group"], ["75", "750"])
+    with pytest.raises(sheet.SheetError, match="'Vets' has no code.s. 9"):
+        sheet.require_codes(df, "Vets", ["division", "group"], ["75", "9"])
 
 
 def test_presentation(spark):
@@ -102,5 +152,10 @@ def test_files(spark, tmp_path):
 
     (tmp_path / "s.csv").write_text("a,b\n01,x\n")
     assert artifact.read_sheet(spark, str(tmp_path / "s.csv"), ["a", "b"]).first()["a"] == "01"
+    assert tuple(artifact.read_sheet(spark, str(tmp_path / "s.csv"), ["b", "a"]).first()) == ("x", "01")
+    with pytest.raises(sheet.SheetError, match="missing column.s.: c"):
+        artifact.read_sheet(spark, str(tmp_path / "s.csv"), ["a", "c"])
+    with pytest.raises(artifact.ArtifactMissing):
+        artifact.read_sheet(spark, str(tmp_path / "none.csv"), ["a"])
     assert artifact.file_digests(spark, str(tmp_path / "s.csv")).first()["sha256"] == hashlib.sha256(b"a,b\n01,x\n").hexdigest()
     assert artifact.read_text(spark, str(tmp_path / "s.csv")) == "a,b\n01,x\n" and artifact.read_text(spark, str(tmp_path / "none")) == "Not available."
