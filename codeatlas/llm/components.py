@@ -14,9 +14,9 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 
 
 def _stars(edges: DataFrame, total: int) -> DataFrame:
-    """Each edge ``u, v`` with ``m``, the smallest neighbour of ``u``, ``u`` included."""
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return lookup(edges, least, "u", "n", total, F.col("v"))
+    """Each edge ``u, v`` with ``m``, the smallest neighbour of ``u``, ``u`` included.  ``edges`` must be stored: it is read twice."""
+    least = checkpointed(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+    return lookup(edges, least.withColumn("m", F.least("u", "m")), "u", "n", total, F.col("v"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,10 +29,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = checkpointed(e)
     before = _state(e)
     while n := before[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both, 2 * n).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _stars(large, n)
-        out = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        # every step is stored, so that each plan stays small
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+        large = _stars(checkpointed(both), 2 * n).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _stars(checkpointed(large), n)
+        own, other = F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = small.select(F.explode(F.when(F.col("v") != F.col("m"), F.array(own, other)).otherwise(F.array(own))).alias("e")).select("e.u", "e.v")
         e = checkpointed(out.distinct())
         after = _state(e)
         if after == before:

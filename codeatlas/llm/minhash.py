@@ -344,7 +344,7 @@ def joined_classes(classes: DataFrame, docs: DataFrame, id_col: str, text_col: s
     crowded = not crowd.isEmpty()
     if crowded:
         rare = rare_shingles(crowd.select("text_key"), texts, similar)
-        few = rare.where(F.col("n") <= CROWDED).join(crowd, "text_key")
+        few = checkpointed(rare.where(F.col("n") <= CROWDED).join(crowd, "text_key"))
         pairs = pairs.unionByName(all_pairs(few, similar)).unionByName(stars(rare.where(F.col("n") > CROWDED), similar)).distinct()
     links = links.unionByName(verified(pairs))
     joined = components(links)
