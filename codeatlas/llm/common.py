@@ -52,6 +52,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to a new path of the shared folder and read again, and the path.
+
+    A checkpoint keeps the size that the plan before it was estimated at, which joins multiply: in a loop that number grows
+    without bound and planning with it.  A table has the size of its files.
+    """
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that nothing reads any more."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else; null counts as empty.
 

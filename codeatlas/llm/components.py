@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lookup
+from .common import lookup, removed, stored
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -13,30 +13,39 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row[0], int(row[1])
 
 
-def _stars(edges: DataFrame, total: int) -> DataFrame:
+def _stars(edges: DataFrame, total: int, paths: list[str]) -> DataFrame:
     """Each edge ``u, v`` with ``m``, the smallest neighbour of ``u``, ``u`` included.  ``edges`` must be stored: it is read twice."""
-    least = checkpointed(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
-    return lookup(edges, least.withColumn("m", F.least("u", "m")), "u", "n", total, F.col("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    least = _kept(least.withColumn("m", F.least("u", "m")), paths)
+    return lookup(edges, least, "u", "n", total, F.col("v"))
+
+
+def _kept(df: DataFrame, paths: list[str]) -> DataFrame:
+    out, path = stored(df, "components")
+    paths.append(path)
+    return out
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root`` for every node with an edge: ``root`` is the smallest node it can reach.
 
-    Self-loops, repeated edges and nulls are ignored.  Every round is checkpointed, until one changes nothing; nodes
-    with a thousandth of all edges are looked up by broadcast, so a star of any size stays spread out.
+    Self-loops, repeated edges and nulls are ignored.  Every step is stored, so that plans stay small, until a round changes
+    nothing; the tables of a round are deleted once the next is there.  Nodes with a thousandth of all edges are looked up by
+    broadcast, so a star of any size stays spread out.
     """
-    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = checkpointed(e)
+    spark = edges.sparkSession
+    e, path = stored(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "components")
     before = _state(e)
     while n := before[0]:
-        # every step is stored, so that each plan stays small
+        paths = [path]
         both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-        large = _stars(checkpointed(both), 2 * n).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _stars(checkpointed(large), n)
+        large = _stars(_kept(both, paths), 2 * n, paths).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _stars(_kept(large, paths), n, paths)
         own, other = F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
         out = small.select(F.explode(F.when(F.col("v") != F.col("m"), F.array(own, other)).otherwise(F.array(own))).alias("e")).select("e.u", "e.v")
-        e = checkpointed(out.distinct())
+        e, path = stored(out.distinct(), "components")
         after = _state(e)
+        removed(spark, paths)
         if after == before:
             break
         before = after
