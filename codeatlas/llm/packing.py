@@ -9,9 +9,10 @@ one block.
 A document longer than a sequence is cut into full pieces, its first piece being the shorter one.
 Shorter documents are never cut.
 
-Defined cases: a null text is empty; an empty text is one piece with the end token alone.  Rows
-that repeat an id are packed each on their own.  An empty table gives an empty result; extra columns
-are ignored.
+Defined cases: a null text is empty; an empty text is one piece with the end token alone.  Long texts are
+tokenised and cut whole.  Pieces of equal length keep their order; of bins with equal free space the one that got it
+last is taken.  Rows that repeat an id are packed each on their own.  An empty table gives an empty result; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -40,6 +40,31 @@ def test_bins_take_the_tightest_fit_and_close_the_fullest():
     assert b.open == 1
 
 
+@pytest.mark.parametrize("most", [1, 3, 50])
+def test_bins_against_brute_force(most):
+    rnd = random.Random(most)
+    bins, open_, used = packing.Bins(20, most), [], 0  # open bins as [number, free], the latest last
+    for _ in range(2000):
+        n = rnd.randint(1, 20)
+        fits = [b for b in open_ if b[1] >= n]
+        if fits:
+            least = min(b[1] for b in fits)
+            best = [b for b in fits if b[1] == least][-1]
+            open_.remove(best)
+        else:
+            if len(open_) == most:
+                least = min(b[1] for b in open_)
+                open_.remove([b for b in open_ if b[1] == least][-1])
+            best = [used, 20]
+            used += 1
+        want = (best[0], 20 - best[1])
+        best = [best[0], best[1] - n]
+        if best[1]:
+            open_.append(best)
+        assert bins.put(n) == want
+    assert bins.used == used
+
+
 def test_packing_invariants(spark):
     rnd = random.Random(1)
     rows = [(i, " ".join(str(rnd.randrange(10**6)) for _ in range(rnd.choice([0, 1, 5, 30, 200, 900]))), "en", "s") for i in range(150)]
@@ -86,6 +111,22 @@ def test_exception_phrases_and_longest_match():
     assert m("trash trashy") == (6.0, 2) and m("discumbobulated") == (0, 0) and m("") == (0, 0)
 
 
+def test_matching_against_brute_force():
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("ab") for _ in range(rnd.randint(1, 4)))
+    for _ in range(200):
+        terms = {f" {word()}" + rnd.choice(["", " "]): float(rnd.randint(1, 5)) for _ in range(6)}
+        exceptions = tuple({f" {word()} {word()} " for _ in range(4)} - set(terms))
+        text = toxicity.fold(" ".join(word() for _ in range(rnd.randint(0, 40))))
+        spans = [(i, i + len(e)) for e in exceptions for i in range(len(text)) if text.startswith(e, i)]
+        hits = {}
+        for i in range(len(text)):
+            longest = max((t for t in terms if text.startswith(t, i)), key=len, default=None)
+            if longest and not any(a <= i and i + len(longest) <= b for a, b in spans):
+                hits[i] = terms[longest]
+        assert toxicity.matched(text, toxicity.Model(terms, exceptions).built()) == (sum(hits.values()), len(hits))
+
+
 def toxic_rows(n=400):
     rnd = random.Random(2)
     words = [a + b for a in ("bel", "tor", "min", "sar", "vek") for b in ("an", "or", "is", "um", "ek", "ol", "ar")]
