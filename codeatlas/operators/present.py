@@ -37,6 +37,7 @@ def select_by_position(df: DataFrame, position: int | None, limit: int = 200) ->
 
 def entry_detail(df: DataFrame) -> DataFrame:
     """``code, pos, field, value`` rows of each entry's card; a missing URL has no row."""
+    # fixed values: the labels of the card, in order
     fields = [
         ("Code", F.col("code")), ("Label", F.col("label")), ("Description", F.coalesce("description", F.lit("Not available"))), ("System", F.upper("system")),
         ("Edition / release", F.col("version")), ("Level", F.col("level")), ("Status", badge_label(F.col("status"))), ("Source", F.col("source")), ("Link", F.col("source_url")),

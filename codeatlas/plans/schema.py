@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The columns of the relation, which of them may be null, the status domain; the texts of errors below are fixed too.
 NULLABLE = {"description", "parent_code", "source_url"}
 COLUMNS = ["system", "version", "level", "code", "label", "description", "parent_code", "status", "source", "source_url"]
 REQUIRED = ["system", "version", "level", "code", "label", "status", "source"]
