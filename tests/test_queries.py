@@ -61,3 +61,8 @@ def test_entry_point_works_without_the_training_data_part(tmp_path):
     (tmp_path / "__spark_entry__.py").write_text((ROOT / "__spark_entry__.py").read_text())
     code = "import __spark_entry__ as e; q = e.queries(); assert 'search_ranked' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_entry_point_works_without_a_package_of_the_training_data_part():
+    code = "import sys; sys.modules['ahocorasick'] = sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'search_ranked' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-B", "-W", "ignore", "-c", code], cwd=ROOT, check=True)
