@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .common import lookup, removed, stored
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-    return row[0], int(row[1])
+def _settled(edges: DataFrame, n: int) -> bool:
+    """Whether every ``u`` has one ``v``, and no ``v`` is a ``u`` itself."""
+    if edges.select("u").distinct().count() < n:
+        return False
+    return edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def _stars(edges: DataFrame, total: int, paths: list[str]) -> DataFrame:
@@ -29,14 +31,13 @@ def _kept(df: DataFrame, paths: list[str]) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root`` for every node with an edge: ``root`` is the smallest node it can reach.
 
-    Self-loops, repeated edges and nulls are ignored.  Every step is stored, so that plans stay small, until a round changes
-    nothing; the tables of a round are deleted once the next is there.  Nodes with a thousandth of all edges are looked up by
+    Self-loops, repeated edges and nulls are ignored.  Every step is stored, so that plans stay small, until only stars are left;
+    the tables of a round are deleted once the next is there.  Nodes with a thousandth of all edges are looked up by
     broadcast, so a star of any size stays spread out.
     """
     spark = edges.sparkSession
     e, path = stored(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "components")
-    before = _state(e)
-    while n := before[0]:
+    while not _settled(e, n := e.count()):
         paths = [path]
         both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         large = _stars(_kept(both, paths), 2 * n, paths).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -44,9 +45,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         own, other = F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
         out = small.select(F.explode(F.when(F.col("v") != F.col("m"), F.array(own, other)).otherwise(F.array(own))).alias("e")).select("e.u", "e.v")
         e, path = stored(out.distinct(), "components")
-        after = _state(e)
         removed(spark, paths)
-        if after == before:
-            break
-        before = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
