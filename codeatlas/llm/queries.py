@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, minhash, mixing, packing, quality, sharding, simhash, toxicity, warc
+from . import chat, collocations, exact_dedup, minhash, mixing, packing, quality, sharding, simhash, toxicity, warc
 from .common import checkpointed, fresh_dir, held_out, lower_ascii, table
 
 
@@ -87,10 +87,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_exact_dedup, op3_warc, op4_mixing, op5_sharding, op6_chat, op7_fingerprints, op8_simhash, op9_quality, op10_packing,
+        op11_collocations,
     )
 }
 
@@ -150,4 +155,22 @@ ORACLES = {
             bool_and(move IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user')) AS valid
         FROM e GROUP BY conv
     """,
+    "op11_collocations": """
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS s FROM d),
+        w AS (SELECT lang, regexp_extract_all(s, '[^\\x20\\x09]+') AS w FROM p),
+        o AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 5) ks(k)),
+        f AS (SELECT lang, k, w[i:i + k - 1] AS words, count(*) AS a FROM o GROUP BY ALL HAVING count(*) >= 30),
+        n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+        longer AS (
+            SELECT lang, words, max(a) AS most FROM (SELECT lang, words[:-2] AS words, a FROM f WHERE k > 2 UNION ALL SELECT lang, words[2:], a FROM f WHERE k > 2
+                UNION ALL SELECT lang, words[:-3], a FROM f WHERE k = 4 UNION ALL SELECT lang, words[3:], a FROM f WHERE k = 4) GROUP BY ALL),
+        c AS (SELECT f.*, unnest(range(1, k)) AS cut FROM f LEFT JOIN longer m ON m.lang = f.lang AND m.words = f.words WHERE k > 1 AND coalesce(100 * most < 80 * a, true)),
+        s AS (
+            SELECT c.*, l.a AS l, r.a AS r, CAST(2000000::HUGEINT * c.a // (l.a + r.a) AS BIGINT) AS score
+            FROM c JOIN f l ON l.lang = c.lang AND l.words = c.words[1:cut] JOIN f r ON r.lang = c.lang AND r.words = c.words[cut + 1:]),
+        b AS (SELECT *, array_to_string(words, ' ') AS phrase FROM s QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+        FROM b JOIN n USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+    """,
 }
