@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, exact_dedup, minhash, mixing, packing, quality, sharding, simhash, toxicity, warc
+from . import chat, collocations, exact_dedup, licenses, minhash, mixing, packing, quality, sharding, simhash, spelling, toxicity, warc
 from .common import checkpointed, fresh_dir, held_out, lower_ascii, table
 
 
@@ -91,11 +91,47 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score"
+    )
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def _licenses_sql() -> str:
+    def words(x) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in x) + "]::VARCHAR[]"
+
+    templates = ", ".join(f"('{t.label}', {licenses.scale(t)}, {words(sorted(set(licenses.words_of(t.text))))}, {licenses.needed(t)}, {words(t.must)}, {words(t.unless)})" for t in licenses.TEMPLATES)
+    phrases = ", ".join(f"({words(p.split())}, '{label}')" for p, label in licenses.PHRASES.items())
+    return f"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        t AS (SELECT * FROM (VALUES {templates}) t(label, scale, words, need, must, unless)),
+        p AS (SELECT * FROM (VALUES {phrases}) p(phrase, label)),
+        h AS (SELECT doc_id, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = phrase[1] AND w[i:i + len(phrase) - 1] = phrase)) - 1 AS place FROM d, p),
+        base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY doc_id),
+        b AS (SELECT doc_id, scale, list_distinct(w[start + 1:start + 2 * scale]) AS tokens FROM (SELECT doc_id, w, scale, unnest(range(0, len(w), scale)) AS start FROM d, (SELECT DISTINCT scale FROM t))),
+        m AS (
+            SELECT doc_id, label, len(list_intersect(tokens, words)) AS shared, len(words) AS size FROM b JOIN t ON t.scale = b.scale AND len(list_intersect(tokens, words)) >= need
+            WHERE list_has_all(tokens, must) AND NOT list_has_any(tokens, unless)),
+        l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM m UNION ALL SELECT doc_id, label FROM h) GROUP BY doc_id),
+        s AS (SELECT doc_id, max(shared / size) AS most FROM m GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+            CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(most, 0.0) END::DOUBLE AS score
+        FROM d LEFT JOIN base USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)
+    """
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_exact_dedup, op3_warc, op4_mixing, op5_sharding, op6_chat, op7_fingerprints, op8_simhash, op9_quality, op10_packing,
-        op11_collocations,
+        op11_collocations, op12_licenses, op13_spelling,
     )
 }
 
@@ -173,4 +209,5 @@ ORACLES = {
         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
         FROM b JOIN n USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
     """,
+    "op12_licenses": _licenses_sql(),
 }
