@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,22 +72,42 @@ def bad_statuses(df: DataFrame) -> DataFrame:
     return df.agg(F.array_join(F.array_sort(F.collect_set(bad)), ", ").alias("bad_statuses"))
 
 
-def validate(df: DataFrame) -> None:
-    """Raises at the first broken rule: missing columns, types, nulls, status domain.
-
-    The first two look at the schema only; the others take one pass over the data.
-    """
+def check_columns(df: DataFrame) -> None:
+    """Raises on missing columns, then on other types: what the schema alone tells."""
     missing = [c for c in COLUMNS if c not in df.columns]
     if missing:
         raise SchemaError(f"Classification data missing required column(s): {', '.join(missing)}")
     other = [c for c in COLUMNS if df.schema[c].dataType != T.StringType()]
     if other:
         raise SchemaError(f"Classification column(s) must be character: {', '.join(other)}")
-    nulls = [F.bool_or(F.col(c).isNull()).alias(c) for c in REQUIRED]
-    bad = F.collect_set(F.when(~F.col("status").isin(*STATUSES), F.col("status"))).alias("bad")
-    row = df.agg(*nulls, bad).first()
+
+
+def null_error(column: str) -> SchemaError:
+    return SchemaError(f"Classification column '{column}' must not contain NA")
+
+
+def status_error(bad: Sequence[str]) -> SchemaError:
+    return SchemaError(f"Classification status must be 'current' or 'archived', got: {', '.join(sorted(bad))}")
+
+
+def observed_rules() -> list[Column]:
+    """Aggregates that tell of broken rules, for one pass over the data or for an observation of it."""
+    return [*[F.bool_or(F.col(c).isNull()).alias(f"null_{c}") for c in REQUIRED], F.collect_set(F.when(~F.col("status").isin(*STATUSES), F.col("status"))).alias("bad")]
+
+
+def check_rules(seen: Mapping) -> None:
+    """Raises at the first broken rule of what ``observed_rules`` gave: nulls by column, then the status domain."""
     for c in REQUIRED:
-        if row[c]:
-            raise SchemaError(f"Classification column '{c}' must not contain NA")
-    if row["bad"]:
-        raise SchemaError(f"Classification status must be 'current' or 'archived', got: {', '.join(sorted(row['bad']))}")
+        if seen[f"null_{c}"]:
+            raise null_error(c)
+    if seen["bad"]:
+        raise status_error(seen["bad"])
+
+
+def validate(df: DataFrame) -> None:
+    """Raises at the first broken rule: missing columns, types, nulls, status domain.
+
+    The first two look at the schema only; the others take one pass over the data.
+    """
+    check_columns(df)
+    check_rules(df.agg(*observed_rules()).first().asDict())

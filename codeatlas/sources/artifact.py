@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sheet import SheetError
 from ..plans.schema import COLUMNS, ORD, STORED, validate
+from .files import scratch as scratch
 
 
 class ArtifactMissing(FileNotFoundError):
@@ -19,7 +19,10 @@ class ArtifactMissing(FileNotFoundError):
 
 
 def write_editions(df: DataFrame, path: str) -> None:
-    """Writes canonical rows; only the editions in ``df`` are replaced."""
+    """Writes canonical rows; only the editions in ``df`` are replaced.
+
+    Two passes: rules are checked before anything is replaced.  ``store.Store.publish`` checks them in the write and swaps whole editions.
+    """
     validate(df)
     df.select(*COLUMNS, ORD).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("system", "version").parquet(path)
 
@@ -67,12 +70,6 @@ def list_editions(spark: SparkSession, path: str) -> DataFrame:
     return read_editions(spark, path).select("system", "version").distinct()
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path that all executors see: in the checkpoint folder where the session names one, else in the warehouse."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_text(spark: SparkSession, path: str, fallback: str = "Not available.") -> str:
     """A text file as one string, or the fallback."""
     try:
