@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sheet import SheetError
-from ..plans.schema import COLUMNS, ORD, STORED, validate
+from ..plans.schema import COLUMNS, ORD, STORED, check_columns, check_rules, observed_rules
+from .files import Files
 from .files import scratch as scratch
 
 
@@ -21,10 +23,21 @@ class ArtifactMissing(FileNotFoundError):
 def write_editions(df: DataFrame, path: str) -> None:
     """Writes canonical rows; only the editions in ``df`` are replaced.
 
-    Two passes: rules are checked before anything is replaced.  ``store.Store.publish`` checks them in the write and swaps whole editions.
+    One job: the rules are observed while the rows are written aside, and nothing is replaced where one is broken.  Readers may see an edition missing
+    while it is replaced; ``store.Store`` swaps editions whole.
     """
-    validate(df)
-    df.select(*COLUMNS, ORD).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("system", "version").parquet(path)
+    check_columns(df)
+    files, seen = Files(df.sparkSession, path), Observation()
+    aside = f"{path}/_staging-{uuid.uuid4().hex}"
+    try:
+        df.select(*COLUMNS, ORD).observe(seen, F.count(F.lit(1)).alias("rows"), *observed_rules()).write.partitionBy("system", "version").parquet(aside)
+        check_rules(seen.get)
+        editions = [f"{s}/{v}" for s in files.names(aside) if "=" in s for v in files.names(f"{aside}/{s}")]
+        for edition in editions:
+            files.delete(f"{path}/{edition}")
+            files.move(f"{aside}/{edition}", f"{path}/{edition}")
+    finally:
+        files.delete(aside)
 
 
 def read_editions(spark: SparkSession, path: str) -> DataFrame:

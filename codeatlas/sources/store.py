@@ -30,8 +30,8 @@ from .artifact import ArtifactMissing
 from .files import Files
 
 #: What a manifest says of an edition; ``counts`` by level in the levels' order, ``metadata`` as JSON.
-ENTRY = T.StructType.fromDDL(
-    "system string, version string, position int, build string, status string, rows long, digest string, levels array<string>, counts array<bigint>, files array<struct<name:string,bytes:bigint>>, metadata string"
+ENTRY = (
+    "system string, version string, position int, rank int, build string, status string, rows long, digest string, levels array<string>, counts array<bigint>, files array<struct<name:string,bytes:bigint>>, metadata string"
 )
 #: Tries to add an edition while others publish, too.
 TRIES = 100
@@ -75,7 +75,7 @@ class Store:
     def _change(self, change) -> None:
         """The next manifest: the latest one's editions after ``change``; again if another build was faster."""
         for _ in range(TRIES):
-            lines = [json.dumps(x, ensure_ascii=False) for x in change(self.entries())]
+            lines = [json.dumps(x, ensure_ascii=False) for x in _ranked(change(self.entries()))]
             digest = hashlib.sha256("\n".join(lines).encode()).hexdigest()
             if self.files.create(self._manifest(max(self._numbers(), default=0) + 1), "\n".join([*lines, json.dumps({"sha256": digest})])):
                 return
@@ -202,10 +202,17 @@ class Store:
 
 
 def current_editions(catalog: DataFrame) -> DataFrame:
-    """``system, version`` of a catalog's current editions."""
-    first = F.min_by("version", F.struct(F.when(F.col("status") == "current", 0).otherwise(1), "position"))
-    named = catalog.groupBy("system").agg(first.alias("current"))
-    return catalog.join(named, "system").where("version = current").select("system", "version")
+    """``system, version`` of a catalog's current editions, by a filter on the small side: a join prunes the other side's partitions."""
+    return catalog.where("rank = 1").select("system", "version")
+
+
+def _ranked(entries: list[dict]) -> list[dict]:
+    """With ``rank`` in each system: editions with the status current come first, each in their order."""
+    out = []
+    for e in entries:
+        own = sorted((x for x in entries if x["system"] == e["system"]), key=lambda x: (x["status"] != "current", x["position"]))
+        out.append({**e, "rank": 1 + own.index(e)})
+    return out
 
 
 def _placed(entries: list[dict], found: dict) -> list[dict]:

@@ -62,7 +62,7 @@ def test_pages_are_those_of_an_offset(data, index, size):
         rows = index.next_page(last, size).collect()
         assert [tuple(r)[:10] for r in rows] == want
         last = rows[-1][ORD] if rows else last
-    assert [r[ORD] for r in index.page(399, 1).collect()] == [everything[-1][-1]]
+    assert [tuple(r)[:10] for r in index.page(399, 1).collect()] == everything[-1:]
 
 
 def test_an_empty_edition(spark, data, tmp_path):
