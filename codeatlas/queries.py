@@ -14,6 +14,7 @@ from .operators import search as s
 from .plans import schema
 from .plans.service import CodeLists
 from .sources import adapters, artifact, fixtures, systems
+from .sources.store import StoreSource
 from .streaming.debounce import debounce
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +61,12 @@ def _sheet(gappy: bool) -> str:
     FROM parts)"""
 
 
+_PARSED = """f AS (
+        SELECT *, last_value(brand IGNORE NULLS) OVER w AS fb, last_value(size IGNORE NULLS) OVER w AS fs FROM sheet WINDOW w AS (ORDER BY row_no ROWS UNBOUNDED PRECEDING)),
+    parsed AS (
+        SELECT row_no * 10 AS ord, 'brand' AS level, brand AS code, description AS label, CAST(NULL AS VARCHAR) AS parent_code FROM f WHERE brand IS NOT NULL
+        UNION ALL SELECT row_no * 10 + 1, 'size', size, description, fb FROM f WHERE size IS NOT NULL
+        UNION ALL SELECT row_no * 10 + 2, 'item', item, description, coalesce(fs, fb) FROM f WHERE item IS NOT NULL)"""
 _COLS = ", ".join(schema.COLUMNS)
 _NORM = r"regexp_replace(trim(lower({0}), ' ' || chr(9) || chr(13) || chr(10)), '[\t\n\f\r\p{{Z}}]+', ' ', 'g')"
 
@@ -133,6 +140,17 @@ def _searches() -> None:
     for name, code in (("entry_lookup", "13.07"), ("entry_lookup_miss", " 13.07")):
         query(name, f"WITH {prod} SELECT {_COLS} FROM prod WHERE code = {_quoted(code)}")(lambda spark, d, code=code: s.entry(plain(spark, d), code))
 
+    indexed = [
+        ("index_code", "prod", prod, "prod", "13", "13", None, 100), ("index_label_prefix", "prod", prod, "prod", "red", "red", None, 500), ("index_label_contains", "prod", prod, "prod", "widget", "widget", "item", 500),
+        ("index_description", "prod", prod, "prod", "economy", "economy", None, 500), ("index_text", "docs", _DOCS, "docs", "license", "license", None, 1000),
+        ("index_text_rare", "docs", _DOCS, "docs", "Under  CC by-nc 4.0.", "under cc by-nc 4.0.", None, 1000), ("index_text_short", "docs", _DOCS, "docs", "zu", "zu", "de", 20),
+    ]
+    for name, which, ctes, table, text, normed, level, limit in indexed:
+        run = lambda spark, d, which=which, text=text, level=level, limit=limit: fixtures.indexed(spark, d, which).search(text, level, limit, ranked=True)
+        query(name, _search_sql(ctes, table, normed, level, limit))(run)
+    query("index_browse", _search_sql(prod, "prod", "", None, 100, blank=True))(lambda spark, d: fixtures.indexed(spark, d, "prod").search("", None, 100, ranked=True))
+    query("index_entry", f"WITH {prod} SELECT {_COLS} FROM prod WHERE code = '13.07'")(lambda spark, d: fixtures.indexed(spark, d, "prod").entry("13.07"))
+
 
 _searches()
 
@@ -150,6 +168,9 @@ _J2 = """zeroed AS (
         WHERE p.code = left(c.code, CAST(10 - k AS BIGINT)) || repeat('0', CAST(k AS BIGINT)) AND p.code <> c.code
         GROUP BY c.code) z ON z.code = g.code)"""
 _GEO_ROW = "'geo' AS system, 'Q2_2026' AS version, level, code, label, CAST(NULL AS VARCHAR) AS description, parent_code, 'current' AS status, 'test tables' AS source, CAST(NULL AS VARCHAR) AS source_url"
+_P20_ONLY = f"{_PARTS}, {_P20}, lists AS (SELECT * FROM prod)"
+_LEVEL_NAME = "CASE level WHEN 'brand' THEN 'section' WHEN 'size' THEN 'division' ELSE 'group' END"
+_PSIC_ROW = f"'psic' AS system, '2026' AS version, {_LEVEL_NAME} AS level, code, label, description, parent_code, status, source, source_url"
 
 
 @query("parent_by_prefix", f"WITH {_BOTH}, {_J1} SELECT version, level, code, parent_code FROM parented")
@@ -165,8 +186,23 @@ def parent_by_zero_suffix(spark, d):
 
 @query("get_classification", f"WITH {_BOTH}, {_GEO}, {_J1}, {_J2} SELECT {_COLS} FROM parented UNION ALL SELECT {_GEO_ROW} FROM zeroed")
 def get_classification(spark, d):
-    editions = [fixtures.prod(spark, d), fixtures.prod(spark, d, "2009"), fixtures.geo(spark, d)]
-    return editions[0].unionByName(editions[1]).unionByName(editions[2]).select(*schema.COLUMNS)
+    """Every published edition in one scan; parents were found when they were published."""
+    return fixtures.published(spark, d).read().where("system <> 'psic'").select(*schema.COLUMNS)
+
+
+@query("current_classifications", f"WITH {_P20_ONLY}, {_GEO}, {_J1}, {_J2} SELECT {_COLS} FROM parented UNION ALL SELECT {_GEO_ROW} FROM zeroed UNION ALL SELECT {_PSIC_ROW} FROM parented")
+def current_classifications(spark, d):
+    """The current edition of every system, by a join with the catalog that prunes partitions."""
+    return fixtures.published(spark, d).current().select(*schema.COLUMNS)
+
+
+@query("built_edition", f"WITH {_PARTS}, {_sheet(True)}, {_PARSED}, n AS (SELECT count(*) AS rows FROM parsed) SELECT level, code, label, parent_code, rows, (SELECT count(*) FROM parsed WHERE level = 'size') AS sizes FROM parsed, n")
+def built_edition(spark, d):
+    """A sheet without row numbers, parsed, counted and published, read back through the service with what was observed."""
+    store = fixtures.built(spark, d)
+    lists = CodeLists(spark, {"sheet": [StoreSource(store, "sheet")]})
+    stated = lists.metadata("sheet", "1")
+    return lists.get("sheet", "1").select("level", "code", "label", "parent_code", F.lit(stated["rows"]).alias("rows"), F.lit(stated["parsed_counts"]["size"]).cast("long").alias("sizes"))
 
 
 @query("get_level", f"WITH {_BOTH}, {_J1} SELECT {_COLS} FROM parented WHERE version = '2009' AND level = 'item'")
@@ -174,12 +210,6 @@ def get_level(spark, d):
     return fixtures.prod(spark, d, "2009").where("level = 'item'").select(*schema.COLUMNS)
 
 
-_PARSED = """f AS (
-        SELECT *, last_value(brand IGNORE NULLS) OVER w AS fb, last_value(size IGNORE NULLS) OVER w AS fs FROM sheet WINDOW w AS (ORDER BY row_no ROWS UNBOUNDED PRECEDING)),
-    parsed AS (
-        SELECT row_no * 10 AS ord, 'brand' AS level, brand AS code, description AS label, CAST(NULL AS VARCHAR) AS parent_code FROM f WHERE brand IS NOT NULL
-        UNION ALL SELECT row_no * 10 + 1, 'size', size, description, fb FROM f WHERE size IS NOT NULL
-        UNION ALL SELECT row_no * 10 + 2, 'item', item, description, coalesce(fs, fb) FROM f WHERE item IS NOT NULL)"""
 #: Row numbers of the derived sheets are codes; a block of them is one brand.
 _BLOCK = 10**9
 
@@ -271,14 +301,19 @@ def _values(rows) -> str:
 
 #: What the adapters of the seven systems list, once more as a counterpart: editions in order with their status, levels from the top.
 _FIXED_EDITIONS = [
-    ("psgc", "Q1_2023", 1, "archived"), ("psgc", "Q2_2026", 2, "current"), ("psic", "2019", 1, "archived"), ("psoc", "2012", 1, "current"), ("psced", "2017", 1, "current"),
+    ("psgc", "Q1_2023", 1, "archived"), ("psgc", "Q2_2026", 2, "current"), ("psic", "2019", 1, "archived"), ("psic", "2026", 2, "current"), ("psoc", "2012", 1, "current"), ("psced", "2017", 1, "current"),
     ("pcoicop", "2020", 1, "current"), ("pcoicop", "2009", 2, "archived"), ("pcpc", "2002", 1, "current"), ("psccs", "2018", 1, "current"),
 ]
 _FIXED_LEVELS = "psic:section,division,group,class,sub-class;psoc:major,sub-major,minor,unit;psced:levels,broadfield,narrowfield,detailedfield;pcoicop:divisions,groups,class,sub-class,item,subitem;pcpc:sections,divisions,groups,classes,sub-classes,item;psccs:section,divisions,groups,classes,sub-classes"
 _EDITIONS = f"SELECT * FROM {_values(_FIXED_EDITIONS)} t(system, version, ord, status)"
-_LISTED = [("a", "2019", 1, "archived"), ("a", "2026", 2, "current"), ("b", "2009", 1, "archived"), ("b", "2012", 2, "archived"), ("c", "Q4_2025", 1, "archived"), ("c", "Q1_2026", 2, "archived")]
-_MORE = [("a", "2026", 1, "current"), ("a", "2030", 2, "current"), ("d", "1", 1, "current")]
-_LATEST = [("a", "2026"), ("b", "1999"), ("c", "Q4_2025")]
+
+
+def _years(table: str = "orders", system: str = "o_orderpriority", day: str = "o_orderdate") -> str:
+    return f"""(SELECT system, version, CAST(row_number() OVER w AS INTEGER) AS ord, CASE WHEN n > lag(n, 1, 0) OVER w THEN 'current' ELSE 'archived' END AS status FROM (
+        SELECT {system} AS system, CAST(year({day}) AS VARCHAR) AS version, count(*) AS n FROM {table} GROUP BY ALL) WINDOW w AS (PARTITION BY system ORDER BY version))"""
+
+
+_SHIPPED = ("lineitem", "l_returnflag", "l_shipdate")
 
 
 @query("src_versions", "SELECT * FROM (VALUES ('prod', '2009'), ('prod', '2020')) t(system, version)")
@@ -290,49 +325,62 @@ def src_versions(spark, d):
 
 
 def _systems(spark, d):
-    return systems.adapters(spark, lambda v: fixtures.pull_geo(spark, d), stored_path=f"{d}/no-such-list")
+    return systems.adapters(spark, lambda v: fixtures.pull_geo(spark, d), store=fixtures.published(spark, d))
 
 
-_PSIC = [("psic", "section", "sections"), ("psic", "division", "divisions"), ("psic", "group", "groups"), ("psic", "class", "classes"), ("psic", "sub-class", "sub-classes"), ("psoc", "major", "major"), ("psoc", "sub-major", "sub-major"), ("psoc", "minor", "minor"), ("psoc", "unit", "unit")]
+_PSIC = [("section", "sections"), ("division", "divisions"), ("group", "groups"), ("class", "classes"), ("sub-class", "sub-classes")]
 
 
-@query("level_arg_map", f"SELECT * FROM {_values(_PSIC)} t(system, level, level_arg)")
+@query(
+    "level_arg_map",
+    f"""WITH {_PARTS}, {_P20}, n AS (SELECT {_LEVEL_NAME} AS level, count(*) AS n FROM prod GROUP BY 1)
+        SELECT 'psic' AS system, level, level_arg, coalesce(n, 0) AS n FROM {_values(_PSIC)} t(level, level_arg) LEFT JOIN n USING (level)""",
+)
 def level_arg_map(spark, d):
-    return catalog.level_args(spark, {k: v for k, v in _systems(spark, d).items() if k in ("psic", "psoc")})
+    """What the source calls the levels of a system, and the rows that the stored edition has there."""
+    known = catalog.level_args(spark, {k: v for k, v in _systems(spark, d).items() if k == "psic"})
+    stored = fixtures.published(spark, d).edition("psic", "2026").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    return known.join(stored, "level", "left").select("system", "level", "level_arg", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("version_status", f"SELECT system, version, CASE WHEN version = '2020' THEN 'current' ELSE 'archived' END AS status FROM ({_EDITIONS}) WHERE system = 'pcoicop'")
+@query("version_status", f"SELECT system, version, CASE WHEN version = (SELECT max(version) FROM {_years()}) THEN 'current' ELSE 'archived' END AS status FROM {_years()}")
 def version_status(spark, d):
-    return catalog.version_status(catalog.editions(spark, catalog.listed_editions(_systems(spark, d))).where("system = 'pcoicop'"), "latest", "2020")
+    versions = fixtures.yearly_editions(spark, d)
+    return catalog.version_status(versions, "latest", versions.agg(F.max("version")).first()[0])
 
 
-@query(
-    "current_version",
-    f"SELECT system, coalesce(arg_min(version, ord) FILTER (WHERE status = 'current'), arg_min(version, ord)) AS current_version FROM (SELECT * FROM {_values(_LISTED)} t(system, version, ord, status)) GROUP BY system",
-)
+@query("current_version", f"SELECT system, coalesce(arg_min(version, ord) FILTER (WHERE status = 'current'), arg_min(version, ord)) AS current_version FROM {_years(*_SHIPPED)} GROUP BY system")
 def current_version(spark, d):
-    return catalog.current_version(catalog.editions(spark, _LISTED))
+    return catalog.current_version(fixtures.yearly_editions(spark, d, *_SHIPPED))
+
+
+_BUSIEST = "(SELECT o_orderpriority AS system, arg_max(y, n * 10000 + y) AS y FROM (SELECT o_orderpriority, year(o_orderdate) + CASE WHEN o_orderpriority LIKE '1%' THEN 100 ELSE 0 END AS y, count(*) AS n FROM orders GROUP BY ALL) GROUP BY 1)"
 
 
 @query(
     "current_version_latest",
     f"""SELECT v.system, coalesce(max(CASE WHEN version = latest THEN version END), arg_max(version, ord)) AS current_version
-        FROM {_values(_LISTED)} v(system, version, ord, status) LEFT JOIN {_values(_LATEST)} l(system, latest) ON l.system = v.system GROUP BY v.system""",
+        FROM {_years()} v LEFT JOIN (SELECT system, CAST(y AS VARCHAR) AS latest FROM {_BUSIEST}) l ON l.system = v.system GROUP BY v.system""",
 )
 def current_version_latest(spark, d):
-    return catalog.current_version_latest(catalog.editions(spark, _LISTED), spark.createDataFrame(_LATEST, "system string, latest string"))
+    """The busiest year counts as the latest edition; that of one system is not listed."""
+    year = F.year("o_orderdate") + F.when(F.col("o_orderpriority").startswith("1"), 100).otherwise(0)
+    counted = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_orderpriority").alias("system"), year.alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    latest = counted.groupBy("system").agg(F.max_by("y", F.col("n") * 10000 + F.col("y")).cast("string").alias("latest"))
+    return catalog.current_version_latest(fixtures.yearly_editions(spark, d), latest)
 
 
 @query(
     "versions_union",
     f"""WITH u AS (
             SELECT system, version, min(o) AS o FROM (
-                SELECT system, version, ord AS o FROM {_values(_LISTED)} a(system, version, ord, status) UNION ALL SELECT system, version, 100 + ord FROM {_values(_MORE)} b(system, version, ord, status))
+                SELECT system, version, -ord AS o FROM {_years()} WHERE version < '1996' UNION ALL SELECT system, version, 100 + ord FROM {_years()} WHERE version > '1993')
             GROUP BY system, version)
         SELECT system, row_number() OVER (PARTITION BY system ORDER BY o) AS pos, version FROM u""",
 )
 def versions_union(spark, d):
-    return catalog.versions_union(catalog.editions(spark, _LISTED), catalog.editions(spark, _MORE))
+    years = fixtures.yearly_editions(spark, d)
+    return catalog.versions_union(years.where("version < '1996'").withColumn("ord", -F.col("ord")), years.where("version > '1993'"))
 
 
 @query(
@@ -420,6 +468,17 @@ def display_page(spark, d):
     return present.display_page(fixtures.prod_rows(spark, d), 2)
 
 
+@query("index_page", f"WITH {_DOCS} SELECT {_COLS}, ord FROM docs ORDER BY ord LIMIT 15 OFFSET 615")
+def index_page(spark, d):
+    """A deep page by the stored page index: the blocks before it are not read."""
+    return fixtures.indexed(spark, d, "docs").page(41).select(*schema.COLUMNS, "ord")
+
+
+@query("index_next_page", f"WITH {_DOCS} SELECT {_COLS}, ord FROM docs WHERE ord > 700 ORDER BY ord LIMIT 15")
+def index_next_page(spark, d):
+    return fixtures.indexed(spark, d, "docs").next_page(700).select(*schema.COLUMNS, "ord")
+
+
 @query("display_page_sorted", f"WITH {_PARTS}, {_P20} SELECT {_SHOWN} FROM (SELECT * FROM prod WHERE contains(lower(label), 'red') ORDER BY label DESC, ord LIMIT 15)")
 def display_page_sorted(spark, d):
     return present.display_page(fixtures.prod_rows(spark, d), sort="Label", descending=True, contains="red")
@@ -465,14 +524,19 @@ def debounce_events(spark, d):
 
 
 def _service(spark, d) -> CodeLists:
-    return CodeLists(spark, {"prod": [fixtures.prod_source(spark, d)], "geo": [fixtures.geo_source(spark, d)]}, datetime.date(2024, 2, 29), systems.LICENSE)
+    """Over what is published: an edition is one partition, parents are columns."""
+    store = fixtures.published(spark, d)
+    return CodeLists(spark, {x: [StoreSource(store, x, fixtures.SOURCE)] for x in ("prod", "geo")}, datetime.date(2024, 2, 29), systems.LICENSE)
+
 
+_ROWS = f"WITH {_BOTH}, {_GEO}, n AS (SELECT system, version, count(*) AS rows FROM lists GROUP BY ALL UNION ALL SELECT 'geo', 'Q2_2026', count(*) FROM geo)"
 
-@query("service_versions", "SELECT * FROM (VALUES ('prod', 1, '2009', false), ('prod', 2, '2020', true), ('geo', 1, 'Q2_2026', true)) t(system, pos, version, is_current)")
+
+@query("service_versions", f"{_ROWS} SELECT system, row_number() OVER (PARTITION BY system ORDER BY version) AS pos, version, version <> '2009' AS is_current, rows FROM n")
 def service_versions(spark, d):
-    lists = _service(spark, d)
-    rows = [(x, i, v, v == lists.current(x)) for x in lists.systems() for i, v in enumerate(lists.versions(x), 1)]
-    return spark.createDataFrame(rows, "system string, pos int, version string, is_current boolean")
+    """As the manifest has them, in the order they were published."""
+    found = fixtures.published(spark, d).catalog().where("system in ('prod', 'geo')")
+    return found.select("system", F.col("position").cast("long").alias("pos"), "version", (F.col("rank") == 1).alias("is_current"), "rows")
 
 
 @query(
@@ -509,10 +573,16 @@ def service_entry(spark, d):
 
 @query(
     "service_metadata",
-    """SELECT 'prod' AS system, version, version AS display_version, status, 'test tables' AS source, CAST(NULL AS VARCHAR) AS source_url, '2024-02-29' AS retrieved_at, 'CC BY 4.0 unless otherwise stated by PSA' AS license
-        FROM (VALUES ('2009', 'archived'), ('2020', 'current')) t(version, status)""",
+    f"""{_ROWS}, c AS (SELECT version, string_agg(level || '=' || n, ' ' ORDER BY depth) AS counts FROM (SELECT version, level, depth, count(*) AS n FROM lists GROUP BY ALL) GROUP BY version)
+        SELECT 'prod' AS system, version, version AS display_version, CASE WHEN version = '2020' THEN 'current' ELSE 'archived' END AS status, 'test tables' AS source, CAST(NULL AS VARCHAR) AS source_url,
+            '2024-02-29' AS retrieved_at, 'CC BY 4.0 unless otherwise stated by PSA' AS license, rows, counts
+        FROM n JOIN c USING (version) WHERE system = 'prod'""",
 )
 def service_metadata(spark, d):
     lists = _service(spark, d)
-    rows = [tuple(lists.metadata("prod", v).values()) for v in lists.versions("prod")]
-    return spark.createDataFrame(rows, "system string, version string, display_version string, status string, source string, source_url string, retrieved_at string, license string")
+    rows = []
+    for v in lists.versions("prod"):
+        m = lists.metadata("prod", v)
+        counts = " ".join(f"{lv}={n}" for lv, n in m["parsed_counts"].items())
+        rows.append((*[m[k] for k in ("system", "version", "display_version", "status", "source", "source_url", "retrieved_at", "license", "rows")], counts))
+    return spark.createDataFrame(rows, "system string, version string, display_version string, status string, source string, source_url string, retrieved_at string, license string, rows long, counts string")

@@ -3,6 +3,8 @@
 ``prod`` has dotted codes of brand, size and item; its edition 2020 is complete, 2009 lacks every size that
 seven divides.  ``geo`` has ten-digit codes of region, nation and customer.  ``docs`` has a document per code.
 Order keys come from the codes, so no global numbering is needed.
+
+``published`` and ``indexed`` store them once an application: what reads them reads what was published, as a service does.
 """
 
 from __future__ import annotations
@@ -11,8 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.search_index import SearchIndex
+from ..operators.search_index import build as build_index
+from ..plans.build import SheetPlan, build_edition
 from ..plans.schema import ORD, conform
 from .adapters import LevelSource, ReleaseSource
+from .files import scratch
+from .store import Store
 
 PROD_LEVELS = ("brand", "size", "item")
 SOURCE = "test tables"
@@ -100,3 +107,61 @@ def prod_sheet(spark: SparkSession, sf_dir: str, gappy: bool = False) -> DataFra
         F.concat("b", "z", "k").cast("long").alias("row_no"), F.when(first("b"), F.col("b")).alias("brand"), size.alias("size"),
         F.concat_ws(".", "b", "z", "k").alias("item"), F.col("p_name").alias("description"),
     )
+
+
+_kept: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make):
+    """What ``make`` gives, made once an application and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def published(spark: SparkSession, sf_dir: str) -> Store:
+    """A store with both editions of ``prod``, the release of ``geo``, and the current edition of ``prod`` as the stored edition of ``psic``."""
+
+    def make() -> Store:
+        store = Store(spark, scratch(spark, "store"))
+        source = prod_source(spark, sf_dir)
+        for version in source.versions:
+            store.publish(source.edition(version), source.levels)
+        source = geo_source(spark, sf_dir)
+        store.publish(source.edition("Q2_2026"), source.list_levels("Q2_2026"))
+        names = dict(zip(PROD_LEVELS, ("section", "division", "group"), strict=True))
+        level = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("level")]
+        psic = prod(spark, sf_dir).withColumns({"level": level, "system": F.lit("psic"), "version": F.lit("2026")})
+        store.publish(psic, list(names.values()), {"display_version": "Revision 5 (2026)"})
+        return store
+
+    return _once(spark, sf_dir, "store", make)
+
+
+def built(spark: SparkSession, sf_dir: str) -> Store:
+    """A store with one edition built from a sheet in several files, without a column of row numbers."""
+
+    def make() -> Store:
+        path = scratch(spark, "sheet")
+        prod_sheet(spark, sf_dir, gappy=True).orderBy("row_no").select("description", *reversed(PROD_LEVELS)).write.option("header", True).csv(path)
+        store = Store(spark, scratch(spark, "store"))
+        items = _read(spark, sf_dir, "part").count()
+        build_edition(spark, path, store, SheetPlan("sheet", "1", PROD_LEVELS, SOURCE, stated={"item": items, "size": -1}, soft=("size",)))
+        return store
+
+    return _once(spark, sf_dir, "built", make)
+
+
+def indexed(spark: SparkSession, sf_dir: str, name: str) -> SearchIndex:
+    """The stored index of ``prod`` or of ``docs``, in small files and blocks."""
+    rows = {"prod": prod_rows, "docs": docs}[name]
+    return _once(spark, sf_dir, f"index-{name}", lambda: build_index(rows(spark, sf_dir), scratch(spark, "index"), 1 << 18, 1 << 14))
+
+
+def yearly_editions(spark: SparkSession, sf_dir: str, table: str = "orders", system: str = "o_orderpriority", day: str = "o_orderdate") -> DataFrame:
+    """``system, version, ord, status``: the years that a table has for each value of a column as its editions; the last with fewer rows than the one before is no longer current."""
+    counted = _read(spark, sf_dir, table).groupBy(F.col(system).alias("system"), F.year(day).cast("string").alias("version")).agg(F.count(F.lit(1)).alias("n"))
+    years = W.partitionBy("system").orderBy("version")
+    status = F.when(F.col("n") > F.lag("n", 1, 0).over(years), "current").otherwise("archived")
+    return counted.select("system", "version", F.row_number().over(years).alias("ord"), status.alias("status"))

@@ -24,7 +24,10 @@ _CSV = {"escape": '"'}
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, value`` of every line of the text files at ``path``; numbers count from 1 in each file."""
+    """``file, line_no, before_file, value`` of every line of the text files at ``path``.
+
+    Numbers count from 1 in each file; ``before_file`` lines are in the files before it, in order of their paths.
+    """
     try:
         text = spark.read.text(path)
     except AnalysisException as e:
@@ -33,16 +36,20 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     read = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("seen"), "value")
     splits = read.groupBy(*_SPLIT).agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("first"))
     earlier = F.sum("n").over(W.partitionBy("file").orderBy("block_start").rowsBetween(W.unboundedPreceding, -1))
-    splits = splits.select(*_SPLIT, "first", F.coalesce(earlier, F.lit(0)).alias("before"))
+    # a row a file
+    files = splits.groupBy("file").agg(F.sum("n").alias("of_file"))
+    before_file = F.sum("of_file").over(W.partitionBy(F.lit(0)).orderBy("file").rowsBetween(W.unboundedPreceding, -1))
+    files = files.select("file", F.coalesce(before_file, F.lit(0)).alias("before_file"))
+    splits = splits.select(*_SPLIT, "first", F.coalesce(earlier, F.lit(0)).alias("before")).join(files, "file")
     found = read.join(F.broadcast(splits) if splits.count() <= BROADCAST_SPLITS else splits, _SPLIT)
-    return found.select("file", (F.col("before") + F.col("seen") - F.col("first") + 1).alias("line_no"), "value")
+    return found.select("file", (F.col("before") + F.col("seen") - F.col("first") + 1).alias("line_no"), "before_file", "value")
 
 
 def read_numbered_sheet(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """A sheet saved as CSV: ``row_no``, the line of the file that a row stands on, and ``columns`` as text.
 
-    Columns are found by their names in the first line, in whatever order.  Empty lines are no rows but count as lines; a cell holds no line end.  Of
-    several files each has its header; row numbers are those of a sheet in one file.
+    Columns are found by their names in the first line, in whatever order.  Empty lines are no rows but count as lines; a cell holds no line end.  Several
+    files are parts of one sheet in order of their paths, each with the header; lines are counted through them.
     """
     lines = numbered_lines(spark, path)
     header = lines.where("line_no = 1").select("file", "value").orderBy("file").first()
@@ -53,8 +60,8 @@ def read_numbered_sheet(spark: SparkSession, path: str, columns: Sequence[str])
     if missing:
         raise SheetError(f"Sheet is missing column(s): {', '.join(missing)}")
     cells = ", ".join(f"c{i} string" for i in range(len(names)))
-    parsed = lines.where("line_no > 1 and length(trim(value)) > 0").select("line_no", F.from_csv("value", F.lit(cells), _CSV).alias("x"))
-    return parsed.select(F.col("line_no").alias("row_no"), *[F.col(f"x.c{names.index(c)}").alias(c) for c in columns])
+    parsed = lines.where("line_no > 1 and length(trim(value)) > 0").select((F.col("before_file") + F.col("line_no")).alias("row_no"), F.from_csv("value", F.lit(cells), _CSV).alias("x"))
+    return parsed.select("row_no", *[F.col(f"x.c{names.index(c)}").alias(c) for c in columns])
 
 
 def _cells(spark: SparkSession, line: str) -> list[str]:

@@ -174,18 +174,23 @@ class Store:
         return self.spark.read.schema(ENTRY).json(self._manifest(number)).where("system is not null")
 
     def read(self) -> DataFrame:
-        """All published rows: canonical columns and the order key; filters on and joins by system and version prune partitions."""
+        """All published rows: canonical columns and the order key; filters on system and version prune partitions."""
+        return self._builds().select(*COLUMNS, ORD)
+
+    def _builds(self) -> DataFrame:
         entries = self.entries()
         if not entries:
             raise ArtifactMissing(f"Code lists not found at '{self.path}'. Build them first.")
         data = f"{self.path}/data"
         schema = T.StructType([*STORED.fields, T.StructField("build", T.StringType())])
-        found = self.spark.read.schema(schema).option("basePath", data).parquet(*[f"{data}/{e['folder']}" for e in entries])
-        return found.select(*COLUMNS, ORD)
+        return self.spark.read.schema(schema).option("basePath", data).parquet(*[f"{data}/{e['folder']}" for e in entries])
 
     def selected(self, editions: DataFrame) -> DataFrame:
-        """The rows of ``editions`` (``system, version``, few of them): one scan of the partitions that the join selects."""
-        return self.read().join(F.broadcast(editions.select("system", "version")), ["system", "version"]).select(*COLUMNS, ORD)
+        """The rows of ``editions`` (filtered rows of the catalog): one scan of the partitions that the join selects.
+
+        The key is the build, a partition of its own for each edition; system and version, pruned one by one, would let pairs through that nobody asked for.
+        """
+        return self._builds().join(F.broadcast(editions.select("build")), "build").select(*COLUMNS, ORD)
 
     def current(self) -> DataFrame:
         """The rows of every system's current edition: the first with that status, else the first."""
@@ -202,8 +207,8 @@ class Store:
 
 
 def current_editions(catalog: DataFrame) -> DataFrame:
-    """``system, version`` of a catalog's current editions, by a filter on the small side: a join prunes the other side's partitions."""
-    return catalog.where("rank = 1").select("system", "version")
+    """A catalog's current editions, by a filter on the small side: a join prunes the other side's partitions."""
+    return catalog.where("rank = 1")
 
 
 def _ranked(entries: list[dict]) -> list[dict]:

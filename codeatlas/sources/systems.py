@@ -10,6 +10,7 @@ from ..operators.catalog import System
 from ..plans.service import StoredSource
 from .adapters import LevelSource, ReleaseSource
 from .artifact import ArtifactMissing
+from .store import Store, StoreSource
 
 #: Issuing authority, license, and what a catalog shows of each system.
 AUTHORITY = "Philippine Statistics Authority"
@@ -45,9 +46,12 @@ RELEASES = ("Q1_2023", "Q2_2026")
 
 def adapters(
     spark: SparkSession, pull_release: Callable[[str], DataFrame], pull_level: Callable[[str, str, str], DataFrame] | None = None, stored_path: str | None = None,
-    metadata_path: str | None = None,
+    metadata_path: str | None = None, store: Store | None = None,
 ) -> Mapping[str, list]:
-    """By system its adapters.  ``pull_release(version)`` and ``pull_level(system, version, level_arg)`` read the raw lists."""
+    """By system its adapters.  ``pull_release(version)`` and ``pull_level(system, version, level_arg)`` read the raw lists.
+
+    The stored edition comes from a ``store``, or from the files of ``stored_path``.
+    """
 
     def missing(system: str, version: str, level: str) -> DataFrame:
         raise ArtifactMissing(f"The lists of '{system}' are not here.")
@@ -57,7 +61,9 @@ def adapters(
     for system, editions in EDITIONS.items():
         read = lambda version, level, system=system: pull(system, version, level)
         out[system] = [LevelSource(system, tuple(editions), LEVELS[system], read, editions.__getitem__, AUTHORITY, URL + system, LEVEL_ARGS.get(system, {}))]
-    if stored_path is not None:
+    if store is not None:
+        out[STORED[0]].append(StoreSource(store, STORED[0], AUTHORITY, URL + STORED[0]))
+    elif stored_path is not None:
         system, version = STORED
         out[system].append(StoredSource(spark, system, version, stored_path, LEVELS[system], metadata_path, source=AUTHORITY, source_url=URL + system))
     return out
