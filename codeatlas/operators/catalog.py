@@ -11,8 +11,11 @@ from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.collation import by_language
+
 #: What an adapter raises when its data is missing or broken.
 BROKEN = (OSError, ValueError, PySparkException)
 
@@ -105,8 +108,12 @@ def available_levels(df: DataFrame) -> DataFrame:
     return ordered.select("system", F.posexplode("a").alias("pos", "x")).select("system", (F.col("pos") + 1).cast("long").alias("pos"), F.col("x.level").alias("level"))
 
 
-def distinct_levels_sorted(df: DataFrame) -> DataFrame:
-    """``system, version, pos, level``: distinct non-empty levels of an edition, sorted by code point, from 1."""
+def distinct_levels_sorted(df: DataFrame, collation: str | None = None) -> DataFrame:
+    """``system, version, pos, level``: distinct non-empty levels of an edition, sorted by code point or a collation, from 1."""
+    if collation is not None:
+        names = df.where(F.length("level") > 0).select("system", "version", "level").distinct()
+        place = F.row_number().over(W.partitionBy("system", "version").orderBy(*by_language(F.col("level"), collation)))
+        return names.select("system", "version", place.cast("long").alias("pos"), "level")
     kept = df.where(F.length("level") > 0).groupBy("system", "version").agg(F.sort_array(F.collect_set("level")).alias("a"))
     return kept.select("system", "version", F.posexplode("a").alias("pos", "level")).withColumn("pos", (F.col("pos") + 1).cast("long"))
 

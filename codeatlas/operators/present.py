@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.collation import by_language
 from ..functions.labels import badge_label, badge_style
 from ..plans.schema import ORD
 
@@ -13,8 +14,11 @@ from ..plans.schema import ORD
 DISPLAY = ("Code", "Label", "Level", "Status")
 
 
-def display_page(df: DataFrame, page: int = 0, size: int = 15, sort: str | None = None, descending: bool = False, contains: str | None = None) -> DataFrame:
-    """One page of ``Code, Label, Level, Status`` in the list's order, or sorted by one of them; ``contains`` filters all four."""
+def display_page(df: DataFrame, page: int = 0, size: int = 15, sort: str | None = None, descending: bool = False, contains: str | None = None, collation: str | None = None) -> DataFrame:
+    """One page of ``Code, Label, Level, Status`` in the list's order, or sorted by one of them, by code point or a collation; ``contains`` filters all four.
+
+    It sorts or skips what comes before; ``search_index`` has pages that don't.
+    """
     shown = df.select(*[F.col(c.lower()).alias(c) for c in DISPLAY], ORD)
     if contains:
         hit = F.lit(False)
@@ -23,7 +27,7 @@ def display_page(df: DataFrame, page: int = 0, size: int = 15, sort: str | None
         shown = shown.where(hit)
     if sort is not None and sort not in DISPLAY:
         raise ValueError(f"Unsupported column '{sort}'. Available columns: {', '.join(DISPLAY)}")
-    first = [] if sort is None else [F.col(sort).desc() if descending else F.col(sort)]
+    first = [] if sort is None else [c.desc() if descending else c for c in by_language(F.col(sort), collation)]
     return shown.orderBy(*first, ORD).offset(page * size).limit(size).select(*DISPLAY)
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import collation
 from .functions.labels import fill_missing_label as label_filled
 from .operators import catalog, hierarchy, present, sheet
 from .operators import search as s
@@ -515,6 +516,47 @@ def sha256_text(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
+#: First words of texts as labels with accents, by language.
+_WORDS = "words AS (SELECT lang, regexp_extract(text, '^[^\\s.,;:!?]+') AS label FROM documents)"
+
+
+def _first_words(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("lang", F.regexp_extract("text", r"^[^\s.,;:!?]+", 0).alias("label"))
+
+
+def _sorted_sql() -> str:
+    parts = [f"SELECT lang, row_number() OVER (ORDER BY label COLLATE {x}, label) AS pos, label FROM (SELECT DISTINCT lang, label FROM words WHERE lang = '{x}')" for x in ("de", "es", "fr")]
+    other = "SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY label) AS pos, label FROM (SELECT DISTINCT lang, label FROM words WHERE lang NOT IN ('de', 'es', 'fr'))"
+    return f"WITH {_WORDS} SELECT * FROM ({' UNION ALL '.join([*parts, other])}) WHERE pos <= 100"
+
+
+@query("labels_by_language", _sorted_sql())
+def labels_by_language(spark, d):
+    return collation.sorted_labels(_first_words(spark, d), "label", "lang", {x: x for x in ("de", "es", "fr")})
+
+
+@query("labels_spelled_alike", f"WITH {_WORDS} SELECT min(label) AS label, count(DISTINCT label) AS spellings, count(*) AS n FROM words WHERE lang IN ('es', 'fr') GROUP BY strip_accents(lower(label))")
+def labels_spelled_alike(spark, d):
+    return collation.spelled_alike(_first_words(spark, d).where("lang in ('es', 'fr')"), "label")
+
+
+@query(
+    "labels_matched_loosely",
+    f"""WITH {_WORDS}, k AS (SELECT label, strip_accents(lower(label)) AS k FROM words WHERE lang IN ('es', 'fr')),
+        m AS (SELECT label, CASE WHEN k = 'ene' THEN 1 WHEN starts_with(k, 'ene') THEN 2 WHEN contains(k, 'ene') THEN 3 END AS tier FROM k)
+        SELECT label, tier, count(*) AS n FROM m WHERE tier IS NOT NULL GROUP BY ALL""",
+)
+def labels_matched_loosely(spark, d):
+    rows = _first_words(spark, d).where("lang in ('es', 'fr')").withColumn("tier", collation.matching(F.col("label"), "ÈNE"))
+    return rows.where("tier is not null").groupBy("label", "tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("display_page_by_language", f"WITH {_DOCS}, w AS (SELECT code AS \"Code\", regexp_extract(description, '^[^\\s.,;:!?]+') AS \"Label\", level AS \"Level\", status AS \"Status\", ord FROM docs) SELECT \"Code\", \"Label\", \"Level\", \"Status\" FROM w ORDER BY \"Label\" COLLATE fr, \"Label\", ord LIMIT 15 OFFSET 60")
+def display_page_by_language(spark, d):
+    rows = fixtures.docs(spark, d).withColumn("label", F.regexp_extract("description", r"^[^\s.,;:!?]+", 0))
+    return present.display_page(rows, 4, sort="Label", collation="fr")
+
+
 @query(
     "debounce_events",
     "SELECT event_id, user_id, event_type FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n IS NULL OR n > ts + INTERVAL 6 HOURS",
