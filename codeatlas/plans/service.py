@@ -115,9 +115,15 @@ class CodeLists:
     def search(self, system: str, version: str, query: str | None, level: str | None = None, limit: int = 100) -> DataFrame:
         level = level or None
         self._level(system, version, level)
+        adapter = self._adapter(system, version)
+        if hasattr(adapter, "search"):
+            return adapter.search(str(version), query, level, limit)
         return _search.search(self.get(system, version), query, level, limit)
 
     def entry(self, system: str, version: str, code: str) -> DataFrame:
+        adapter = self._adapter(system, version)
+        if hasattr(adapter, "entry"):
+            return adapter.entry(str(version), code)
         return _search.entry(self.get(system, version), code)
 
     def metadata(self, system: str, version: str) -> dict:

@@ -282,6 +282,12 @@ def src_level_scan(spark, d):
     return fixtures.pull_prod(spark, d, "2020", "item").select("value", "label", "description")
 
 
+@query("datasource_level", f"WITH {_PARTS}, {_P09} SELECT system, version, level, code, label, description, (depth << 40) + row_number() OVER (PARTITION BY level ORDER BY ord) - 1 AS ord FROM prod09 WHERE level <> 'size'")
+def datasource_level(spark, d):
+    """Two levels of one edition through a data source; the others are not pulled."""
+    return fixtures.pulled(spark, d).where("version = '2009' and level in ('brand', 'item')")
+
+
 @query("src_release_scan", f"WITH {_GEO} SELECT code, label, level FROM geo")
 def src_release_scan(spark, d):
     return fixtures.pull_geo(spark, d).select("code", "label", "level")
@@ -608,6 +614,13 @@ def service_search_all_levels(spark, d):
     return _service(spark, d).search("prod", "2020", None, "")
 
 
+@query("service_search_indexed", f"WITH {_P20_ONLY}, {_J1}, p AS (SELECT {_PSIC_ROW}, ord FROM parented) SELECT {_COLS} FROM (SELECT * FROM p WHERE contains(lower(label), 'widget') AND level = 'group' ORDER BY starts_with(lower(label), 'widget') DESC, ord LIMIT 50)")
+def service_search_indexed(spark, d):
+    """Through the service over an edition with a stored index."""
+    lists = CodeLists(spark, {"psic": _systems(spark, d)["psic"]})
+    return lists.search("psic", "2026", "Widget", "group", 50)
+
+
 @query("service_entry", f"WITH {_BOTH}, {_J1} SELECT {_COLS} FROM parented WHERE version = '2020' AND code = '13.07'")
 def service_entry(spark, d):
     return _service(spark, d).entry("prod", "2020", "13.07")

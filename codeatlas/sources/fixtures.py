@@ -18,6 +18,7 @@ from ..operators.search_index import build as build_index
 from ..plans.build import SheetPlan, build_edition
 from ..plans.schema import ORD, conform
 from .adapters import LevelSource, ReleaseSource
+from .datasource import read_level, register
 from .files import scratch
 from .store import Store
 
@@ -134,6 +135,7 @@ def published(spark: SparkSession, sf_dir: str) -> Store:
         level = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("level")]
         psic = prod(spark, sf_dir).withColumns({"level": level, "system": F.lit("psic"), "version": F.lit("2026")})
         store.publish(psic, list(names.values()), {"display_version": "Revision 5 (2026)"})
+        store.build_index("psic", "2026", 1 << 18, 1 << 14)
         return store
 
     return _once(spark, sf_dir, "store", make)
@@ -165,3 +167,18 @@ def yearly_editions(spark: SparkSession, sf_dir: str, table: str = "orders", sys
     years = W.partitionBy("system").orderBy("version")
     status = F.when(F.col("n") > F.lag("n", 1, 0).over(years), "current").otherwise("archived")
     return counted.select("system", "version", F.row_number().over(years).alias("ord"), status.alias("status"))
+
+
+def pulled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``prod`` as a data source: its raw levels are stored in the order of the source, and pulled by the tasks that need them."""
+
+    def make() -> str:
+        path = scratch(spark, "raw")
+        for version in ("2009", "2020"):
+            for level in PROD_LEVELS:
+                pull_prod(spark, sf_dir, version, level).orderBy("ord").write.parquet(f"{path}/{version}/{level}")
+        name = f"prod_{len(_kept)}"
+        register(spark, name, [("prod", v, PROD_LEVELS) for v in ("2009", "2020")], lambda system, version, level: read_level(f"{path}/{version}/{level}"))
+        return name
+
+    return spark.read.format(_once(spark, sf_dir, "pulled", make)).load()

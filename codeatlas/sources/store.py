@@ -10,6 +10,7 @@ with the catalog reads the partitions that it selects and no others.
 
     top/manifests/000000000007.json    a line an edition, then a line with the digest of the lines before
     top/data/system=s/version=v/build=b/*.parquet
+    top/index/b                        the search index of that build, if there is one
     top/staging/b                      a build on its way, or one that died
 """
 
@@ -24,6 +25,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.search import entry, search
+from ..operators.search_index import BLOCK_BYTES, FILE_BYTES, SearchIndex
+from ..operators.search_index import build as build_index
 from ..operators.sheet import SheetError
 from ..plans.schema import COLUMNS, ORD, STORED, SchemaError, check_columns, check_rules, observed_rules
 from .artifact import ArtifactMissing
@@ -154,8 +158,9 @@ class Store:
 
     def vacuum(self) -> list[str]:
         """Deletes what no manifest's latest state names: earlier builds and builds that died.  Not while others read or build."""
-        live = {e["folder"] for e in self.entries()}
-        gone = [f"staging/{b}" for b in self.files.names(f"{self.path}/staging")]
+        entries = self.entries()
+        live, builds = {e["folder"] for e in entries}, {e["build"] for e in entries}
+        gone = [f"staging/{b}" for b in self.files.names(f"{self.path}/staging")] + [f"index/{b}" for b in self.files.names(f"{self.path}/index") if b not in builds]
         top = f"{self.path}/data"
         for s in self.files.names(top):
             for v in self.files.names(f"{top}/{s}"):
@@ -199,6 +204,24 @@ class Store:
     def edition(self, system: str, version: str) -> DataFrame:
         return self.read().where((F.col("system") == system) & (F.col("version") == version))
 
+    # indexes
+
+    def build_index(self, system: str, version: str, file_bytes: int = FILE_BYTES, block_bytes: int = BLOCK_BYTES) -> SearchIndex:
+        """The search index of a published edition, built aside and moved in place whole; it goes with the edition's build."""
+        place = f"{self.path}/index/{self.entry(system, version)['build']}"
+        aside = f"{self.path}/staging/index-{uuid.uuid4().hex}"
+        try:
+            build_index(self.edition(system, version), aside, file_bytes, block_bytes)
+            self.files.move(aside, place)
+        finally:
+            self.files.delete(aside)
+        return SearchIndex(self.spark, place)
+
+    def index(self, system: str, version: str) -> SearchIndex | None:
+        """The index of the edition as it is published now, if it has been built."""
+        place = f"{self.path}/index/{self.entry(system, version)['build']}"
+        return SearchIndex(self.spark, place) if self.files.exists(place) else None
+
     def entry(self, system: str, version: str) -> dict:
         for e in self.entries():
             if (e["system"], e["version"]) == (system, version):
@@ -270,6 +293,15 @@ class StoreSource:
         df = self.edition(version)
         return df if level is None else df.where(df.level == level)
 
+    def search(self, version: str, query: str | None, level: str | None, limit: int) -> DataFrame:
+        """By the edition's index where there is one, else by a scan."""
+        index = self.store.index(self.system, version)
+        return search(self.edition(version), query, level, limit) if index is None else index.search(query, level, limit)
+
+    def entry(self, version: str, code: str) -> DataFrame:
+        index = self.store.index(self.system, version)
+        return entry(self.edition(version), code) if index is None else index.entry(code)
+
     def metadata(self, version: str) -> dict:
         """What was published beside the edition, and what was observed: rows, counts by level, digest."""
         e = self.store.entry(self.system, version)

@@ -34,12 +34,13 @@ def debounce_by_clock(events: DataFrame, value: str, gap: datetime.timedelta, us
     counts.  One that comes late, after a later one, is dropped if it lies within the gap before that, else it comes out at once.  A user's state is one row and one timer, and
     goes with the timer.  The session's state store must keep timers (``STATE_STORE``).
     """
-    user_kind, at_kind, value_kind = (events.schema[c].dataType.simpleString() for c in (user, at, value))
+    user_kind, value_kind = (events.schema[c].dataType.simpleString() for c in (user, value))
+    quiet = gap // datetime.timedelta(microseconds=1)
 
     class Last(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.held = handle.getValueState("held", f"at {at_kind}, value {value_kind}")
+            self.held = handle.getValueState("held", f"at long, value {value_kind}")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
             found = sorted(((r[at], r[value]) for r in rows if r[at] is not None), key=lambda x: (x[0], x[1] is not None, x[1]))
@@ -48,16 +49,16 @@ def debounce_by_clock(events: DataFrame, value: str, gap: datetime.timedelta, us
             last = tuple(self.held.get()) if self.held.exists() else None
             for x in found:
                 if last is not None and x[0] < last[0]:
-                    if last[0] - x[0] > gap:
+                    if last[0] - x[0] > quiet:
                         yield out(key, x)
                     continue
-                if last is not None and x[0] - last[0] > gap:
+                if last is not None and x[0] - last[0] > quiet:
                     yield out(key, last)
                 last = x
             self.held.update(last)
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(gap.total_seconds() * 1000))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + quiet // 1000)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
             if self.held.exists():
@@ -71,5 +72,7 @@ def debounce_by_clock(events: DataFrame, value: str, gap: datetime.timedelta, us
     def out(key: tuple, x: tuple) -> Row:
         return Row(**{user: key[0], at: x[0], value: x[1]})
 
-    picked = events.select(user, at, value)
-    return picked.groupBy(user).transformWithState(Last(), f"{user} {user_kind}, {at} {at_kind}, {value} {value_kind}", "append", "processingTime")
+    # times as microseconds: state and rows would give them with and without a zone
+    picked = events.select(user, F.unix_micros(at).alias(at), value)
+    found = picked.groupBy(user).transformWithState(Last(), f"{user} {user_kind}, {at} long, {value} {value_kind}", "append", "processingTime")
+    return found.select(user, F.timestamp_micros(at).alias(at), value)

@@ -38,7 +38,7 @@ def test_the_last_input_comes_out_by_the_clock(timers, tmp_path):
         want = debounce(rows_of(spark, [r for r in first + second if r[2]]), "3 seconds")
         want = sorted((r["user_id"], str(r["ts"]), r["value"]) for r in want.collect())
         until = time.time() + 120
-        while time.time() < until and (len(found()) < len(want) or (q.lastProgress and sum(s["numRowsTotal"] for s in q.lastProgress["stateOperators"]))):
+        while time.time() < until and q.isActive and (len(found()) < len(want) or (q.lastProgress and sum(s["numRowsTotal"] for s in q.lastProgress["stateOperators"]))):
             time.sleep(1)
         assert found() == want  # as of a batch, without a later event
         assert sum(s["numRowsTotal"] for s in q.lastProgress["stateOperators"]) == 0

@@ -200,6 +200,21 @@ def test_the_service_over_a_store(spark, store):
         lists.get("s", "2", "planet")
 
 
+def test_an_edition_is_searched_by_its_index(spark, store):
+    store.publish(edition(spark, n=30), ["top", "leaf"])
+    lists = CodeLists(spark, {"s": [StoreSource(store, "s")]})
+    want = [lists.search("s", "2020", q, lv).collect() for q in ("1", "x", "") for lv in (None, "leaf")]
+    assert store.index("s", "2020") is None
+    store.build_index("s", "2020", 2000, 200)
+    assert [lists.search("s", "2020", q, lv).collect() for q in ("1", "x", "") for lv in (None, "leaf")] == want
+    assert [r["code"] for r in lists.entry("s", "2020", "07").collect()] == ["07"]
+    with pytest.raises(FileExistsError):
+        store.build_index("s", "2020")
+    store.publish(edition(spark, n=31), ["top", "leaf"])
+    assert store.index("s", "2020") is None and lists.entry("s", "2020", "30").count() == 1
+    assert {g.split("/")[0] for g in store.vacuum()} == {"data", "index"}
+
+
 def test_write_editions_is_one_job_and_replaces_nothing_on_failure(spark, tmp_path):
     path = f"file://{tmp_path}/lists"
     write_editions(edition(spark, version="1").unionByName(edition(spark, version="2")), path)
