@@ -36,12 +36,14 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     read = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("seen"), "value")
     splits = read.groupBy(*_SPLIT).agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("first"))
     earlier = F.sum("n").over(W.partitionBy("file").orderBy("block_start").rowsBetween(W.unboundedPreceding, -1))
-    # a row a file
-    files = splits.groupBy("file").agg(F.sum("n").alias("of_file"))
-    before_file = F.sum("of_file").over(W.partitionBy(F.lit(0)).orderBy("file").rowsBetween(W.unboundedPreceding, -1))
-    files = files.select("file", F.coalesce(before_file, F.lit(0)).alias("before_file"))
-    splits = splits.select(*_SPLIT, "first", F.coalesce(earlier, F.lit(0)).alias("before")).join(files, "file")
-    found = read.join(F.broadcast(splits) if splits.count() <= BROADCAST_SPLITS else splits, _SPLIT)
+    # a row a file comes to the driver
+    seen, rows, many = 0, [], 0
+    for r in sorted(splits.groupBy("file").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("splits")).collect()):
+        rows.append((r["file"], seen))
+        seen, many = seen + r["n"], many + r["splits"]
+    files = spark.createDataFrame(rows, "file string, before_file long")
+    splits = splits.select(*_SPLIT, "first", F.coalesce(earlier, F.lit(0)).alias("before")).join(F.broadcast(files), "file")
+    found = read.join(F.broadcast(splits) if many <= BROADCAST_SPLITS else splits, _SPLIT)
     return found.select("file", (F.col("before") + F.col("seen") - F.col("first") + 1).alias("line_no"), "before_file", "value")
 
 
