@@ -5,10 +5,14 @@ bytes on either side are in proportion to the shards there, until a leaf is one
 the target bytes need.  The weighted median is found on a total order by histograms of at most ``BINS`` bins a node,
 narrowed until a bin is a small part of a shard.  Only histograms come to the driver.
 
-Equal texts are one group and go to one shard.  Groups of over a hundredth of a shard (and a millionth of all bytes) are
-dealt first, the largest to the emptiest shard; the tree then fills what is left.  A group heavier than ``split_over`` shards
+Equal texts are one group and go to one shard.  Every group goes through the tree but those that are heavier than a shard, which no leaf
+can hold: they are dealt first, the largest to the emptiest shard, and the tree fills what is left.  Of these, one heavier than ``split_over`` shards
 (1: a whole shard) can't stay whole without making its shard heavier than the others: it is dealt in parts, its rows in turn.
 
+A split falls between two groups, so leaves differ by parts of a group.  Where that is more than ``EVEN`` of a shard, leaves are repaired:
+single groups move from a leaf above the mean to one below, or change places, a few hundred bytes to a few kilobytes at a time.  Which ones is
+decided on a few groups of each size class of the leaves concerned; leaves of many small groups need no repair.
+
 Defined cases: a null text has size 16 (a row's overhead), null metadata counts as empty or zero.  Groups with equal
 coordinates are ordered by a hash of the text.  Long texts are weighed whole.  Rows that repeat an id are placed each.  Empty
 tables give empty results; extra columns are ignored, whatever their names.
@@ -16,17 +20,21 @@ tables give empty results; extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpointed, lookup, numbered
 
 BINS = 2048
 OVERHEAD = 16
-#: Groups dealt before the tree have at least this share of all bytes, so there are at most so many.
-DEALT = 1_000_000
+#: What leaves may differ from their share of the bytes, in shards, without repair; a split comes as near to the weighted median.
+EVEN = 0.002
+#: Groups of a size class (half a power of two) that a leaf offers, leaves repaired at a time, and how often.
+OFFERED, REPAIRED, REPAIRS = 16, 1000, 8
 
 
 def row_size(text: Column) -> Column:
@@ -141,7 +149,84 @@ def tree(groups: DataFrame, room: list[float], exact: float) -> DataFrame:
         groups = checkpointed(stepped.select(groups.columns))
         ranges = children
     leaves = spark.createDataFrame([(node, a) for node, (a, _) in ranges.items()], "node long, shard int")
-    return groups.join(F.broadcast(leaves), "node").select("key", "n", "shard")
+    return groups.join(F.broadcast(leaves), "node").select("key", "n", "w", "shard")
+
+
+def _moves(load: dict[int, float], offers: dict[int, list[tuple[int, int]]], even: float) -> dict[int, int]:
+    """By key the new leaf of a few groups, so that the ``load`` above the room of the leaves comes near to 0; ``load`` and ``offers`` follow.
+
+    Of the heaviest leaf a group moves to the lightest, or changes places with a lighter one there: what comes nearest to half of their difference.
+    """
+    moved: dict[int, int] = {}
+    for held in offers.values():
+        held.sort()
+    settled: set[tuple[int, int]] = set()
+    while True:
+        pair = None
+        light_first = sorted(load, key=lambda x: (load[x], x))
+        for heavy in reversed(light_first):
+            if load[heavy] <= even and load[light_first[0]] >= -even:
+                break
+            for light in light_first:
+                if load[heavy] - load[light] <= even:
+                    break
+                if (heavy, light) not in settled:
+                    pair = (heavy, light)
+                    break
+            if pair:
+                break
+        if pair is None:
+            return moved
+        heavy, light = pair
+        half, best = (load[heavy] - load[light]) / 2, None
+        others = [(0, None), *offers[light]]
+        weights = [w for w, _ in others]
+        for w, key in offers[heavy]:
+            # against each group the best partner is next to the weight that would even the leaves out
+            at = bisect.bisect_left(weights, w - half)
+            for i in (at - 1, at):
+                if 0 <= i < len(others) and 0 < w - weights[i] < 2 * half:
+                    off = abs(half - (w - weights[i]))
+                    if best is None or off < best[0]:
+                        best = (off, w, key, *others[i])
+        # a step that hardly helps is none: each one takes an eighth of the difference at least
+        if best is None or half - best[0] < half / 8:
+            settled.add(pair)
+            continue
+        _, w, key, back, other = best
+        offers[heavy].remove((w, key))
+        bisect.insort(offers[light], (w, key))
+        moved[key] = light
+        if other is not None:
+            offers[light].remove((back, other))
+            bisect.insort(offers[heavy], (back, other))
+            moved[other] = heavy
+        load[heavy], load[light] = load[heavy] - (w - back), load[light] + (w - back)
+        settled = {p for p in settled if not {heavy, light} & set(p)}
+
+
+def repaired(placed: DataFrame, room: list[float], target: float) -> DataFrame:
+    """``key, n, shard`` of ``placed`` (``key, n, w, shard``), leaves as heavy as their ``room`` but for ``EVEN`` of a shard, as far as single groups allow."""
+    spark, even = placed.sparkSession, EVEN * target
+    for _ in range(REPAIRS):
+        load = {i: -x for i, x in enumerate(room)}
+        for r in placed.groupBy("shard").agg(F.sum("w").alias("w")).collect():
+            load[r["shard"]] += r["w"]
+        off = sorted(load, key=lambda x: (-abs(load[x]), x))[:REPAIRED]
+        if len(load) < 2 or abs(load[off[0]]) <= even:
+            break
+        concerned = spark.createDataFrame([(i,) for i in off], "shard int")
+        size = F.floor(2 * F.log2("w"))
+        few = F.row_number().over(W.partitionBy("shard", size).orderBy("key"))
+        held: dict[int, list[tuple[int, int]]] = {i: [] for i in off}
+        for r in placed.join(F.broadcast(concerned), "shard").withColumn("few", few).where(F.col("few") <= OFFERED).select("shard", "w", "key").collect():
+            held[r["shard"]].append((r["w"], r["key"]))
+        moved = _moves({i: load[i] for i in off}, held, even)
+        if not moved:
+            break
+        new = spark.createDataFrame(list(moved.items()), "key long, moved_to int")
+        placed = checkpointed(placed.join(F.broadcast(new), "key", "left").select("key", "n", "w", F.coalesce("moved_to", "shard").alias("shard")))
+    return placed.select("key", "n", "shard")
 
 
 def assign(
@@ -167,12 +252,13 @@ def assign(
     total, n = groups.agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = shards or max(1, -(-total // target_bytes))
     target = max(1.0, total / shards)
-    big = groups.where((F.col("w") * 100 > F.lit(target)) & (F.col("w") * DEALT > F.lit(total))).select("key", "w", "n")
+    # heavier than a leaf: fewer than there are shards
+    big = groups.where(F.col("w") > F.lit(target)).select("key", "w", "n")
     big = [tuple(r) for r in big.collect()]
     parts, load = _deal(big, shards, target, float("inf") if split_over is None else split_over)
     room = [max(0.0, target - x) for x in load]
     dealt = rows.sparkSession.createDataFrame([(k, v) for k, v in parts.items()], "key long, shards array<int>")
-    small = tree(groups.join(F.broadcast(dealt), "key", "left_anti"), room, target / 2000)
+    small = repaired(tree(groups.join(F.broadcast(dealt), "key", "left_anti"), room, target * EVEN), room, target)
     first = rows.join(F.broadcast(dealt), "key", "left").select("id", "order", "size", "text_crc32", "key", "shards")
     # the parts of a group: in turn
     several = F.size("shards") > 1

@@ -56,28 +56,34 @@ def test_op5_sharding(spark, small, documents):
         F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), sharding.row_size(F.col("text")).alias("size"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"))
     groups = [r.asDict() for r in checkpointed(sharding._groups(rows)).collect()]
     target = sum(g["w"] for g in groups) / 40
-    load, where, room = [0.0] * 40, {}, None
-    big = sorted((g for g in groups if g["w"] * 100 > target), key=lambda g: (-g["w"], g["key"]))
-    for g in big:
-        parts = 1 if g["w"] <= target else min(g["n"], 40 * 64, -(-g["w"] // (target / 16)))
+    # only groups that no leaf can hold are dealt; all others go through a tree of its own here
+    load, dealt = [0.0] * 40, {}
+    for g in sorted((g for g in groups if g["w"] > target), key=lambda g: (-g["w"], g["key"])):
+        parts = min(g["n"], 40 * 64, -(-g["w"] // (target / 16)))
         for _ in range(int(parts)):
             k = min(range(40), key=lambda s: (load[s], s))
             load[k] += g["w"] / parts
-            where.setdefault(g["key"], []).append(k)
+            dealt.setdefault(g["key"], []).append(k)
     room = [max(0.0, target - x) for x in load]
-    rest = [g for g in groups if g["key"] not in where]
-    if rest:
-        from test_other import brute_tree
+    from test_other import brute_tree
 
-        where |= {k: [s] for k, s in brute_tree(rest, room).items()}
+    leaf = brute_tree([g for g in groups if g["key"] not in dealt], room)
     keys = {r["id"]: r["key"] for r in rows.collect()}
-    slots = defaultdict(list)
+    slots, held, shards = defaultdict(list), Counter(), defaultdict(set)
     for i, d in documents.items():
         r, data = got[i], (d["text"] or "").encode()
         assert r["size"] == len(data) + 16 and r["text_crc32"] == zlib.crc32(data) and r["grown_shard"] is None
         slots[r["shard"]].append(r["slot"])
-        assert r["shard"] in where[keys[i]]
+        held[r["shard"]] += r["size"] if keys[i] not in dealt else 0
+        shards[keys[i]].add(r["shard"])
+        assert keys[i] not in dealt or r["shard"] in dealt[keys[i]]
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert all(len(v) == 1 for k, v in shards.items() if k not in dealt)
+    # repaired leaves are even, and most bytes lie where the tree has put them (five documents a shard here)
+    scale = sum(room) / sum(g["w"] for g in groups if g["key"] in leaf)
+    assert max(abs(held[i] - room[i] / scale) for i in range(40)) < 0.05 * target
+    moved = sum(g["w"] for g in groups if g["key"] in leaf and shards[g["key"]] != {leaf[g["key"]]})
+    assert moved < 0.4 * sum(g["w"] for g in groups if g["key"] in leaf)
 
 
 def test_op7_fingerprints(spark, small, documents):

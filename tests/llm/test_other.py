@@ -312,6 +312,26 @@ def test_tree_against_brute_force(spark):
     assert got == brute_tree([r.asDict() for r in groups.collect()], room)
 
 
+def test_leaves_are_repaired_by_few_moves(spark):
+    rnd = random.Random(3)
+    groups = [(i, rnd.choice([200, 900, 1000 + i, 9000 + i]), i % 8) for i in range(400)]
+    room = [sum(w for _, w, _ in groups) / 8] * 8
+    placed = checkpointed(spark.createDataFrame([(k, 1, w, s) for k, w, s in groups], "key long, n long, w long, shard int"))
+    got = {r["key"]: r["shard"] for r in sharding.repaired(placed, room, room[0]).collect()}
+    load = [sum(w for k, w, _ in groups if got[k] == s) for s in range(8)]
+    before = [sum(w for _, w, s in groups if s == i) for i in range(8)]
+    moved = sum(w for k, w, s in groups if got[k] != s)
+    assert set(got) == set(range(400)) and max(abs(x - room[0]) for x in load) < 0.01 * room[0] < max(abs(x - room[0]) for x in before)
+    assert moved < 0.2 * sum(before)
+
+
+def test_even_leaves_stay(spark):
+    placed = checkpointed(spark.createDataFrame([(k, 1, 10, k % 3) for k in range(30)], "key long, n long, w long, shard int"))
+    assert {r["key"]: r["shard"] for r in sharding.repaired(placed, [100.0] * 3, 100.0).collect()} == {k: k % 3 for k in range(30)}
+    one = sharding._moves({0: 50.0, 1: -50.0}, {0: [(30, 7)], 1: []}, 1.0)
+    assert one == {7: 1}
+
+
 def test_groups_are_split_only_if_asked(spark):
     rows = [(i, "hot " * 20, "en", "s") for i in range(400)] + [(1000 + i, f"text {i} " + "z" * 40, "en", "s") for i in range(600)] + [(5, "ü" * 100_000, "en", "s")]
     whole = sharding.assign(docs(spark, rows), 4, split_over=None).where("doc_id < 400 and doc_id <> 5").select("shard").distinct()
