@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -186,12 +187,26 @@ def single(rows: DataFrame, repeated: DataFrame, key: str) -> DataFrame:
     return both.where("not __maybe").unionByName(once.select(*both.columns)).drop("__maybe")
 
 
+def shielded(docs: DataFrame, used: list[str], operator: Callable[..., DataFrame]) -> DataFrame:
+    """``operator(docs, *used)``, whose result has the columns of ``docs``, whatever these are called.
+
+    Columns that could be taken for an operator's own (all of which begin with two underscores), that need quoting or that share a name
+    go by their position meanwhile.
+    """
+    names = docs.columns
+    plain = all(re.fullmatch(r"[A-Za-z0-9_]+", c) and not c.startswith("__") for c in names) and len({c.lower() for c in names}) == len(names)
+    if plain:
+        return operator(docs, *used)
+    places = [names.index(u) for u in used]
+    return operator(docs.toDF(*[f"column{i}" for i in range(len(names))]), *[f"column{i}" for i in places]).toDF(*names)
+
+
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that are ``keep_row`` in ``found``, one of those that repeat it."""
     found = checkpointed(found.select(F.col("row").alias("__row"), F.col("keep_row")))
     rows = docs.withColumn("__row", identity(id_col, sha_of(F.col(text_col))))
     again = found.where("__row = keep_row").groupBy("__row").count().where("count > 1")
-    return single(without(rows, found.where("__row <> keep_row"), "__row", found), again, "__row").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return single(without(rows, found.where("__row <> keep_row"), "__row", found), again, "__row").select(*docs.columns)
 
 
 def numbered(rows: DataFrame, by: str, order: list[str], blocks: int, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitset, checkpointed, filter_bits, flag, identity, lookup, lower_ascii, single, without
+from .common import bitset, checkpointed, filter_bits, flag, identity, lookup, lower_ascii, shielded, single, without
 
 
 def _length(text: str) -> Column:
@@ -83,6 +83,10 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
+    return shielded(docs, [id_col, text_col], lambda docs, id_col, text_col: _deduplicated(docs, id_col, text_col, prefix))
+
+
+def _deduplicated(docs: DataFrame, id_col: str, text_col: str, prefix: int) -> DataFrame:
     refined = _refined(docs, text_col, prefix)
     narrow = checkpointed(refined.where("__digest is not null").select(F.col(id_col).alias("__id"), "__digest", identity(id_col, F.col("__digest")).alias("__key")))
     groups = _groups(narrow, "__id")
@@ -91,4 +95,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verdict = checkpointed(verdict.select("__key", stays.alias("stays"), (stays & (F.col("again") > 1)).alias("again")))
     rows = refined.withColumn("__key", identity(id_col, F.col("__digest")))
     rows = without(rows, verdict.where("not stays"), "__key", narrow)
-    return single(rows, verdict.where("again"), "__key").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return single(rows, verdict.where("again"), "__key").select(*docs.columns)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_BYTES, bitset, checkpointed, filter_bits, flag, identity, keep_one, lookup, map_arrow, sha_of
+from .common import HOT_BYTES, bitset, checkpointed, filter_bits, flag, identity, keep_one, lookup, map_arrow, sha_of, shielded
 from .components import components
 
 PERMUTATIONS, SHINGLE, SIMILAR = 128, 5, 0.8
@@ -373,7 +373,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each component: the one with the smallest id."""
-    return keep_one(docs, near_duplicates(docs, id_col, text_col, similar), id_col, text_col)
+    return shielded(docs, [id_col, text_col], lambda docs, id_col, text_col: keep_one(docs, near_duplicates(docs, id_col, text_col, similar), id_col, text_col))
 
 
 def hexed(signature_col: Column) -> Column:

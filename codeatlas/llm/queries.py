@@ -28,8 +28,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     files = checkpointed(warc.write(warc.plan(pages), folder))
     records = warc.read(files.repartition(max(1, files.count())), folder).where("last")
-    name = lambda c: F.nullif(F.regexp_extract(c, "^<urn:x-record:(.*)>$", 1), F.lit(""))
-    number = lambda c: name(c).cast(pages.schema["page_id"].dataType)
+    number = lambda c: warc.id_of(F.col(c)).cast(pages.schema["page_id"].dataType)
     return records.select(
         number("record_id").alias("page_id"), F.col("bytes_so_far").alias("payload_bytes"), F.col("sha1_so_far").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to")
     )

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, identity, keep_one, lookup, map_arrow, sha_of
+from .common import checkpointed, identity, keep_one, lookup, map_arrow, sha_of, shielded
 from .components import components
 
 WORDS_AT_ONCE = 1 << 16
@@ -316,4 +316,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each component: the one with the smallest id."""
-    return keep_one(docs, near_duplicates(docs, id_col, text_col, **how), id_col, text_col)
+    return shielded(docs, [id_col, text_col], lambda docs, id_col, text_col: keep_one(docs, near_duplicates(docs, id_col, text_col, **how), id_col, text_col))

@@ -9,7 +9,7 @@ Of equal payloads of at least ``least`` bytes the record with the largest id is
 are revisits that refer to it; smaller payloads are all responses.
 
 Defined cases: a null payload is empty; a null URL is left out; a null id is smaller than any other and
-its record says so by an empty name.  Ids may be of any type that orders.  Repeated rows with equal ids are all
+its record says so by an empty name.  Ids may be of any type that orders, with any characters.  Repeated rows with equal ids are all
 responses if they have the largest id.  A long payload is written and read in chunks.  An empty table gives an
 empty table; extra columns are ignored, whatever their names.
 """
@@ -23,11 +23,12 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, identity, lookup, map_arrow, without
@@ -62,8 +63,18 @@ def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payloa
     )
 
 
+#: The name of a record whose id is a string without characters; a missing id leaves the name after the prefix empty.
+EMPTY = "<urn:x-empty-record>"
+
+
 def _name(value) -> str:
-    return f"<urn:x-record:{'' if value is None else value}>"
+    """A record's name: its id percent-encoded, so that no id ends a header line."""
+    return EMPTY if value == "" else f"<urn:x-record:{'' if value is None else quote(str(value), safe='')}>"
+
+
+def id_of(name: Column) -> Column:
+    """The id, as text, that a record's name stands for; null for a missing one."""
+    return F.when(name == EMPTY, "").otherwise(F.nullif(F.url_decode(F.regexp_extract(name, "^<urn:x-record:(.*)>$", 1)), F.lit("")))
 
 
 def _header(kind: str, name: str, length: int, payload: int, sha1: str, url: str | None, refers: str | None, date: str) -> bytes:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeatlas.llm import common, exact_dedup, minhash, simhash
 from codeatlas.llm.common import bitset, checkpointed, flag, lookup, numbered, single, without
@@ -362,3 +363,24 @@ def test_edits_with_null_and_repeated_ids(spark):
     got = minhash.fingerprints_beside_edits(frame(spark, rows)).collect()
     assert sorted(map(repr, (r["doc_id"] for r in got))) == sorted(map(repr, (i for i, _ in rows)))
     assert {r["n_chars"] for r in got if r["doc_id"] == 7} == {400_000}
+
+
+INTERNAL = ["__digest", "__key", "__maybe", "__again", "__word", "__mask", "__row", "__l1", "__l2", "__id", "__hot", "__cold", "__deal", "row", "keep_row", "count", "again", "a`b", "a b", "Text"]
+
+
+@pytest.mark.parametrize("name", ["exact", "minhash", "simhash"])
+def test_columns_named_like_internal_ones_pass_through(spark, name):
+    run = {"exact": exact_dedup.deduplicate, "minhash": minhash.deduplicate, "simhash": simhash.deduplicate}[name]
+    texts = ["a b c d e f g h", "a b c d e f g h", "A b c d e f g h", "other words stand here in a row", None, "", "a b c d e f g h"]
+    rows = [(i, t, *[f"{c} {i}" for c in INTERNAL]) for i, t in enumerate(texts)]
+    names = ["doc_id", "text", *INTERNAL]
+    df = spark.createDataFrame([tuple(r) for r in rows], T.StructType([T.StructField(c, T.LongType() if c == "doc_id" else T.StringType()) for c in names]))
+    plain = run(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id").collect()
+    got = run(df)
+    assert got.columns == names
+    found = {r[0]: tuple(r) for r in got.collect()}
+    assert set(found) == {r["doc_id"] for r in plain} and 1 < len(found) < len(rows)
+    assert all(found[i] == rows[i] for i in found)
+    # the text under a name of an operator's own, and two columns of one name
+    got = run(df.toDF("doc_id", "__key", *["x"] * len(INTERNAL)), text_col="__key")
+    assert got.columns == ["doc_id", "__key", *["x"] * len(INTERNAL)] and {r[0]: tuple(r) for r in got.collect()} == found

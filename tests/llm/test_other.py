@@ -407,6 +407,18 @@ def test_warc_round_trip(spark, compress):
     assert none.count() == 0
 
 
+def test_warc_ids_of_any_text(spark):
+    ids = ["q r\r\nX: y", "", None, "a>b<c", "100%", "ü/+", "plain"]
+    df = spark.createDataFrame([(i, "u", f"page {k % 3} " * 200) for k, i in enumerate(ids)], "page_id string, url string, html string")
+    folder = fresh_dir(spark, "warc-ids")
+    files = checkpointed(warc.write(warc.plan(df), folder))
+    last = warc.read(files, folder).where("last").select(warc.id_of(F.col("record_id")).alias("id"), "record_type", warc.id_of(F.col("refers_to")).alias("refers_to"))
+    got = {r["id"]: (r["record_type"], r["refers_to"]) for r in last.collect()}
+    groups = [[i for k, i in enumerate(ids) if k % 3 == g] for g in range(3)]
+    largest = [max((i for i in g if i is not None), key=lambda x: x.encode()) for g in groups]
+    assert got == {i: ("response", None) if i == top else ("revisit", top) for g, top in zip(groups, largest, strict=True) for i in g}
+
+
 # --- quality ---------------------------------------------------------------------------------
 
 
