@@ -5,9 +5,11 @@
 ``codes``   lower-cased codes with row numbers, ``labels`` normalised labels, both clustered by key: a prefix is a range, which
             Parquet statistics prune
 ``grams``   for each field and three adjacent characters a bit for each block that has them, 64 blocks a row, clustered by the characters
+``longer``  the same for six adjacent characters, by a hash of as many values as a block has characters, twice over: few blocks have all of a phrase's,
+            even where all have its trigrams
 ``blocks``  for each block its file, its rows, its first order key and how many rows lie before it
 
-A text that contains the query has all its trigrams, so blocks that lack one are not read; the others are tested exactly.  Tiers are
+A text that contains the query has all its trigrams and longer grams, so blocks that lack one are not read; the others are tested exactly.  Tiers are
 looked for in turn, and a tier's blocks in order, more at a time: what would come after a full result is not looked for.  A query brings at most
 ``limit`` row numbers and one bit a block to the driver.
 
@@ -33,16 +35,16 @@ from .search import tier
 PLACE_BITS = 33
 #: Bytes of texts in a file and in a block.
 FILE_BYTES, BLOCK_BYTES = 512 << 20, 4 << 20
-#: Trigrams of a query that are looked up; Parquet takes a longer list as a range.
+#: Grams of a query that are looked up in either table; Parquet takes a longer list as a range.
 GRAMS = 10
+#: Characters of the longer grams.
+LONGER = 6
 #: Blocks that are read first, and how many times as many come next; ranges of row numbers in a filter.
 FIRST_BLOCKS, MORE_BLOCKS, RANGES = 16, 4, 64
-#: Every three adjacent characters of a text.
-_TRIGRAMS = r"(?s)(?=(.{3}))"
 FIELDS = ("label", "description")
 _ROWS = T.StructType([*STORED.fields, T.StructField("row", T.LongType())])
 _TABLES = {
-    "codes": "level string, row long, code_norm string", "labels": "level string, row long, code_norm string, label_norm string", "grams": "field string, gram string, word long, mask long",
+    "codes": "level string, row long, code_norm string", "labels": "level string, row long, code_norm string, label_norm string", "grams": "field string, gram string, word long, mask long", "longer": "field string, gram long, word long, mask long",
     "blocks": "block long, file string, n long, before long, first_ord long, last_ord long",
 }
 
@@ -62,8 +64,19 @@ def in_prefix(c: Column, prefix: str) -> Column:
     return c >= F.lit(prefix) if end is None else (c >= F.lit(prefix)) & (c < F.lit(end))
 
 
-def trigrams(text: str) -> list[str]:
-    return list(dict.fromkeys(text[i : i + 3] for i in range(len(text) - 2)))
+def grams(text: str, size: int) -> list[str]:
+    """Some of the distinct grams of a query, evenly spread: each is a condition of its own."""
+    found = list(dict.fromkeys(text[i : i + size] for i in range(len(text) - size + 1)))
+    return found[:: max(1, -(-len(found) // GRAMS))]
+
+
+def _all_grams(text: str, size: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
+def _bits(df: DataFrame) -> DataFrame:
+    """``field, gram, word, mask`` of ``field, gram, block``: a bit a block."""
+    return df.groupBy("field", "gram", F.shiftright("block", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(block & 63 as int))")).alias("mask"))
 
 
 def build(df: DataFrame, path: str, file_bytes: int = FILE_BYTES, block_bytes: int = BLOCK_BYTES) -> SearchIndex:
@@ -84,15 +97,22 @@ def build(df: DataFrame, path: str, file_bytes: int = FILE_BYTES, block_bytes: i
     _clustered(rows.select("level", "row", F.lower("code").alias("code_norm"), norm_text(F.col("label")).alias("label_norm")), "label_norm", files, f"{path}/labels")
 
     texts = rows.select(block.alias("block"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), norm_text(F.col(f)).alias("text")) for f in FIELDS])).alias("x"))
-    grams = texts.where("x.text is not null").select("block", "x.field", F.explode(F.array_distinct(F.regexp_extract_all("x.text", F.lit(_TRIGRAMS), F.lit(1)))).alias("gram"))
-    bits = grams.groupBy("field", "gram", F.shiftright("block", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(block & 63 as int))")).alias("mask"))
-    _clustered(bits, "gram", files, f"{path}/grams", "field", "word")
+    texts = texts.where("x.text is not null")
+    short = texts.select("block", "x.field", F.explode(F.array_distinct(_all_grams("x.text", 3))).alias("gram"))
+    _clustered(_bits(short), "gram", files, f"{path}/grams", "field", "word")
+    slots = 1 << max(11, block_bytes.bit_length())
+    slot = F.transform(_all_grams("x.text", LONGER), lambda g: _slot(g, slots))
+    _clustered(_bits(texts.select("block", "x.field", F.explode(F.array_distinct(slot)).alias("gram"))), "gram", files, f"{path}/longer", "field", "word")
 
     _blocks(rows.select("row", ORD, block.alias("block"), F.col("_metadata.file_name").alias("file"))).write.parquet(f"{path}/blocks")
-    Files(spark, path).create(f"{path}/index.json", json.dumps({"shift": shift, "rows": n}))
+    Files(spark, path).create(f"{path}/index.json", json.dumps({"shift": shift, "rows": n, "slots": slots}))
     return SearchIndex(spark, path)
 
 
+def _slot(gram: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(slots))
+
+
 def _clustered(df: DataFrame, key: str, parts: int, path: str, *then: str) -> None:
     laid = df.repartitionByRange(parts, key) if parts > 1 else df.coalesce(1)
     laid.sortWithinPartitions(key, *then).write.parquet(path)
@@ -115,7 +135,7 @@ class SearchIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         stated = json.loads(Files(spark, path).read(f"{path}/index.json"))
-        self.shift, self.n = stated["shift"], stated["rows"]
+        self.shift, self.n, self.slots = stated["shift"], stated["rows"], stated["slots"]
         self._names: dict[int, str] | None = None
         self._tables: dict[str, DataFrame] = {}
 
@@ -158,13 +178,18 @@ class SearchIndex:
 
     def candidates(self, field: str, query: str) -> list[int]:
         """The blocks, in order, in which ``field`` may contain the normalised ``query``."""
-        found = trigrams(query)
-        if not found:
+        short, long = grams(query, 3), grams(query, LONGER)
+        if not short:
             return sorted(r["block"] for r in self._table("blocks").select("block").collect())
-        step = max(1, -(-len(found) // GRAMS))
-        grams = found[::step]
-        held = self._table("grams").where((F.col("field") == field) & F.col("gram").isin(*grams)).groupBy("word")
-        words = held.agg(F.bit_and("mask").alias("mask"), F.count(F.lit(1)).alias("n")).where((F.col("n") == len(grams)) & (F.col("mask") != 0)).collect()
+        of_field = F.col("field") == field
+        held = self._table("grams").where(of_field & F.col("gram").isin(*short)).select("word", "mask", "gram")
+        if long:
+            slots = [r[0] for r in self.spark.range(1).select(F.explode(F.array_distinct(F.array(*[_slot(F.lit(g), self.slots) for g in long])))).collect()]
+            longer = self._table("longer").where(of_field & F.col("gram").isin(*slots)).select("word", "mask", F.col("gram").cast("string"))
+            held, n = held.unionByName(longer), len(short) + len(slots)
+        else:
+            n = len(short)
+        words = held.groupBy("word").agg(F.bit_and("mask").alias("mask"), F.count(F.lit(1)).alias("n")).where((F.col("n") == n) & (F.col("mask") != 0)).collect()
         return sorted((r["word"] << 6) + i for r in words for i in range(64) if r["mask"] >> i & 1)
 
     # search
