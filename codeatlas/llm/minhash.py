@@ -9,7 +9,8 @@ Classes that share a band are candidates.  Within a band's bucket three star tur
 component need no comparison.  What they leave apart is compared pair by pair in buckets of up to ``CROWDED``
 classes.  Classes of more crowded buckets meet by a prefix filter instead: two sets as similar as asked must
 share one of their rarest shingles, early enough in the order of rarity that the rest can still make up for it.  That
-loses no pair and spares the classes that share a common passage only.
+loses no pair and spares the classes that share a common passage only.  Pairs whose parity sketches differ by more bits than
+the similarity allows shingles are ruled out where they meet; that loses no pair either.
 
 Defined cases: a null text is empty; texts of fewer words than a shingle are one shingle, texts without
 words have the signature of the empty set, which equals only itself.  Words are lower-cased and split at
@@ -24,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -161,27 +163,45 @@ def fingerprints_beside_edits(docs: DataFrame, id_col: str = "doc_id", text_col:
     return map_arrow(in_order(docs, id_col, text_col), run, f"`{id_col}` {kind}, n_chars long, edited_sha256 string, signature binary, edited_signature binary, near_edited double, near_next double")
 
 
+#: Longs of a parity sketch.
+PARITIES = [f"parity{i}" for i in range(16)]
+
+
+def parity(h: np.ndarray) -> np.ndarray:
+    """For every slot of a sketch, whether an odd number of the distinct shingles ``h`` fall into it.
+
+    Two sets differ by at least as many shingles as their sketches differ by bits.
+    """
+    width = 64 * len(PARITIES)
+    odd = np.bincount((h % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
-    """``id, row, shingles, text_key, bands`` per row: the number of distinct shingles, a 128-bit hash of their set, a hash of each band of the signature."""
+    """``id, row, shingles, text_key, bands`` per row: the number of distinct shingles, a 128-bit hash of their set, a hash of each band of the signature;
+    and the longs of their parity sketch."""
 
     def run(batches):
         width = PERMUTATIONS // bands
         for b in batches:
-            sizes, keys, cut = [], [], []
+            sizes, keys, cut, odd = [], [], [], []
             for t in b.column(2):
                 h = np.unique(shingles(t.as_py()))
                 s = signature(h)
                 sizes.append(len(h))
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()))
+                odd.append(parity(h))
                 cut.append([xxhash.xxh64_intdigest(s[i * width : (i + 1) * width].tobytes(), i) - (1 << 63) for i in range(bands)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(cut, pa.list_(pa.int64()))], ["id", "row", "shingles", "text_key", "bands"])
+            columns = [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(cut, pa.list_(pa.int64()))]
+            columns += map(pa.array, np.array(odd, np.int64).reshape(-1, len(PARITIES)).T)
+            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "shingles", "text_key", "bands", *PARITIES])
 
     rows = docs.select(F.col(id_col).alias("id"), identity(id_col, sha_of(F.col(text_col))).alias("row"), F.col(text_col).alias("text"))
-    return map_arrow(rows, run, f"id {docs.schema[id_col].dataType.simpleString()}, row string, shingles long, text_key binary, bands array<long>")
+    return map_arrow(rows, run, f"id {docs.schema[id_col].dataType.simpleString()}, row string, shingles long, text_key binary, bands array<long>, " + ", ".join(f"{c} long" for c in PARITIES))
 
 
-#: Star turns; classes in a bucket beyond which pairs are no longer compared one by one.
-TURNS, CROWDED = 3, 64
+#: Star turns; classes in a bucket beyond which pairs are no longer compared one by one; classes of a bucket that a task compares with the others.
+TURNS, CROWDED, BLOCK = 3, 64, 512
 #: Bytes of shingle sets that a task keeps while it compares pairs.
 KEPT_BYTES = 32 << 20
 #: Slots by which the frequency of shingles is counted: a fixed number, and only the order of a prefix depends on it.
@@ -219,18 +239,30 @@ def stars(members: DataFrame, similar: float, turns: int = TURNS) -> DataFrame:
     return pairs.where(_alike("sa", "sb", similar)).select("a", "b").distinct()
 
 
+def _close(x: str, y: str, similar: float) -> Column:
+    """Whether the parity sketches allow the similarity: sets of m and n shingles that differ by d have one of (m + n - d) / (m + n + d)."""
+    differ = sum((F.bit_count(F.col(f"{c}_{x}").bitwiseXOR(F.col(f"{c}_{y}"))) for c in PARITIES), F.lit(0))
+    return differ <= (F.col(f"shingles_{x}") + F.col(f"shingles_{y}")) * F.lit((1 - similar) / (1 + similar)) + 1e-9
+
+
 def all_pairs(members: DataFrame, similar: float) -> DataFrame:
-    """``a, b``: the pairs of classes with different roots that share a bucket.
+    """``a, b``: the pairs of classes with different roots that share a bucket and may be as similar as asked.
 
-    ``members`` may have ``most``, the number of shingles of a class's partner there at most.  For every class the join makes
-    as many rows as its bucket has classes: it is for buckets of up to ``CROWDED``, and for what all else has left.
+    ``members`` may have ``most``, the number of shingles of a class's partner there at most, and parity sketches, which rule out most pairs
+    inside the join.  Every class is held against its whole bucket: that is for buckets of up to ``CROWDED``, and for what all
+    else has left.  A task takes ``BLOCK`` classes of a bucket on one side.
     """
-    extra = ["most"] if "most" in members.columns else []
-    side = lambda x: members.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("text_key", "shingles", "root", *extra)])
+    extra = [c for c in ("most", *PARITIES) if c in members.columns]
+    parts = F.ceil(F.col("n") / BLOCK)
+    own = F.pmod(F.xxhash64("text_key"), parts)
+    each = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    side = lambda x, part: members.select("bucket", part.alias("part"), *[F.col(c).alias(f"{c}_{x}") for c in ("text_key", "shingles", "root", *extra)])
     fits = _alike("shingles_a", "shingles_b", similar)
-    if extra:
+    if "most" in extra:
         fits = fits & F.expr("most_a >= shingles_b and most_b >= shingles_a")
-    pairs = side("a").join(side("b"), "bucket").where(fits & F.expr("root_a <> root_b and text_key_a < text_key_b"))
+    if len(extra) >= len(PARITIES):
+        fits = fits & _close("a", "b", similar)
+    pairs = side("a", own).join(side("b", each), ["bucket", "part"]).where(fits & F.expr("root_a <> root_b and text_key_a < text_key_b"))
     return pairs.select(F.col("text_key_a").alias("a"), F.col("text_key_b").alias("b")).distinct()
 
 
@@ -328,30 +360,39 @@ def joined_classes(classes: DataFrame, docs: DataFrame, id_col: str, text_col: s
     Every link is verified exactly before it joins anything.
     """
     members = _banded(classes)
-    wanted = checkpointed(classes.join(members.select("text_key").distinct(), "text_key").select("row", "text_key"))
-    texts = _texts(docs, id_col, text_col, wanted)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return checkpointed(jaccard(checkpointed(pairs), texts).where(F.col("jaccard") >= similar).select("a", "b"))
-
-    links = verified(stars(members, similar))
-    joined = components(links)
+    wanted = checkpointed(classes.join(members.select("text_key").distinct(), "text_key").select("row", "text_key", *PARITIES))
+    texts = _texts(docs, id_col, text_col, wanted.select("row", "text_key"))
+    sketches = wanted.select("text_key", *PARITIES)
+    tried, links = [], []
+
+    def joined_by(pairs: DataFrame) -> DataFrame:
+        """Components once the pairs that have not been tried yet are verified too."""
+        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for before in tried:
+            ordered = ordered.join(before, ["a", "b"], "left_anti")
+        tried.append(checkpointed(ordered))
+        links.append(checkpointed(jaccard(tried[-1], texts).where(F.col("jaccard") >= similar).select("a", "b")))
+        return components(reduce(DataFrame.unionByName, links))
+
+    def compared(members: DataFrame) -> DataFrame:
+        return all_pairs(members.join(sketches, "text_key"), similar)
+
+    joined = joined_by(stars(members, similar))
     left = _open(members.where("n > 2"), joined)
     if left.isEmpty():
         return joined
-    pairs = all_pairs(left.where(F.col("n") <= CROWDED), similar)
+    pairs = compared(left.where(F.col("n") <= CROWDED))
     crowd = checkpointed(left.where(F.col("n") > CROWDED).select("text_key", "root").distinct())
     crowded = not crowd.isEmpty()
     if crowded:
         rare = rare_shingles(crowd.select("text_key"), texts, similar)
         few = checkpointed(rare.where(F.col("n") <= CROWDED).join(crowd, "text_key"))
-        pairs = pairs.unionByName(all_pairs(few, similar)).unionByName(stars(rare.where(F.col("n") > CROWDED), similar)).distinct()
-    links = links.unionByName(verified(pairs))
-    joined = components(links)
+        pairs = pairs.unionByName(compared(few)).unionByName(stars(rare.where(F.col("n") > CROWDED), similar))
+    joined = joined_by(pairs)
     if crowded:
         left = _open(rare.where(F.col("n") > CROWDED), joined)
         if not left.isEmpty():
-            joined = components(links.unionByName(verified(all_pairs(left, similar))))
+            joined = joined_by(compared(left))
     return joined
 
 
@@ -362,7 +403,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = checkpointed(signatures(docs, id_col, text_col))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
-    classes = checkpointed(marked.groupBy("text_key").agg(first, F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.any_value("shingles").alias("shingles"), F.any_value("bands").alias("bands")))
+    classes = checkpointed(marked.groupBy("text_key").agg(first, F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.any_value("shingles").alias("shingles"), F.any_value("bands").alias("bands"), *[F.any_value(c).alias(c) for c in PARITIES]))
     joined = joined_classes(classes, docs, id_col, text_col, similar)
     rooted = checkpointed(classes.join(joined, classes.text_key == joined.node, "left").select("text_key", "n", "first", F.coalesce("root", "text_key").alias("root")))
     best = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("members")))

@@ -384,3 +384,32 @@ def test_columns_named_like_internal_ones_pass_through(spark, name):
     # the text under a name of an operator's own, and two columns of one name
     got = run(df.toDF("doc_id", "__key", *["x"] * len(INTERNAL)), text_col="__key")
     assert got.columns == ["doc_id", "__key", *["x"] * len(INTERNAL)] and {r[0]: tuple(r) for r in got.collect()} == found
+
+
+def test_sketches_rule_out_no_similar_pair(spark):
+    rnd = random.Random(12)
+    sentences = [[f"{rnd.getrandbits(20):x}" for _ in range(12)] for _ in range(60)]
+    rows = []
+    for i in range(120):  # a template's texts: far below the similarity, but for a few
+        kept = [s for s in sentences if rnd.random() < 0.85]
+        rows.append((i, " ".join(sum(kept, []))))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join(sum(kept, []) + ["edited"])))
+    sets = {i: np.unique(minhash.shingles(t)) for i, t in rows}
+    like = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+    differ = lambda i, j: sum(int(x).bit_count() for x in (minhash.parity(sets[i]) ^ minhash.parity(sets[j])).view(np.uint64))
+    pairs = [(i, j) for i, _ in rows for j, _ in rows if i < j]
+    assert all(differ(i, j) <= len(np.setxor1d(sets[i], sets[j])) for i, j in pairs)
+    want = {p for p in pairs if like(*p) >= 0.8}
+    data = [(1, i, len(sets[i]), i, len(rows), *minhash.parity(sets[i]).tolist()) for i, _ in rows]
+    names = ["bucket", "text_key", "shingles", "root", "n", *minhash.PARITIES]
+    got = {(r["a"], r["b"]) for r in minhash.all_pairs(spark.createDataFrame(data, names), 0.8).collect()}
+    assert want <= got and len(got) < len(pairs) / 20
+
+
+@pytest.mark.parametrize("block", [1, 7])
+def test_blocks_of_a_bucket_meet_each_pair_once(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rows = [(b, i, 5, i // 2, 20) for b in (1, 2) for i in range(20)]
+    got = minhash.all_pairs(spark.createDataFrame(rows, "bucket long, text_key long, shingles long, root long, n long"), 0.8).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == [(i, j) for i in range(20) for j in range(i + 1, 20) if i // 2 != j // 2]
