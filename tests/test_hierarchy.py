@@ -60,6 +60,21 @@ def test_random_lists_against_a_loop(spark):
     assert parents(parent_by_zero_suffix(lists(spark, rows))) == zero
 
 
+def test_candidates_are_merged_not_broadcast(spark):
+    rows = lists(spark, [("1", "a", "10"), ("1", "b", "1011"), ("1", "b", "1012")])
+    for found in (parent_by_prefix(rows, ["a", "b"]), parent_by_zero_suffix(rows)):
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("SortMergeJoin") == 2
+        assert not any("Generate" in part.split("BroadcastHashJoin")[0] for part in plan.split("BroadcastExchange")[1:])
+
+
+def test_prefixes_of_several_lengths_above(spark):
+    rows = [("1", "a", c) for c in ("1", "12", "1234", "1235")] + [("1", "b", c) for c in ("12345", "1299", "1", "12", "é1")]
+    got = parents(parent_by_prefix(lists(spark, rows), ["a", "b"]))
+    assert [got[("1", "b", c)] for c in ("12345", "1299", "1", "12", "é1")] == ["1234", "12", None, "1", None]
+
+
 def test_ancestors(spark):
     df = spark.createDataFrame([("1", "A", "a", None), ("11", "B", "b", "1"), ("111", "C", "c", "11")], "code string, label string, level string, parent_code string")
     assert [r["code"] for r in ancestors(df, "111").orderBy("step").collect()] == ["111", "11", "1"]
