@@ -5,18 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrow import map_arrow  # noqa: F401
+
 #: A key with at least this share of all rows counts as hot: at most 1000 keys can.
 HOT_SHARE = 1000
-#: Bytes of an Arrow batch, unless the session says otherwise: 10,000 rows of long texts take much memory, on either side and twice.
-BATCH_BYTES = 4 << 20
 #: Bits of a membership filter: about 16 a key up to the most, which is 8 MB of bits and at most 2**20 rows to broadcast.
 LEAST_BITS, MOST_BITS = 12, 26
 #: What lower case may change beside A-Z: capitals, title case, and the number forms and symbols that have cases.
@@ -222,22 +220,3 @@ def numbered(rows: DataFrame, by: str, order: list[str], blocks: int, name: str)
     inner = F.row_number().over(W.partitionBy(by, "__block").orderBy(*order)) - 1
     found = dealt.withColumn("__inner", inner).join(counts, [by, "__block"])
     return found.select(*rows.columns, (F.col("__before") + F.col("__inner")).cast("long").alias(name))
-
-
-def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``mapInArrow`` with this package sent to the executors, once per application."""
-    sc = df.sparkSession.sparkContext
-    if _sent.get("application") != sc.applicationId:
-        package = Path(__file__).parent.parent
-        with zipfile.ZipFile(Path(tempfile.mkdtemp()) / f"{package.name}.zip", "w") as z:
-            for f in package.rglob("*.py"):
-                z.write(f, f.relative_to(package.parent))
-        sc.addPyFile(z.filename)
-        _sent["application"] = sc.applicationId
-    if df.sparkSession.conf.get(_BATCH, None) is None:
-        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
-
-
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-_sent: dict[str, str] = {}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeatlas.operators import search_index
 from codeatlas.operators.search import entry, search
 from codeatlas.plans.schema import ORD, build
+from codeatlas.sources import fixtures
 
 WORDS = ["Red", "widget", "RED  widget", "blue", "Größe", "naïve", "0.5%_[x]", "(garden)", "a\tb", "x\U0001f600y", "tea", "a", "ab", "'quoted'"]
 
@@ -106,3 +107,30 @@ def test_prefixes_are_pushed_ranges(spark, index):
 @pytest.mark.parametrize(("prefix", "end"), [("a", "b"), ("az", "a{"), ("퟿", ""), ("a\U0010ffff", "b"), ("\U0010ffff", None), ("", None)])
 def test_the_end_of_a_prefix(prefix, end):
     assert search_index.after(prefix) == end
+
+
+def test_a_common_label_lies_in_several_files(spark, tmp_path):
+    df = build(spark, [f"{i:04}" for i in range(600)], system="s", version="1", level="a", label="same label", description=None, status="current", source="x")
+    made = search_index.build(df, f"file://{tmp_path}/i", 9000, 600)
+    held = spark.read.parquet(f"{made.path}/labels").select(F.col("_metadata.file_name").alias("f")).distinct().count()
+    assert len(made.files()) > 3 and held > 3
+    assert [r["code"] for r in made.search("same label", None, 600).collect()] == [f"{i:04}" for i in range(600)]
+
+
+def test_derived_indexes_have_files_of_many_rows(spark, small):
+    """A file is a task of each table, whose result goes to the driver."""
+    assert len(fixtures.indexed(spark, small, "docs").files()) == 1
+
+
+def test_grams_of_any_characters(spark, tmp_path):
+    texts = ["a\x00\x00\x00b", "\U0001f600\U0010ffff\ue000xyz", "ab", "", None, "abcdef", "xabcdefx"]
+    df = build(spark, [str(i) for i in range(len(texts))], system="s", version="1", level="a", label="l", description=texts, status="current", source="x")
+    made = search_index.build(df, f"file://{tmp_path}/i", 1 << 20, 64)
+    for q in ("\x00\x00\x00b", "\U0010ffff\ue000x", "abcdef", "bcdefx", "\U0001f600\U0010ffff\ue000xyz"):
+        assert [r["code"] for r in made.search(q).collect()] == [str(i) for i, t in enumerate(texts) if t and q in t], q
+
+
+def test_an_index_of_another_format_is_refused(spark, tmp_path):
+    (tmp_path / "index.json").write_text('{"shift": 1, "rows": 1, "slots": 2048}')
+    with pytest.raises(ValueError, match="format"):
+        search_index.SearchIndex(spark, f"file://{tmp_path}")
