@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -354,13 +354,24 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> Da
     return checkpointed(flagged.join(wanted, "row").dropDuplicates(["row"]).select("text_key", "text"))
 
 
-def joined_classes(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similar: float) -> DataFrame:
-    """``node, root`` over the classes: components of all pairs that share a band and have a Jaccard similarity of at least ``similar``.
+def _told(marked: DataFrame, linked: DataFrame) -> DataFrame:
+    """``a, b``: the classes of each row and of its ``keep_row``, where they differ."""
+    keys = marked.select("row", "text_key").dropDuplicates(["row"])
+    own = checkpointed(linked.where("row <> keep_row").select("row", "keep_row").dropDuplicates(["row"]).join(keys, "row").select("keep_row", F.col("text_key").alias("a")))
+    heads = checkpointed(own.groupBy("keep_row").agg(F.count(F.lit(1)).alias("members")).join(keys.select(F.col("row").alias("keep_row"), F.col("text_key").alias("b")), "keep_row"))
+    return checkpointed(lookup(own, heads, "keep_row", "members", own.count(), F.col("a")).where("a <> b").select("a", "b").distinct())
+
+
+def joined_classes(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similar: float, told: DataFrame | None = None) -> DataFrame:
+    """``node, root`` over the classes: components of all pairs that share a band, or are in ``told`` (``a, b``), and have a Jaccard similarity of at least ``similar``.
 
     Every link is verified exactly before it joins anything.
     """
     members = _banded(classes)
-    wanted = checkpointed(classes.join(members.select("text_key").distinct(), "text_key").select("row", "text_key", *PARITIES))
+    met = members.select("text_key")
+    if told is not None:
+        met = met.unionByName(told.select(F.explode(F.array("a", "b")).alias("text_key")))
+    wanted = checkpointed(classes.join(met.distinct(), "text_key").select("row", "text_key", *PARITIES))
     texts = _texts(docs, id_col, text_col, wanted.select("row", "text_key"))
     sketches = wanted.select("text_key", *PARITIES)
     tried, links = [], []
@@ -377,7 +388,8 @@ def joined_classes(classes: DataFrame, docs: DataFrame, id_col: str, text_col: s
     def compared(members: DataFrame) -> DataFrame:
         return all_pairs(members.join(sketches, "text_key"), similar)
 
-    joined = joined_by(stars(members, similar))
+    first = stars(members, similar)
+    joined = joined_by(first if told is None else first.unionByName(told))
     left = _open(members.where("n > 2"), joined)
     if left.isEmpty():
         return joined
@@ -396,15 +408,17 @@ def joined_classes(classes: DataFrame, docs: DataFrame, id_col: str, text_col: s
     return joined
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, also: Callable | None = None) -> DataFrame:
     """``id, row, component_id, keep_row`` per row: the smallest id reachable over verified pairs, and the ``row`` of one document with it.
 
-    Texts with equal shingle sets are one class long before pairs are made.
+    Texts with equal shingle sets are one class long before pairs are made.  ``also`` is another operator's ``near_duplicates``: what it links
+    to the first of a component is verified like the pairs of the bands.
     """
     marked = checkpointed(signatures(docs, id_col, text_col))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
     classes = checkpointed(marked.groupBy("text_key").agg(first, F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.any_value("shingles").alias("shingles"), F.any_value("bands").alias("bands"), *[F.any_value(c).alias(c) for c in PARITIES]))
-    joined = joined_classes(classes, docs, id_col, text_col, similar)
+    told = None if also is None else _told(marked, also(docs, id_col, text_col))
+    joined = joined_classes(classes, docs, id_col, text_col, similar, told)
     rooted = checkpointed(classes.join(joined, classes.text_key == joined.node, "left").select("text_key", "n", "first", F.coalesce("root", "text_key").alias("root")))
     best = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("members")))
     total = rooted.count()
@@ -412,9 +426,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return lookup(marked.select("id", "row", "text_key"), by_key, "text_key", "n", marked.count(), F.col("row")).select("id", "row", "component_id", "keep_row")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, also: Callable | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each component: the one with the smallest id."""
-    return shielded(docs, [id_col, text_col], lambda docs, id_col, text_col: keep_one(docs, near_duplicates(docs, id_col, text_col, similar), id_col, text_col))
+    return shielded(docs, [id_col, text_col], lambda docs, id_col, text_col: keep_one(docs, near_duplicates(docs, id_col, text_col, similar, also), id_col, text_col))
 
 
 def hexed(signature_col: Column) -> Column:

@@ -1,7 +1,7 @@
 """The pipeline's near-duplicate stage against brute force by exact Jaccard similarity."""
 
 import corpus_pipeline
-from codeatlas.llm import minhash
+from codeatlas.llm import minhash, simhash
 
 
 def test_near_copies_beyond_two_bits_leave_one(spark, small):
@@ -23,3 +23,22 @@ def test_near_copies_beyond_two_bits_leave_one(spark, small):
                 root[max(a, b)] = min(a, b)
     got = sorted(r["doc_id"] for r in corpus_pipeline.distinct_content(spark, docs, small).collect())
     assert got == [rows[i]["doc_id"] for i in range(len(rows)) if find(i) == i]
+
+
+def test_links_of_simhash_are_verified_and_joined(spark, monkeypatch):
+    """SimHash counts repeated shingles, sets don't: two texts of one refrain have near fingerprints and differ as sets."""
+    told, refrain = [], "x y z " * 80
+    plain = " ".join(f"w{i}" for i in range(300))
+    texts = [refrain + "one two three", refrain + "four five six", plain, plain + " w300"]
+    fps = [simhash.fingerprint(t.encode()) for t in texts]
+    assert (fps[0] ^ fps[1]).bit_count() <= 2
+
+    def spied(marked, linked, run=minhash._told):
+        found = run(marked, linked)
+        told.append(found.count())
+        return found
+
+    monkeypatch.setattr(minhash, "_told", spied, raising=False)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.distinct_content(spark, docs, "").collect()) == [0, 1, 2]
+    assert told and told[0] >= 1
