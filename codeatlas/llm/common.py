@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -69,6 +70,16 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles and checkpoints of steps that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which one with memory to spare puts off for the whole of a long operator: between two
+    large steps the disk then holds both.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else; null counts as empty.
 

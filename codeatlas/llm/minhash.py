@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_BYTES, bitset, checkpointed, filter_bits, flag, identity, keep_one, lookup, map_arrow, sha_of, shielded
+from .common import HOT_BYTES, bitset, checkpointed, filter_bits, flag, identity, keep_one, lookup, map_arrow, released, sha_of, shielded
 from .components import components
 
 PERMUTATIONS, SHINGLE, SIMILAR = 128, 5, 0.8
@@ -357,7 +357,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> Da
 def _told(marked: DataFrame, linked: DataFrame) -> DataFrame:
     """``a, b``: the classes of each row and of its ``keep_row``, where they differ."""
     keys = marked.select("row", "text_key").dropDuplicates(["row"])
-    own = checkpointed(linked.where("row <> keep_row").select("row", "keep_row").dropDuplicates(["row"]).join(keys, "row").select("keep_row", F.col("text_key").alias("a")))
+    own = checkpointed(linked.where("row <> keep_row").select("row", "keep_row").distinct().join(keys, "row").select("keep_row", F.col("text_key").alias("a")))
     heads = checkpointed(own.groupBy("keep_row").agg(F.count(F.lit(1)).alias("members")).join(keys.select(F.col("row").alias("keep_row"), F.col("text_key").alias("b")), "keep_row"))
     return checkpointed(lookup(own, heads, "keep_row", "members", own.count(), F.col("a")).where("a <> b").select("a", "b").distinct())
 
@@ -373,6 +373,7 @@ def joined_classes(classes: DataFrame, docs: DataFrame, id_col: str, text_col: s
         met = met.unionByName(told.select(F.explode(F.array("a", "b")).alias("text_key")))
     wanted = checkpointed(classes.join(met.distinct(), "text_key").select("row", "text_key", *PARITIES))
     texts = _texts(docs, id_col, text_col, wanted.select("row", "text_key"))
+    released(docs.sparkSession)
     sketches = wanted.select("text_key", *PARITIES)
     tried, links = [], []
 
@@ -383,7 +384,10 @@ def joined_classes(classes: DataFrame, docs: DataFrame, id_col: str, text_col: s
             ordered = ordered.join(before, ["a", "b"], "left_anti")
         tried.append(checkpointed(ordered))
         links.append(checkpointed(jaccard(tried[-1], texts).where(F.col("jaccard") >= similar).select("a", "b")))
-        return components(reduce(DataFrame.unionByName, links))
+        released(docs.sparkSession)
+        found = components(reduce(DataFrame.unionByName, links))
+        released(docs.sparkSession)
+        return found
 
     def compared(members: DataFrame) -> DataFrame:
         return all_pairs(members.join(sketches, "text_key"), similar)
@@ -411,13 +415,14 @@ def joined_classes(classes: DataFrame, docs: DataFrame, id_col: str, text_col: s
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, also: Callable | None = None) -> DataFrame:
     """``id, row, component_id, keep_row`` per row: the smallest id reachable over verified pairs, and the ``row`` of one document with it.
 
-    Texts with equal shingle sets are one class long before pairs are made.  ``also`` is another operator's ``near_duplicates``: what it links
-    to the first of a component is verified like the pairs of the bands.
+    Texts with equal shingle sets are one class long before pairs are made.  ``also`` is another operator's ``near_duplicates`` or ``candidates``:
+    what it links (``row, keep_row``) is verified like the pairs of the bands.
     """
     marked = checkpointed(signatures(docs, id_col, text_col))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
     classes = checkpointed(marked.groupBy("text_key").agg(first, F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.any_value("shingles").alias("shingles"), F.any_value("bands").alias("bands"), *[F.any_value(c).alias(c) for c in PARITIES]))
     told = None if also is None else _told(marked, also(docs, id_col, text_col))
+    released(docs.sparkSession)
     joined = joined_classes(classes, docs, id_col, text_col, similar, told)
     rooted = checkpointed(classes.join(joined, classes.text_key == joined.node, "left").select("text_key", "n", "first", F.coalesce("root", "text_key").alias("root")))
     best = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("members")))

@@ -314,6 +314,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("id", "row", "fp", F.col("best.id").alias("component_id"), F.col("best.row").alias("keep_row"))
 
 
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2, cap: int = 1024) -> DataFrame:
+    """``row, keep_row`` for another operator to verify: rows with the first of their fingerprint, and these with the first of the smallest fingerprint linked to theirs.
+
+    A pair a row at most, and none of the rounds that components take.
+    """
+    marked = checkpointed(fingerprints(docs, id_col, text_col, shingle).select("row", "fp"))
+    heads = checkpointed(marked.groupBy("fp").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("n")))
+    own = lookup(marked, heads, "fp", "n", marked.count(), F.col("row")).select("row", F.col("head").alias("keep_row"))
+    found = links(heads.select("fp"), threshold, cap).select(F.greatest("a", "b").alias("fp"), F.least("a", "b").alias("other"))
+    found = checkpointed(found.where("fp <> other").groupBy("fp").agg(F.min("other").alias("other")))
+    ends = found.groupBy("other").agg(F.count(F.lit(1)).alias("n")).join(heads.select(F.col("fp").alias("other"), F.col("head").alias("keep_row")), "other")
+    near = found.join(heads.select("fp", F.col("head").alias("row")), "fp")
+    linked = lookup(near, checkpointed(ends), "other", "n", found.count(), F.col("row"))
+    return own.unionByName(linked.select("row", "keep_row"))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each component: the one with the smallest id."""
     return shielded(docs, [id_col, text_col], lambda docs, id_col, text_col: keep_one(docs, near_duplicates(docs, id_col, text_col, **how), id_col, text_col))

@@ -42,3 +42,28 @@ def test_links_of_simhash_are_verified_and_joined(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.distinct_content(spark, docs, "").collect()) == [0, 1, 2]
     assert told and told[0] >= 1
+
+
+def test_candidates_of_simhash_connect_what_near_duplicates_connects_directly(spark):
+    """Rows of equal fingerprints, and a fingerprint with the smallest that it links to; each pair is within two bits."""
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), " ".join(base).upper(), " ".join([*base, "end"]), "other words of a text on its own", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fp = {r["row"]: r["fp"] for r in simhash.fingerprints(docs).collect()}
+    got = [(r["row"], r["keep_row"]) for r in simhash.candidates(docs).collect() if r["row"] != r["keep_row"]]
+    assert all((fp[a] ^ fp[b]).bit_count() <= 2 for a, b in got)
+    component = {r["row"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    root = {x: x for x in fp}
+    for _ in fp:
+        for a, b in got:
+            root[a] = root[b] = min(root[a], root[b])
+    assert all((root[a] == root[b]) == (component[a] == component[b]) for a in fp for b in fp)
+
+
+def test_finished_steps_leave_no_shuffles(spark, monkeypatch):
+    """What a step leaves on disk is released before the next large one."""
+    asked = []
+    monkeypatch.setattr(minhash, "released", lambda s: asked.append(s), raising=False)
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g h")], "doc_id long, text string")
+    assert corpus_pipeline.distinct_content(spark, docs, "").count() == 2
+    assert len(asked) >= 3
