@@ -134,3 +134,38 @@ def test_an_index_of_another_format_is_refused(spark, tmp_path):
     (tmp_path / "index.json").write_text('{"shift": 1, "rows": 1, "slots": 2048}')
     with pytest.raises(ValueError, match="format"):
         search_index.SearchIndex(spark, f"file://{tmp_path}")
+
+
+def test_pages_need_no_tables_of_searches(spark, data, small, tmp_path):
+    made = search_index.build(data, f"file://{tmp_path}/i", 9000, 600, pages_only=True)
+    assert not {"codes", "labels", "grams", "longer"} & {p.name for p in (tmp_path / "i").iterdir()}
+    everything = [tuple(r)[:-1] for r in data.orderBy(ORD).collect()]
+    assert [tuple(r)[:10] for r in made.page(5, 20).collect()] == everything[100:120]
+    with pytest.raises(ValueError, match="pages only"):
+        made.search("red")
+    with pytest.raises(ValueError, match="pages only"):
+        made.entry("K10")
+    assert fixtures.paged(spark, small).pages_only
+
+
+def test_grams_leave_a_task_once_for_64_blocks(spark, monkeypatch):
+    """However many characters the blocks have; otherwise rows of the shuffle grow with the characters."""
+    monkeypatch.setattr(search_index, "HELD", 50, raising=False)
+    left = []
+    monkeypatch.setattr(search_index, "map_arrow", lambda df, run, schema, f=search_index.map_arrow: left.append(f(df, run, schema)) or left[-1])
+    rows = [(i, "description", f"common words of text {i % 7} and more") for i in range(130)]
+    texts = spark.createDataFrame(rows, "block long, field string, text string").coalesce(1)
+    for slots, grams in ((None, lambda t: {t[i : i + 3] for i in range(len(t) - 2)}), (1 << 16, lambda t: set(search_index.slots_of(t, 1 << 16).tolist()))):
+        want = {}
+        for block, _, t in rows:
+            for g in grams(t):
+                want[g, block >> 6] = want.get((g, block >> 6), 0) | 1 << (block & 63)
+        found = search_index._bits(texts, slots).collect()
+        assert {(r["gram"], r["word"]): r["mask"] % (1 << 64) for r in found} == want
+        assert left[-1].count() == len(want)
+
+
+def test_published_lists_are_indexed_for_searches_only(spark, small):
+    store = fixtures.published(spark, f"{small}/")
+    assert store.index("psic", "2026") is None
+    assert fixtures.published_indexed(spark, f"{small}/").index("psic", "2026").search("widget", None, 3) is not None
