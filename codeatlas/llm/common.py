@@ -8,9 +8,10 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrow import map_arrow  # noqa: F401
 
@@ -22,6 +23,8 @@ LEAST_BITS, MOST_BITS = 12, 26
 OTHER_CAPITALS = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^A-Z]]"
 #: Rows that a hot key adds to a lookup are broadcast only up to this many bytes each.
 HOT_BYTES = 1 << 16
+#: Bytes of a stored table that make a task, beyond two tasks a core.
+TASK_BYTES = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +55,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tasks_for(spark: SparkSession, size: int) -> int:
+    """How many tasks a table of ``size`` bytes is worth."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``checkpointed(df)``, of which a task reads as many partitions as make ``TASK_BYTES``.
+
+    A checkpoint has as many partitions as the shuffle before it, however few rows there are; each would be a task, and a file of every
+    shuffle, in all steps that read it.
+    """
+
+    def width(field: T.StructField) -> Column:
+        c = F.col(f"`{field.name}`")
+        kind = field.dataType
+        return F.octet_length(c) if isinstance(kind, T.StringType | T.BinaryType) else 8 * F.size(c) if isinstance(kind, T.ArrayType) else F.lit(64 if isinstance(kind, T.StructType) else 16)
+
+    seen = Observation()
+    size = sum((F.coalesce(width(f), F.lit(0)) for f in df.schema), F.lit(0))
+    kept = checkpointed(df.observe(seen, F.sum(size.cast("long")).alias("bytes")))
+    return kept.coalesce(tasks_for(df.sparkSession, seen.get["bytes"] or 0))
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written as Parquet to a new path of the shared folder and read again, and the path.
 
@@ -162,7 +188,7 @@ def sha_of(text: Column) -> Column:
 
 def _flagged(rows: DataFrame, keys: DataFrame, key: str, n: int, name: str) -> DataFrame:
     bits = filter_bits(n)
-    words = checkpointed(bitset(keys.select(F.xxhash64(key).alias("h")), "h", bits))
+    words = gathered(bitset(keys.select(F.xxhash64(key).alias("h")), "h", bits))
     return flag(rows, words, F.when(F.col(key).isNotNull(), F.xxhash64(key)), bits, name)
 
 
@@ -173,12 +199,12 @@ def without(rows: DataFrame, losers: DataFrame, key: str, keys: DataFrame) -> Da
     where they are; a second one over the keys that the first takes for losers by mistake drops most losers.
     Only rows that both flag are shuffled, to be compared exactly.
     """
-    losers = checkpointed(losers.select(key).distinct())
+    losers = gathered(losers.select(key).distinct())
     n = losers.count()
     if not n:
         return rows
     maybe = _flagged(keys.select(key), losers, key, n, "__maybe").where("__maybe").select(key).distinct()
-    mistaken = checkpointed(maybe.join(losers, key, "left_anti"))
+    mistaken = gathered(maybe.join(losers, key, "left_anti"))
     both = _flagged(_flagged(rows, losers, key, n, "__maybe"), mistaken, key, mistaken.count(), "__again")
     rest = both.where("__maybe and __again").join(losers, key, "left_anti")
     return both.where("not __maybe").unionByName(rest.select(*both.columns)).drop("__maybe", "__again")
@@ -186,7 +212,7 @@ def without(rows: DataFrame, losers: DataFrame, key: str, keys: DataFrame) -> Da
 
 def single(rows: DataFrame, repeated: DataFrame, key: str) -> DataFrame:
     """``rows``, one of each ``key`` that is in ``repeated``; the others stay where they are."""
-    repeated = checkpointed(repeated.select(key).distinct())
+    repeated = gathered(repeated.select(key).distinct())
     n = repeated.count()
     if not n:
         return rows
@@ -212,7 +238,7 @@ def shielded(docs: DataFrame, used: list[str], operator: Callable[..., DataFrame
 
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that are ``keep_row`` in ``found``, one of those that repeat it."""
-    found = checkpointed(found.select(F.col("row").alias("__row"), F.col("keep_row")))
+    found = gathered(found.select(F.col("row").alias("__row"), F.col("keep_row")))
     rows = docs.withColumn("__row", identity(id_col, sha_of(F.col(text_col))))
     again = found.where("__row = keep_row").groupBy("__row").count().where("count > 1")
     return single(without(rows, found.where("__row <> keep_row"), "__row", found), again, "__row").select(*docs.columns)

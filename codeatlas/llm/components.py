@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, removed, stored
+from .common import lookup, removed, stored, tasks_for
+
+#: Bytes of an edge in a task that writes edges.
+EDGE_BYTES = 64
 
 
 def _settled(edges: DataFrame, n: int) -> bool:
@@ -18,12 +21,13 @@ def _settled(edges: DataFrame, n: int) -> bool:
 def _stars(edges: DataFrame, total: int, paths: list[str]) -> DataFrame:
     """Each edge ``u, v`` with ``m``, the smallest neighbour of ``u``, ``u`` included.  ``edges`` must be stored: it is read twice."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    least = _kept(least.withColumn("m", F.least("u", "m")), paths)
+    least = _kept(least.withColumn("m", F.least("u", "m")), paths, total)
     return lookup(edges, least, "u", "n", total, F.col("v"))
 
 
-def _kept(df: DataFrame, paths: list[str]) -> DataFrame:
-    out, path = stored(df, "components")
+def _kept(df: DataFrame, paths: list[str], most: int) -> DataFrame:
+    """``df`` stored, in no more files than ``most`` rows are worth."""
+    out, path = stored(df.coalesce(tasks_for(df.sparkSession, most * EDGE_BYTES)), "components")
     paths.append(path)
     return out
 
@@ -40,10 +44,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not _settled(e, n := e.count()):
         paths = [path]
         both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-        large = _stars(_kept(both, paths), 2 * n, paths).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _stars(_kept(large, paths), n, paths)
+        large = _stars(_kept(both, paths, 2 * n), 2 * n, paths).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _stars(_kept(large, paths, 2 * n), n, paths)
         own, other = F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
         out = small.select(F.explode(F.when(F.col("v") != F.col("m"), F.array(own, other)).otherwise(F.array(own))).alias("e")).select("e.u", "e.v")
-        e, path = stored(out.distinct(), "components")
-        removed(spark, paths)
+        done, paths = paths, []
+        e = _kept(out.distinct(), paths, 2 * n)
+        path = paths[0]
+        removed(spark, done)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_BYTES, bitset, checkpointed, filter_bits, flag, identity, keep_one, lookup, map_arrow, released, sha_of, shielded
+from .common import HOT_BYTES, bitset, filter_bits, flag, gathered, identity, keep_one, lookup, map_arrow, released, sha_of, shielded
 from .components import components
 
 PERMUTATIONS, SHINGLE, SIMILAR = 128, 5, 0.8
@@ -210,11 +210,11 @@ SLOTS = 1 << 16
 
 def _grouped(keyed: DataFrame) -> DataFrame:
     """``keyed`` with ``n``, the rows of its ``bucket``, where there are several."""
-    sizes = checkpointed(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    sizes = gathered(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     k, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = filter_bits(k)
-    some = flag(keyed, checkpointed(bitset(sizes, "bucket", bits)), F.col("bucket"), bits, "__some").where("__some").drop("__some")
-    return checkpointed(lookup(some, sizes, "bucket", "n", total, F.col("text_key")).where("n is not null"))
+    some = flag(keyed, gathered(bitset(sizes, "bucket", bits)), F.col("bucket"), bits, "__some").where("__some").drop("__some")
+    return gathered(lookup(some, sizes, "bucket", "n", total, F.col("text_key")).where("n is not null"))
 
 
 def _banded(classes: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def _alike(a: str, b: str, similar: float) -> Column:
 def stars(members: DataFrame, similar: float, turns: int = TURNS) -> DataFrame:
     """``a, b``: in every bucket, up to ``turns`` of its classes with each of the others."""
     pivot = lambda turn: F.min(F.struct(F.xxhash64(F.lit(turn), "text_key").alias("h"), "text_key", "shingles"))
-    pivots = checkpointed(members.groupBy("bucket").agg(*[pivot(i).alias(f"p{i}") for i in range(turns)], F.count(F.lit(1)).alias("n")))
+    pivots = gathered(members.groupBy("bucket").agg(*[pivot(i).alias(f"p{i}") for i in range(turns)], F.count(F.lit(1)).alias("n")))
     total = pivots.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = lookup(members.select("bucket", "text_key", "shingles"), pivots, "bucket", "n", total, F.col("text_key"))
     each = found.select("text_key", "shingles", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(turns)]))).alias("p"))
@@ -269,11 +269,11 @@ def all_pairs(members: DataFrame, similar: float) -> DataFrame:
 def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
     """``members`` with the ``root`` of each class, without buckets of a single component."""
     now = members.join(joined, F.col("text_key") == F.col("node"), "left").select(*members.columns, F.coalesce("root", "text_key").alias("root"))
-    now = checkpointed(now)
+    now = gathered(now)
     h = F.xxhash64("root")
-    apart = checkpointed(now.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n"), F.min(h).alias("x"), F.max(h).alias("y")).where("x <> y").select("bucket", "__n"))
+    apart = gathered(now.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n"), F.min(h).alias("x"), F.max(h).alias("y")).where("x <> y").select("bucket", "__n"))
     total = apart.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
-    return checkpointed(lookup(now, apart, "bucket", "__n", total, F.col("text_key")).where("__n is not null").drop("__n"))
+    return gathered(lookup(now, apart, "bucket", "__n", total, F.col("text_key")).where("__n is not null").drop("__n"))
 
 
 def rare_shingles(classes: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
@@ -307,9 +307,9 @@ def rare_shingles(classes: DataFrame, texts: DataFrame, similar: float) -> DataF
                 most = np.floor((n - np.arange(len(h))) * (1 + similar) / similar - n + 1e-9).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([key.as_py()] * len(h), pa.binary()), pa.array(np.full(len(h), n)), pa.array(most)], ["bucket", "text_key", "shingles", "most"])
 
-    rows = checkpointed(map_arrow(own.select("text_key", "text"), prefixes, "bucket long, text_key binary, shingles long, most long"))
+    rows = gathered(map_arrow(own.select("text_key", "text"), prefixes, "bucket long, text_key binary, shingles long, most long"))
     able = F.min(F.when(F.col("most") >= F.col("shingles"), F.col("shingles"))).alias("least")
-    heads = checkpointed(rows.groupBy("bucket").agg(able, F.count(F.lit(1)).alias("__n")).where("least is not null and __n > 1"))
+    heads = gathered(rows.groupBy("bucket").agg(able, F.count(F.lit(1)).alias("__n")).where("least is not null and __n > 1"))
     total = heads.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
     some = lookup(rows, heads, "bucket", "__n", total, F.col("text_key")).where("most >= least")
     return _grouped(some.select("text_key", "shingles", "bucket", "most"))
@@ -317,7 +317,7 @@ def rare_shingles(classes: DataFrame, texts: DataFrame, similar: float) -> DataF
 
 def jaccard(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``pairs`` with the exact Jaccard similarity of their shingle sets; ``texts`` has ``text_key, text``."""
-    sides = checkpointed(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    sides = gathered(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
     sides = sides.join(texts.select(F.col("text_key").alias("a"), F.col("text").alias("__x")), "a")
     left = lookup(pairs, sides, "a", "n", pairs.count(), F.col("b"), F.octet_length("__x") <= HOT_BYTES).drop("n")
     both = left.join(texts.select(F.col("text_key").alias("b"), F.col("text").alias("__y")), "b").select("a", "b", "__x", "__y")
@@ -349,17 +349,17 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> Da
     """``text_key, text`` of the classes in ``wanted`` (``row, text_key``); only rows that a filter flags are shuffled."""
     rows = docs.select(identity(id_col, sha_of(F.col(text_col))).alias("row"), F.col(text_col).alias("text"))
     bits = filter_bits(wanted.count())
-    words = checkpointed(bitset(wanted.select(F.xxhash64("row").alias("h")), "h", bits))
+    words = gathered(bitset(wanted.select(F.xxhash64("row").alias("h")), "h", bits))
     flagged = flag(rows, words, F.xxhash64("row"), bits, "__maybe").where("__maybe")
-    return checkpointed(flagged.join(wanted, "row").dropDuplicates(["row"]).select("text_key", "text"))
+    return gathered(flagged.join(wanted, "row").dropDuplicates(["row"]).select("text_key", "text"))
 
 
 def _told(marked: DataFrame, linked: DataFrame) -> DataFrame:
     """``a, b``: the classes of each row and of its ``keep_row``, where they differ."""
     keys = marked.select("row", "text_key").dropDuplicates(["row"])
-    own = checkpointed(linked.where("row <> keep_row").select("row", "keep_row").distinct().join(keys, "row").select("keep_row", F.col("text_key").alias("a")))
-    heads = checkpointed(own.groupBy("keep_row").agg(F.count(F.lit(1)).alias("members")).join(keys.select(F.col("row").alias("keep_row"), F.col("text_key").alias("b")), "keep_row"))
-    return checkpointed(lookup(own, heads, "keep_row", "members", own.count(), F.col("a")).where("a <> b").select("a", "b").distinct())
+    own = gathered(linked.where("row <> keep_row").select("row", "keep_row").distinct().join(keys, "row").select("keep_row", F.col("text_key").alias("a")))
+    heads = gathered(own.groupBy("keep_row").agg(F.count(F.lit(1)).alias("members")).join(keys.select(F.col("row").alias("keep_row"), F.col("text_key").alias("b")), "keep_row"))
+    return gathered(lookup(own, heads, "keep_row", "members", own.count(), F.col("a")).where("a <> b").select("a", "b").distinct())
 
 
 def joined_classes(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similar: float, told: DataFrame | None = None) -> DataFrame:
@@ -371,7 +371,7 @@ def joined_classes(classes: DataFrame, docs: DataFrame, id_col: str, text_col: s
     met = members.select("text_key")
     if told is not None:
         met = met.unionByName(told.select(F.explode(F.array("a", "b")).alias("text_key")))
-    wanted = checkpointed(classes.join(met.distinct(), "text_key").select("row", "text_key", *PARITIES))
+    wanted = gathered(classes.join(met.distinct(), "text_key").select("row", "text_key", *PARITIES))
     texts = _texts(docs, id_col, text_col, wanted.select("row", "text_key"))
     released(docs.sparkSession)
     sketches = wanted.select("text_key", *PARITIES)
@@ -382,8 +382,8 @@ def joined_classes(classes: DataFrame, docs: DataFrame, id_col: str, text_col: s
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for before in tried:
             ordered = ordered.join(before, ["a", "b"], "left_anti")
-        tried.append(checkpointed(ordered))
-        links.append(checkpointed(jaccard(tried[-1], texts).where(F.col("jaccard") >= similar).select("a", "b")))
+        tried.append(gathered(ordered))
+        links.append(gathered(jaccard(tried[-1], texts).where(F.col("jaccard") >= similar).select("a", "b")))
         released(docs.sparkSession)
         found = components(reduce(DataFrame.unionByName, links))
         released(docs.sparkSession)
@@ -398,11 +398,11 @@ def joined_classes(classes: DataFrame, docs: DataFrame, id_col: str, text_col: s
     if left.isEmpty():
         return joined
     pairs = compared(left.where(F.col("n") <= CROWDED))
-    crowd = checkpointed(left.where(F.col("n") > CROWDED).select("text_key", "root").distinct())
+    crowd = gathered(left.where(F.col("n") > CROWDED).select("text_key", "root").distinct())
     crowded = not crowd.isEmpty()
     if crowded:
         rare = rare_shingles(crowd.select("text_key"), texts, similar)
-        few = checkpointed(rare.where(F.col("n") <= CROWDED).join(crowd, "text_key"))
+        few = gathered(rare.where(F.col("n") <= CROWDED).join(crowd, "text_key"))
         pairs = pairs.unionByName(compared(few)).unionByName(stars(rare.where(F.col("n") > CROWDED), similar))
     joined = joined_by(pairs)
     if crowded:
@@ -418,16 +418,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts with equal shingle sets are one class long before pairs are made.  ``also`` is another operator's ``near_duplicates`` or ``candidates``:
     what it links (``row, keep_row``) is verified like the pairs of the bands.
     """
-    marked = checkpointed(signatures(docs, id_col, text_col))
+    marked = gathered(signatures(docs, id_col, text_col))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
-    classes = checkpointed(marked.groupBy("text_key").agg(first, F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.any_value("shingles").alias("shingles"), F.any_value("bands").alias("bands"), *[F.any_value(c).alias(c) for c in PARITIES]))
+    classes = gathered(marked.groupBy("text_key").agg(first, F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.any_value("shingles").alias("shingles"), F.any_value("bands").alias("bands"), *[F.any_value(c).alias(c) for c in PARITIES]))
     told = None if also is None else _told(marked, also(docs, id_col, text_col))
     released(docs.sparkSession)
     joined = joined_classes(classes, docs, id_col, text_col, similar, told)
-    rooted = checkpointed(classes.join(joined, classes.text_key == joined.node, "left").select("text_key", "n", "first", F.coalesce("root", "text_key").alias("root")))
-    best = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("members")))
+    rooted = gathered(classes.join(joined, classes.text_key == joined.node, "left").select("text_key", "n", "first", F.coalesce("root", "text_key").alias("root")))
+    best = gathered(rooted.groupBy("root").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("members")))
     total = rooted.count()
-    by_key = checkpointed(lookup(rooted.select("text_key", "n", "root"), best, "root", "members", total, F.col("text_key")).select("text_key", "n", F.col("best.id").alias("component_id"), F.col("best.row").alias("keep_row")))
+    by_key = gathered(lookup(rooted.select("text_key", "n", "root"), best, "root", "members", total, F.col("text_key")).select("text_key", "n", F.col("best.id").alias("component_id"), F.col("best.row").alias("keep_row")))
     return lookup(marked.select("id", "row", "text_key"), by_key, "text_key", "n", marked.count(), F.col("row")).select("id", "row", "component_id", "keep_row")
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, identity, keep_one, lookup, map_arrow, sha_of, shielded
+from .common import checkpointed, gathered, identity, keep_one, lookup, map_arrow, sha_of, shielded
 from .components import components
 
 WORDS_AT_ONCE = 1 << 16
@@ -319,14 +319,14 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A pair a row at most, and none of the rounds that components take.
     """
-    marked = checkpointed(fingerprints(docs, id_col, text_col, shingle).select("row", "fp"))
-    heads = checkpointed(marked.groupBy("fp").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("n")))
+    marked = gathered(fingerprints(docs, id_col, text_col, shingle).select("row", "fp"))
+    heads = gathered(marked.groupBy("fp").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("n")))
     own = lookup(marked, heads, "fp", "n", marked.count(), F.col("row")).select("row", F.col("head").alias("keep_row"))
     found = links(heads.select("fp"), threshold, cap).select(F.greatest("a", "b").alias("fp"), F.least("a", "b").alias("other"))
-    found = checkpointed(found.where("fp <> other").groupBy("fp").agg(F.min("other").alias("other")))
+    found = gathered(found.where("fp <> other").groupBy("fp").agg(F.min("other").alias("other")))
     ends = found.groupBy("other").agg(F.count(F.lit(1)).alias("n")).join(heads.select(F.col("fp").alias("other"), F.col("head").alias("keep_row")), "other")
     near = found.join(heads.select("fp", F.col("head").alias("row")), "fp")
-    linked = lookup(near, checkpointed(ends), "other", "n", found.count(), F.col("row"))
+    linked = lookup(near, gathered(ends), "other", "n", found.count(), F.col("row"))
     return own.unionByName(linked.select("row", "keep_row"))
 
 

@@ -1,5 +1,7 @@
 """The pipeline's near-duplicate stage against brute force by exact Jaccard similarity."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from codeatlas.llm import minhash, simhash
 
@@ -67,3 +69,30 @@ def test_finished_steps_leave_no_shuffles(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g h")], "doc_id long, text string")
     assert corpus_pipeline.distinct_content(spark, docs, "").count() == 2
     assert len(asked) >= 3
+
+
+def test_small_steps_take_few_tasks(spark, monkeypatch):
+    """What many shuffle partitions left of a small table is read by few tasks, in steps and in rounds of components; a large one by more."""
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    base = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*base, *(f"x{j}" for j in range(i % 3))] if i < 9 else [f"v{i}-{j}" for j in range(30)])) for i in range(40)], "doc_id long, text string")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few-tasks", "")
+        assert sorted(r["doc_id"] for r in corpus_pipeline.distinct_content(spark, docs, "").collect()) == [0, *range(9, 40)]
+        status = spark.sparkContext.statusTracker()
+        stages = {s for job in status.getJobIdsForGroup("few-tasks") for s in status.getJobInfo(job).stageIds}
+        tasks = [info.numTasks for s in stages if (info := status.getStageInfo(s)) and info.numCompletedTasks]
+        assert sum(n >= 64 for n in tasks) < 0.5 * len(tasks)
+        many = spark.range(2000).groupBy((F.col("id") % 1000).alias("id")).count()
+        few = minhash.gathered(many)
+        assert few.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism and few.count() == 1000
+        monkeypatch.setattr("codeatlas.llm.common.TASK_BYTES", 100)
+        assert minhash.gathered(many).rdd.getNumPartitions() == 64
+        assert minhash.gathered(many.where("id < 0")).isEmpty()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
